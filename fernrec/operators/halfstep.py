@@ -94,6 +94,12 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
     return SideLayout(side, blocks, light, routing, heavy, heavy_keys, n_heavy, n_light)
 
 
+def _vec_frame(ids: np.ndarray, mat: np.ndarray) -> pd.DataFrame:
+    """``idx, vec`` frame; an object column even when empty (Arrow list type)."""
+    vec = pd.Series(list(mat), dtype=object) if len(ids) else pd.Series([], dtype=object)
+    return pd.DataFrame({"idx": np.asarray(ids, dtype=np.int64), "vec": vec})
+
+
 def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtype: str):
     k = s.shape[0]
     out_dtype = np.float32 if dtype == "float32" else np.float64
@@ -104,7 +110,7 @@ def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtyp
         ents = left[is_vec]
         rows = left[~is_vec]
         if len(ents) == 0:
-            return pd.DataFrame({"idx": pd.Series([], dtype="int64"), "vec": []})
+            return _vec_frame(np.zeros(0), np.zeros((0, k)))
         order = np.argsort(ents["e"].to_numpy(), kind="stable")
         e_ids = ents["e"].to_numpy()[order]
         x = np.vstack(ents["vec"].to_numpy()[order]).astype(np.float64)
@@ -144,8 +150,7 @@ def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtyp
                 x[:, f] = new
                 rhat = rf + new[u] * yf
         keep = ~skip
-        vecs = x[keep].astype(out_dtype)
-        return pd.DataFrame({"idx": e_ids[keep].astype(np.int64), "vec": list(vecs)})
+        return _vec_frame(e_ids[keep], x[keep].astype(out_dtype))
     return run
 
 
@@ -173,7 +178,7 @@ def _heavy_solve(s: np.ndarray, lam: float, dtype: str):
 
     def run(sums: pd.DataFrame, cur: pd.DataFrame) -> pd.DataFrame:
         if len(cur) == 0:
-            return pd.DataFrame({"idx": pd.Series([], dtype="int64"), "vec": []})
+            return _vec_frame(np.zeros(0), np.zeros((0, k)))
         x = np.asarray(cur["vec"].iloc[0], dtype=np.float64).copy()
         m = float(cur["m"].iloc[0])
         a = np.zeros((k, k))
@@ -187,7 +192,7 @@ def _heavy_solve(s: np.ndarray, lam: float, dtype: str):
         t = a + m * s
         for j in range(k):
             x[j] = (b[j] - (t[j] @ x - t[j, j] * x[j])) / (t[j, j] + lam)
-        return pd.DataFrame({"idx": [int(cur["e"].iloc[0])], "vec": [x.astype(out_dtype)]})
+        return _vec_frame(np.array([int(cur["e"].iloc[0])]), x.astype(out_dtype)[None, :])
     return run
 
 

@@ -45,7 +45,8 @@ def _last_value(lines: Column, prefix: str) -> Column:
     return unicode_strip(F.substring(last, len(prefix) + 1, 1 << 30))
 
 
-def parse_records(blocks: DataFrame, value_col: str = "value") -> DataFrame:
+def parse_records(blocks: DataFrame, value_col: str = "value",
+                  keep: tuple[str, ...] = ()) -> DataFrame:
     """S2 + F1: parse record blocks, drop rejected ones.
 
     * lines break as Python ``str.splitlines`` does;
@@ -60,6 +61,7 @@ def parse_records(blocks: DataFrame, value_col: str = "value") -> DataFrame:
         lambda line: unicode_strip(
             F.substring(line, len(TIME_PREFIX) + 1, 1 << 30)).try_cast("bigint"))
     parsed = blocks.select(
+        *keep,
         _last_value(lines, USER_PREFIX).alias("user_id"),
         _last_value(lines, PRODUCT_PREFIX).alias("item_id"),
         times.alias("_times"),
@@ -71,7 +73,8 @@ def parse_records(blocks: DataFrame, value_col: str = "value") -> DataFrame:
             & (F.length("item_id") > 0)
             & (F.size("_times") > 0)
             & ~bad_time)
-        .select("user_id", "item_id", F.try_element_at("_times", F.lit(-1)).alias("ts"))
+        .select(*keep, "user_id", "item_id",
+                F.try_element_at("_times", F.lit(-1)).alias("ts"))
     )
 
 
