@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import default_partitions, materialize
+from ..session import materialize
 from .factors import vec_type
 
 _CHUNK = 1 << 16  # rows per vectorized dot-product chunk inside a task
@@ -68,7 +68,9 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
     spark = hist.sparkSession
     rows = hist.select(F.col(e_col).alias("e"), F.col(o_col).alias("o"), "c")
     rows, nnz = materialize(rows, f"{side}_rows", count=True)
-    blocks = num_blocks or max(default_partitions(spark), math.ceil(nnz / rows_per_block))
+    # at least one block per core; more when a block would exceed rows_per_block
+    blocks = num_blocks or max(spark.sparkContext.defaultParallelism,
+                               math.ceil(nnz / rows_per_block))
     blk = F.pmod(F.col("e"), F.lit(blocks)).cast("int")
 
     deg = rows.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("m"))
