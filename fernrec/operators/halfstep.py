@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from .factors import vec_type
 
 _CHUNK = 1 << 16  # rows per vectorized dot-product chunk inside a task
+_MAX_BUCKETS = 8192  # files of the bucketed history; blocks beyond share buckets
 
 
 @dataclass
@@ -51,7 +52,8 @@ class SideLayout:
 
     side: str            # "user" or "item"
     blocks: int
-    light: DataFrame     # blk, e, o, c  (+ marker rows o = -1 for heavy entities)
+    light: DataFrame     # blk, e, o, c  (+ marker rows o = -1 for heavy entities),
+                         # bucketed by blk: read without a shuffle every half-step
     routing: DataFrame   # blk, o
     heavy: DataFrame | None    # e, part, o, c
     heavy_keys: DataFrame | None  # e, m
@@ -89,8 +91,9 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
     else:
         light, heavy, heavy_keys = rows, None, None
 
-    light, n_light = materialize(light.select(blk.alias("blk"), "e", "o", "c"),
-                                 f"{side}_light", count=True)
+    buckets = min(blocks, _MAX_BUCKETS)
+    light, n_light = materialize_bucketed(light.select(blk.alias("blk"), "e", "o", "c"),
+                                          f"{side}_light", "blk", buckets)
     routing, _ = materialize(
         light.filter(F.col("o") >= 0).select("blk", "o").distinct(), f"{side}_routing")
     return SideLayout(side, blocks, light, routing, heavy, heavy_keys, n_heavy, n_light)
@@ -107,14 +110,16 @@ def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtyp
     out_dtype = np.float32 if dtype == "float32" else np.float64
     s_diag = np.diag(s).copy()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_vec = left["kind"].to_numpy() == 0
-        ents = left[is_vec]
-        rows = left[~is_vec]
+    def run(rows: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
+        """``rows``: blk, e, o, c (static); ``vecs``: blk, kind, id, vec with
+        kind 0 = vectors being updated, kind 1 = routed vectors of the other side."""
+        is_ent = vecs["kind"].to_numpy() == 0
+        ents = vecs[is_ent]
+        others = vecs[~is_ent]
         if len(ents) == 0:
             return _vec_frame(np.zeros(0), np.zeros((0, k)))
-        order = np.argsort(ents["e"].to_numpy(), kind="stable")
-        e_ids = ents["e"].to_numpy()[order]
+        order = np.argsort(ents["id"].to_numpy(), kind="stable")
+        e_ids = ents["id"].to_numpy()[order]
         x = np.vstack(ents["vec"].to_numpy()[order]).astype(np.float64)
         skip = np.zeros(len(e_ids), dtype=bool)
 
@@ -123,10 +128,10 @@ def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtyp
             skip[np.searchsorted(e_ids, rows["e"].to_numpy()[markers])] = True
             rows = rows[~markers]
 
-        if len(rows) and len(right):
-            o_order = np.argsort(right["o"].to_numpy(), kind="stable")
-            o_ids = right["o"].to_numpy()[o_order]
-            y = np.vstack(right["vec"].to_numpy()[o_order]).astype(np.float64)
+        if len(rows) and len(others):
+            o_order = np.argsort(others["id"].to_numpy(), kind="stable")
+            o_ids = others["id"].to_numpy()[o_order]
+            y = np.vstack(others["vec"].to_numpy()[o_order]).astype(np.float64)
             u = np.searchsorted(e_ids, rows["e"].to_numpy())
             o = np.searchsorted(o_ids, rows["o"].to_numpy())
             c = rows["c"].to_numpy(dtype=np.float64)
@@ -206,16 +211,15 @@ def half_step(layout: SideLayout, vecs: DataFrame, other: DataFrame, s: np.ndarr
     vt = vec_type(dtype)
     out_schema = T.StructType([T.StructField("idx", T.LongType()), T.StructField("vec", vt)])
     b = layout.blocks
+    # only vectors move: the static history side is bucketed by blk already
     ents = vecs.select(F.pmod(F.col("idx"), F.lit(b)).cast("int").alias("blk"),
-                       F.lit(0).alias("kind"), F.col("idx").alias("e"),
-                       F.lit(None).cast("bigint").alias("o"), F.lit(None).cast("double").alias("c"),
+                       F.lit(0).alias("kind"), F.col("idx").alias("id"),
                        F.col("vec").cast(vt).alias("vec"))
-    rows = layout.light.select("blk", F.lit(1).alias("kind"), "e", "o", "c",
-                               F.lit(None).cast(vt).alias("vec"))
-    left = ents.unionByName(rows)
     routed = layout.routing.join(
-        other.select(F.col("idx").alias("o"), F.col("vec").cast(vt).alias("vec")), "o")
-    out = (left.groupBy("blk").cogroup(routed.groupBy("blk"))
+        other.select(F.col("idx").alias("o"), F.col("vec").cast(vt).alias("vec")), "o"
+    ).select("blk", F.lit(1).alias("kind"), F.col("o").alias("id"), "vec")
+    moving = ents.unionByName(routed)
+    out = (layout.light.groupBy("blk").cogroup(moving.groupBy("blk"))
            .applyInPandas(_block_kernel(layout.side, s, reg_lambda, observed_weight,
                                         observed_value, dtype), out_schema))
     if layout.heavy is None:

@@ -79,6 +79,24 @@ def materialize(df: DataFrame, name: str = "table",
     return spark.read.parquet(path), n
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str,
+                         buckets: int) -> tuple[DataFrame, int]:
+    """Write ``df`` as a table bucketed by ``key`` under the checkpoint folder.
+
+    Reading it back reports hash partitioning on ``key``, so a later
+    group/cogroup/join on ``key`` shuffles only the other side: a static
+    table reused every iteration is moved once, not once per iteration.
+    Returns the frame and its row count.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"fernrec_{name}_{uuid.uuid4().hex[:12]}"
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    (df.observe(obs, F.count(F.lit(1)).alias("n")).repartition(buckets, key)
+     .write.bucketBy(buckets, key).option("path", path).saveAsTable(table))
+    return spark.table(table), int(obs.get["n"])
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch files behind a frame returned by ``materialize``."""
     spark = df.sparkSession
