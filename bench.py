@@ -79,8 +79,7 @@ def main() -> None:
     st = prep.stats
     per_iter = [r["seconds"] for r in fitted.train_log]
     queries = {
-        "load_parse_text": round(st["load_seconds"], 3),
-        "dedup": round(st["dedupe_seconds"], 3),
+        "load_parse_dedup": round(st["load_dedup_seconds"], 3),
         "k_core": round(st["kcore_seconds"], 3),
         "index": round(st["index_seconds"], 3),
         "split": round(st["split_seconds"], 3),

@@ -53,14 +53,19 @@ class KCoreResult:
 
 
 def k_core(interactions: DataFrame, min_user: int, min_item: int, max_rounds: int = 30,
-           user_col: str = "user_id", item_col: str = "item_id") -> KCoreResult:
+           user_col: str = "user_id", item_col: str = "item_id",
+           input_count: int | None = None) -> KCoreResult:
     """Repeat (users first, then items) until a round removes nothing.
 
     Each round is written to the shared checkpoint folder (lineage cut, row
     count observed in the same job). ``converged`` is False when
-    ``max_rounds`` ran out before a stable round.
+    ``max_rounds`` ran out before a stable round. Pass ``input_count`` when
+    ``interactions`` is already a written table (it is then read as is).
     """
-    current, n = materialize(interactions, "kcore_input", count=True)
+    if input_count is None:
+        current, n = materialize(interactions, "kcore_input", count=True)
+    else:
+        current, n = interactions, input_count
     counts = [n]
     rounds = 0
     converged = False

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig, RuntimeConfig
-from ..operators.prepare import dedup_latest, index_interactions, k_core, leave_one_out
+from ..operators.prepare import index_interactions, k_core, leave_one_out
 from ..operators.weights import histories, item_weights
 from ..session import materialize
 
@@ -48,19 +48,21 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     t_all = time.time()
     n = runtime.num_partitions
 
+    # load + dedup in one job: raw rows are never written themselves; each
+    # pair keeps its repeat count, so raw = sum of counts, read from the
+    # written table (exact even when a lost executor makes a stage rerun)
     t = time.time()
-    raw, n_raw = materialize(interactions, "raw", count=True)
-    stats["raw_interactions"] = n_raw
-    stats["load_seconds"] = time.time() - t
-
-    t = time.time()
-    dedup, n_dedup = materialize(dedup_latest(raw), "dedup", count=True)
+    pairs = interactions.groupBy("user_id", "item_id").agg(
+        F.max("ts").alias("ts"), F.count(F.lit(1)).alias("_repeats"))
+    pairs, n_dedup = materialize(pairs, "dedup", count=True)
+    stats["raw_interactions"] = int(pairs.agg(F.sum("_repeats")).first()[0] or 0)
     stats["deduped_interactions"] = n_dedup
-    stats["dedupe_seconds"] = time.time() - t
+    dedup = pairs.select("user_id", "item_id", "ts")
+    stats["load_dedup_seconds"] = time.time() - t
 
     t = time.time()
     kc = k_core(dedup, model.min_user_interactions, model.min_item_interactions,
-                max_rounds=runtime.max_kcore_rounds)
+                max_rounds=runtime.max_kcore_rounds, input_count=n_dedup)
     stats["filtered_interactions"] = kc.counts[-1]
     stats["kcore_rounds"] = kc.rounds
     stats["kcore_seconds"] = time.time() - t
