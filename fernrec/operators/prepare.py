@@ -84,21 +84,21 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int, max_rounds: in
     return KCoreResult(current, rounds, counts, converged)
 
 
-def dense_index(df: DataFrame, id_col: str, idx_col: str,
-                num_partitions: int | None = None) -> DataFrame:
-    """W1 (+A5): dense 0-based index of the distinct ids in ascending order.
-
-    Same result as ``row_number() OVER (ORDER BY id) - 1`` without funnelling
-    all ids through one task: range partition, sort within partitions, count
-    per partition, prefix-sum the (few) counts, add the offset. The ranged ids
-    are written once so that both passes see the same range bounds.
+def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,
+              num_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in ascending ``order_cols`` order.
+
+    Same result as ``row_number() OVER (ORDER BY ...) - 1`` for a unique
+    order, without funnelling rows through one task: range partition, sort
+    within partitions, count per partition, prefix-sum the (few) counts, add
+    the offset. The ranged rows are written once so that both passes see the
+    same range bounds.
     """
     spark = df.sparkSession
     n = num_partitions or default_partitions(spark)
-    ranged = (df.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-              .repartitionByRange(n, id_col).sortWithinPartitions(id_col)
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged, _ = materialize(ranged, f"index_{id_col}")
+    ranged, _ = materialize(ranged, "ranked")
     part = F.shiftright("_mid", 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     # one row per range partition: size bounded by n, so broadcast is safe
@@ -107,7 +107,31 @@ def dense_index(df: DataFrame, id_col: str, idx_col: str,
                    Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
                .select("_part", F.coalesce("_off", F.lit(0)).alias("_off")))
     return (ranged.join(F.broadcast(offsets), part == F.col("_part"))
-            .select(id_col, (F.col("_off") + pos).cast("bigint").alias(idx_col)))
+            .withColumn(rank_col, (F.col("_off") + pos).cast("bigint"))
+            .drop("_mid", "_part", "_off"))
+
+
+def dense_index(df: DataFrame, id_col: str, idx_col: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """W1 (+A5): dense 0-based index of the distinct ids in ascending order."""
+    ids = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
+    return rank_rows(ids, [id_col], idx_col, num_partitions)
+
+
+# Above this many rows a "first n in order" is a distributed rank, below it a
+# top-n (each task keeps n rows, one task merges tasks x n rows).
+TOP_N_MERGE_LIMIT = 100_000
+
+
+def first_n(df: DataFrame, order_cols: list[str], n: int, pos_col: str = "pos") -> DataFrame:
+    """The first ``n`` rows in ascending ``order_cols`` order (a unique order)
+    with their 0-based position; the size of the result is the feature."""
+    if n <= TOP_N_MERGE_LIMIT:
+        top = df.orderBy(*order_cols).limit(n)
+        # at most n rows reach this window (bounded by the requested size)
+        w = Window.orderBy(*order_cols)
+        return top.withColumn(pos_col, (F.row_number().over(w) - 1).cast("bigint"))
+    return rank_rows(df, order_cols, pos_col).filter(F.col(pos_col) < F.lit(n))
 
 
 @dataclass

@@ -75,9 +75,14 @@ def _unpack(left: pd.DataFrame, right: pd.DataFrame):
     jorder = np.argsort(j_ids, kind="stable")
     j_ids = j_ids[jorder]
     qm = np.vstack(right["qvec"].to_numpy()[jorder]) if len(right) else np.zeros((0, 0))
-    tu = np.searchsorted(u_ids, train["user_idx"].to_numpy())
-    tj = np.searchsorted(j_ids, train["j"].to_numpy())
-    return u_ids, pm, s, t, j_ids, qm, tu, tj
+    tr_u = train["user_idx"].to_numpy()
+    tr_j = train["j"].to_numpy()
+    tu = np.minimum(np.searchsorted(u_ids, tr_u), max(len(u_ids) - 1, 0))
+    tj = np.minimum(np.searchsorted(j_ids, tr_j), max(len(j_ids) - 1, 0))
+    # train pairs of users (or items) absent from this cell mask nothing
+    ok = ((u_ids[tu] == tr_u) & (j_ids[tj] == tr_j)) if len(u_ids) and len(j_ids) \
+        else np.zeros(len(tr_u), dtype=bool)
+    return u_ids, pm, s, t, j_ids, qm, tu[ok], tj[ok]
 
 
 def _rank_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -139,8 +144,10 @@ def sample_users(test: DataFrame, n: int | None, seed: int) -> DataFrame:
     """E5: exactly ``min(n, users)`` users, deterministic in ``seed``; all if n is None/<=0."""
     if n is None or n <= 0:
         return test
+    from .prepare import first_n
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_idx").cast("string")))
-    return test.orderBy(key, "user_idx").limit(n)
+    cols = test.columns
+    return first_n(test.withColumn("_key", key), ["_key", "user_idx"], n, "_pos").select(*cols)
 
 
 def evaluate(test: DataFrame, train: DataFrame, p: DataFrame, q: DataFrame, topk: int,
@@ -148,6 +155,8 @@ def evaluate(test: DataFrame, train: DataFrame, p: DataFrame, q: DataFrame, topk
              block_users: int = 4096, block_items: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(per-user metrics, one-row summary)."""
     users = sample_users(test, sample, seed)
+    if sample is not None and sample > 0:
+        train = train.join(users.select("user_idx"), "user_idx", "left_semi")
     ranks = heldout_rank(users, train, p, q, num_users, num_items, block_users, block_items)
     per_user = hr_ndcg(ranks, topk)
     return per_user, summarize(per_user)

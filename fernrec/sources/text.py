@@ -153,12 +153,5 @@ def sample_first_records(spark: SparkSession, path: str | list[str], n: int) ->
         .withColumn("value", F.regexp_replace("value", r"^\n+", ""))
         .filter(F.length(F.regexp_replace("value", rf"{WHITESPACE_CLASS}", "")) > 0)
     )
-    top = blocks.orderBy("_file", "_start", "_row", "_part").limit(n)
-    return top.select(
-        (F.row_number().over(_order_window()) - 1).cast("bigint").alias("pos"), "value")
-
-
-def _order_window():
-    from pyspark.sql import Window
-    # At most n rows reach this window: the limit above already cut them.
-    return Window.orderBy("_file", "_start", "_row", "_part")
+    from ..operators.prepare import first_n
+    return first_n(blocks, ["_file", "_start", "_row", "_part"], n).select("pos", "value")

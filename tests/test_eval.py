@@ -102,3 +102,24 @@ def test_sample_users(spark):
     assert sample_users(X, 100, 42).count() == 40
     assert sample_users(X, None, 42).count() == 40
     assert sorted(r.user_idx for r in sample_users(X, 10, 7).collect()) != a
+
+
+def test_rank_of_a_user_subset_ignores_other_train_rows(spark):
+    """Train pairs of users outside the evaluated set must not mask anything."""
+    p, q, train, test, P, Q, T, X = setup_model(spark)
+    subset = X.filter("user_idx % 3 = 0")
+    got = {r.user_idx: r.rank for r in heldout_rank(subset, T, P, Q, len(p), len(q),
+                                                    5, 7).collect()}
+    full = brute_rank(p, q, train, test)
+    assert got == {u: r for u, r in full.items() if u % 3 == 0}
+
+
+def test_evaluate_with_sample(spark):
+    from fernrec.operators.scoring import evaluate
+    p, q, train, test, P, Q, T, X = setup_model(spark)
+    per_user, summary = evaluate(X, T, P, Q, 10, len(p), len(q), sample=7, seed=1,
+                                 block_users=5, block_items=7)
+    full = brute_rank(p, q, train, test)
+    rows = per_user.collect()
+    assert len(rows) == 7 and all(r.rank == full[r.user_idx] for r in rows)
+    assert summary.first().evaluated_users == 7
