@@ -42,7 +42,10 @@ def main() -> None:
     from fernrec.sources.tables import table_path
     from fernrec.sources.text import load_interactions, record_text, write_review_text
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="fernrec-bench")
+    # one shuffle partition per core suits sf0.1 (a few MB per stage); size it
+    # from the data on a cluster
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=parts, app="fernrec-bench")
 
     # untimed setup: the interaction source as review text
     lines = spark.read.parquet(table_path(sf_dir, "lineitem")).select(
