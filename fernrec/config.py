@@ -61,10 +61,13 @@ class RuntimeConfig:
     smoke_records: int = 10_000
     num_partitions: int | None = None
     # Interactions routed to one coordinate-update task (sizes the user/item blocks).
-    rows_per_block: int = 2_000_000
+    # (bounds a task's memory: rows plus at most one routed vector per row)
+    rows_per_block: int = 250_000
     # Entities with more interactions than this are solved from partial Gram sums
     # aggregated across many tasks instead of inside one block.
-    heavy_threshold: int = 200_000
+    heavy_threshold: int = 100_000
+    # Rows of one heavy entity folded into one partial-sum task.
+    heavy_chunk_rows: int = 50_000
     # Users x items scored in one evaluation task, and the maximum rows per side.
     eval_block_users: int = 4096
     eval_block_items: int = 8192
@@ -77,7 +80,7 @@ class RuntimeConfig:
             raise ValueError("mode must be exactly 'full' or 'smoke'")
         if self.num_partitions is not None and self.num_partitions < 1:
             raise ValueError("num_partitions must be a positive integer")
-        for name in ("rows_per_block", "heavy_threshold", "eval_block_users",
+        for name in ("rows_per_block", "heavy_threshold", "heavy_chunk_rows", "eval_block_users",
                      "eval_block_items", "max_kcore_rounds", "smoke_records"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be >= 1")

@@ -62,7 +62,8 @@ class SideLayout:
 
 
 def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
-                 rows_per_block: int, num_blocks: int | None = None) -> SideLayout:
+                 rows_per_block: int, num_blocks: int | None = None,
+                 heavy_chunk_rows: int | None = None) -> SideLayout:
     """Route ``hist`` (user_idx, item_idx, c) for updates of ``side``."""
     if side not in ("user", "item"):
         raise ValueError("side must be 'user' or 'item'")
@@ -84,7 +85,8 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
         markers = heavy_keys.select("e", F.lit(-1).cast("bigint").alias("o"),
                                     F.lit(0.0).alias("c"))
         light = light.unionByName(markers)
-        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(heavy_threshold)))
+        chunk = heavy_chunk_rows or heavy_threshold
+        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(chunk)))
         heavy = (rows.join(heavy_keys, "e")
                  .select("e", F.pmod(F.xxhash64("o"), chunks).alias("part"), "o", "c"))
         heavy, _ = materialize(heavy, f"{side}_heavy_rows")

@@ -24,6 +24,17 @@ class RunResult:
     eval_seconds: float
 
 
+def load_review_text(spark: SparkSession, path: str | list[str],
+                     runtime: RuntimeConfig | None = None) -> DataFrame:
+    """Interactions from review text; in ``smoke`` mode only the first
+    ``smoke_records`` records in file order (S3), else every record (S1, S2)."""
+    from ..sources.text import load_interactions, parse_records, sample_first_records
+    runtime = runtime or RuntimeConfig()
+    if runtime.mode == "smoke":
+        return parse_records(sample_first_records(spark, path, runtime.smoke_records))
+    return load_interactions(spark, path, runtime.num_partitions)
+
+
 def check_prepared(prep: Prepared) -> None:
     """Preparation must leave at least one test user."""
     if prep.stats.get("test_users", 0) == 0:
@@ -82,5 +93,5 @@ def metrics_json(metrics: DataFrame) -> str:
     return json.dumps(metrics_dict(metrics), indent=2)
 
 
-__all__ = ["RunResult", "check_prepared", "run", "save_artifacts", "load_factors",
+__all__ = ["RunResult", "load_review_text", "check_prepared", "run", "save_artifacts", "load_factors",
            "metrics_dict", "metrics_json", "F"]

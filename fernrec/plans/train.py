@@ -36,8 +36,10 @@ def initial_factors(prep: Prepared, model: ModelConfig) -> tuple[DataFrame, Data
 
 
 def layouts(prep: Prepared, runtime: RuntimeConfig) -> tuple[SideLayout, SideLayout]:
-    users = build_layout(prep.hist, "user", runtime.heavy_threshold, runtime.rows_per_block)
-    items = build_layout(prep.hist, "item", runtime.heavy_threshold, runtime.rows_per_block)
+    users = build_layout(prep.hist, "user", runtime.heavy_threshold, runtime.rows_per_block,
+                         heavy_chunk_rows=runtime.heavy_chunk_rows)
+    items = build_layout(prep.hist, "item", runtime.heavy_threshold, runtime.rows_per_block,
+                         heavy_chunk_rows=runtime.heavy_chunk_rows)
     return users, items
 
 

@@ -101,3 +101,40 @@ def test_weights_golden(spark):
     empty = train.limit(0)
     w = all_item_weights(items, item_weights(empty, 10.0, 0.5))
     assert [r.c for r in w.collect()] == [0.0, 0.0, 0.0]
+
+
+# Round counts measured on the driver tables (FIXTURES.md §2).
+
+def test_k_core_rounds_on_order_lines(spark):
+    from conftest import SF01
+    from fernrec.sources.tables import order_line_interactions
+    dd = dedup_latest(order_line_interactions(spark, SF01))
+    assert k_core(dd, 23, 23).counts == [59391, 51353, 48385, 47189, 46773, 46708, 46708]
+    collapse = k_core(dd, 24, 24)
+    assert collapse.counts[-1] == 0 and collapse.converged
+    capped = k_core(dd, 24, 24, max_rounds=2)
+    assert capped.counts == [59391, 47942, 41628] and not capped.converged
+    assert capped.interactions.count() == 41628
+
+
+def test_k_core_rounds_on_events(spark):
+    from conftest import SF01, SF001
+    from fernrec.sources.tables import events_interactions
+    ev = dedup_latest(events_interactions(spark, SF01))
+    assert k_core(ev, 40, 30).counts == [7310, 7155, 7155]
+    small = dedup_latest(events_interactions(spark, SF001))
+    assert k_core(small, 10, 10).counts == [739, 83, 0, 0]
+
+
+def test_smoke_mode_reads_first_records(spark):
+    import os
+    import tempfile
+    from fernrec.config import RuntimeConfig
+    from fernrec.plans.end_to_end import load_review_text
+    d = tempfile.mkdtemp(prefix="fernrec-smoke-")
+    recs = [f"product/productId: I{i}\nreview/userId: U{i}\nreview/time: {i}" for i in range(20)]
+    with open(os.path.join(d, "a.txt"), "w") as f:
+        f.write("\n\n".join(recs) + "\n")
+    smoke = load_review_text(spark, d, RuntimeConfig(mode="smoke", smoke_records=5))
+    assert sorted(r.ts for r in smoke.collect()) == [0, 1, 2, 3, 4]
+    assert load_review_text(spark, d, RuntimeConfig()).count() == 20
