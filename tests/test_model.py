@@ -106,3 +106,38 @@ def test_half_step_matches_scalar_sweep(spark, side, heavy_threshold):
         got = as_matrix(out, n_i, k)
     assert out.count() == (n_u if side == "user" else n_i)
     assert np.allclose(got, expected, atol=1e-9)
+
+
+def test_hot_item_and_hot_user(spark):
+    """One item holds a third of all rows and one user rates most items: both
+    take the chunked partial-sum path and agree with the scalar sweep."""
+    rng = np.random.default_rng(7)
+    n_u, n_i, k = 60, 40, 3
+    pairs = {(u, 0) for u in range(n_u)}                      # hot item 0
+    pairs |= {(0, i) for i in range(n_i)}                     # hot user 0
+    while len(pairs) < 3 * n_u:
+        pairs.add((int(rng.integers(1, n_u)), int(rng.integers(1, n_i))))
+    pairs = sorted(pairs)
+    assert sum(1 for _, i in pairs if i == 0) * 3 >= len(pairs)
+    c_item = rng.uniform(0.05, 2.0, size=n_i)
+    rows = [(u, i, float(c_item[i])) for u, i in pairs]
+    hist = spark.createDataFrame(rows, "user_idx bigint, item_idx bigint, c double")
+    p = rng.normal(size=(n_u, k))
+    q = rng.normal(size=(n_i, k))
+    for side in ("user", "item"):
+        layout = build_layout(hist, side, heavy_threshold=20, rows_per_block=30,
+                              heavy_chunk_rows=7)
+        assert layout.heavy_entities >= 1
+        if side == "user":
+            s = q.T @ (q * c_item[:, None])
+            out = half_step(layout, vecs(spark, enumerate(p)), vecs(spark, enumerate(q)), s,
+                            0.1, dtype="float64")
+            exp = reference_sweep(p, q, rows, s, 0.1, 1.0, 1.0, "user", c_item)
+            assert np.allclose(as_matrix(out, n_u, k), exp, atol=1e-9)
+        else:
+            s = p.T @ p
+            out = half_step(layout, vecs(spark, enumerate(q)), vecs(spark, enumerate(p)), s,
+                            0.1, dtype="float64")
+            exp = reference_sweep(q, p, [(i, u, c) for u, i, c in rows], s, 0.1, 1.0, 1.0,
+                                  "item", c_item)
+            assert np.allclose(as_matrix(out, n_i, k), exp, atol=1e-9)
