@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 # class (Unicode separators, ASCII whitespace, \x1c-\x1f, \x85).
 WHITESPACE_CLASS = r"[\p{Z}\s\x{1c}-\x{1f}\x{0b}\x{85}]"
 
+# The same whitespace as an explicit character set, in code
+# point order: \t \n \x0b \x0c \r \x1c-\x1f space \x85 \xa0 U+1680
+# U+2000-U+200A U+2028 U+2029 U+202F U+205F U+3000.
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                    + "".join(chr(c) for c in range(0x2000, 0x200B))
+                    + "\u2028\u2029\u202f\u205f\u3000")
+
 # The line breaks of Python's str.splitlines(), as a Java regex
 # (\R covers \r\n \n \x0b \f \r \x85 U+2028 U+2029; plus \x1c-\x1e).
 LINE_BREAK_PATTERN = r"\R|[\x{1c}-\x{1e}]"
 
 
 def unicode_strip(col: Column) -> Column:
-    """Strip leading/trailing Unicode whitespace, as Python's ``str.strip()``."""
-    return F.regexp_replace(col, rf"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
+    """Strip leading/trailing Unicode whitespace, as Python's ``str.strip()``
+    (a character-set trim: no regex, code-generated)."""
+    return F.trim(col, F.lit(WHITESPACE_CHARS))
 
 
 def epoch_micros(ts: Column | str) -> Column:

@@ -38,11 +38,20 @@ def read_record_blocks(spark: SparkSession, path: str | list[str],
     return blocks
 
 
-def _last_value(lines: Column, prefix: str) -> Column:
-    """Stripped value of the last line starting with ``prefix`` (NULL if none)."""
-    hits = F.filter(lines, lambda line: line.startswith(prefix))
-    last = F.try_element_at(hits, F.lit(-1))
-    return unicode_strip(F.substring(last, len(prefix) + 1, 1 << 30))
+def _line_value(norm: Column, prefix: str) -> Column:
+    """Stripped value of the last line of ``norm`` starting with ``prefix``
+    (NULL if there is none). ``norm`` is the record with every line break
+    turned into ``\n`` and a leading ``\n``, so a line start is ``\n``."""
+    key = "\n" + prefix
+    after = F.substring_index(norm, key, -1)
+    return F.when(F.instr(norm, key) > 0,
+                  unicode_strip(F.substring_index(after, "\n", 1)))
+
+
+def _occurrences(norm: Column, prefix: str) -> Column:
+    key = "\n" + prefix
+    return ((F.length(norm) - F.length(F.replace(norm, F.lit(key), F.lit(""))))
+            / F.lit(len(key))).cast("int")
 
 
 def parse_records(blocks: DataFrame, value_col: str = "value",
@@ -54,27 +63,30 @@ def parse_records(blocks: DataFrame, value_col: str = "value",
     * time: every time line must parse as an integer, else the record is
       rejected; the last one wins;
     * a record without any of the three is rejected.
+
+    All string functions are code-generated; only a record with more than
+    one time line takes an array path to check every one of them.
     """
-    lines = F.split(F.col(value_col), LINE_BREAK_PATTERN)
-    times = F.transform(
-        F.filter(lines, lambda line: line.startswith(TIME_PREFIX)),
-        lambda line: unicode_strip(
-            F.substring(line, len(TIME_PREFIX) + 1, 1 << 30)).try_cast("bigint"))
-    parsed = blocks.select(
+    norm = F.regexp_replace(F.concat(F.lit("\n"), F.col(value_col)), LINE_BREAK_PATTERN, "\n")
+    parsed = blocks.select(*keep, norm.alias("_norm")).select(
         *keep,
-        _last_value(lines, USER_PREFIX).alias("user_id"),
-        _last_value(lines, PRODUCT_PREFIX).alias("item_id"),
-        times.alias("_times"),
-    )
-    bad_time = F.exists("_times", lambda t: t.isNull())
+        _line_value(F.col("_norm"), USER_PREFIX).alias("user_id"),
+        _line_value(F.col("_norm"), PRODUCT_PREFIX).alias("item_id"),
+        _line_value(F.col("_norm"), TIME_PREFIX).try_cast("bigint").alias("ts"),
+        _occurrences(F.col("_norm"), TIME_PREFIX).alias("_n_time"),
+        "_norm")
+    every_time_parses = F.when(F.col("_n_time") <= 1, F.col("ts").isNotNull()).otherwise(
+        ~F.exists(
+            F.filter(F.split("_norm", "\n"), lambda line: line.startswith(TIME_PREFIX)),
+            lambda line: unicode_strip(
+                F.substring(line, len(TIME_PREFIX) + 1, 1 << 30)).try_cast("bigint").isNull()))
     return (
         parsed.filter(
             (F.length("user_id") > 0)
             & (F.length("item_id") > 0)
-            & (F.size("_times") > 0)
-            & ~bad_time)
-        .select(*keep, "user_id", "item_id",
-                F.try_element_at("_times", F.lit(-1)).alias("ts"))
+            & (F.col("_n_time") > 0)
+            & every_time_parses)
+        .select(*keep, "user_id", "item_id", "ts")
     )
 
 

@@ -76,3 +76,50 @@ def test_sample_first_records(spark):
     assert [r["pos"] for r in got] == [0, 1, 2, 3]
     assert [r["value"].split("\n")[0] for r in got] == [f"{P}I{i}" for i in range(4)]
     assert sample_first_records(spark, d, 100).count() == 10
+
+
+# Property: random records against the format's specification.
+# Time values avoid the two accepted deviations (digit separators and values
+# beyond 64 bits, which the integer cast rejects).
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_BREAKS = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
+_PAD = ["", " ", "\t", " ", " ", "\x1f"]
+_TIMES = ["5", "-3", "+7", "0", "abc", "", "12.5", "42 ", " 9"]
+_IDS = ["A", "B1", "x y", "", "é", "Q\x1fR"]
+
+
+def _spec(block):
+    fields = {}
+    for line in block.splitlines():
+        for name, prefix in (("item", P), ("user", U), ("time", T)):
+            if line.startswith(prefix):
+                value = line[len(prefix):].strip()
+                if name == "time":
+                    try:
+                        value = int(value)
+                    except ValueError:
+                        return None
+                fields[name] = value
+    if not fields.get("user") or not fields.get("item") or "time" not in fields:
+        return None
+    return fields["user"], fields["item"], fields["time"]
+
+
+_line = st.one_of(
+    st.tuples(st.sampled_from([P, U, " " + U, "review/userid: "]), st.sampled_from(_PAD),
+              st.sampled_from(_IDS), st.sampled_from(_PAD)).map("".join),
+    st.tuples(st.just(T), st.sampled_from(_PAD), st.sampled_from(_TIMES)).map("".join),
+    st.sampled_from(["review/summary: ok", "", "review/score: 5.0"]))
+_block = st.lists(st.tuples(_line, st.sampled_from(_BREAKS)), max_size=7).map(
+    lambda parts: "".join(a + b for a, b in parts))
+
+
+@settings(max_examples=int(__import__("os").environ.get("PARSE_EXAMPLES", "10")), deadline=None)
+@given(st.lists(_block, min_size=1, max_size=60))
+def test_parse_matches_spec(spark, blocks):
+    got = parse(spark, blocks)
+    exp = [r for r in map(_spec, blocks) if r is not None]
+    assert sorted(got) == sorted(exp)
