@@ -123,3 +123,25 @@ def test_evaluate_with_sample(spark):
     rows = per_user.collect()
     assert len(rows) == 7 and all(r.rank == full[r.user_idx] for r in rows)
     assert summary.first().evaluated_users == 7
+
+
+def test_metrics_agree_with_ranking_evaluator(spark):
+    """HR@K / NDCG@K from the held-out rank equal Spark ML's recallAtK /
+    ndcgAtK on the top-K lists (one relevant item per user)."""
+    from pyspark.ml.evaluation import RankingEvaluator
+    from pyspark.sql import functions as F
+    p, q, train, test, P, Q, T, X = setup_model(spark, n_u=40, n_i=50, seed=11)
+    k = 6
+    ours = summarize(hr_ndcg(heldout_rank(X, T, P, Q, len(p), len(q), 7, 9), k)).first()
+    rec = recommend_topk(X, T, P, Q, k, len(p), len(q), 7, 9)
+    lists = (rec.groupBy("user_idx")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "item_idx"))).alias("r"))
+             .select("user_idx", F.transform("r", lambda x: x["item_idx"].cast("double"))
+                     .alias("prediction")))
+    data = lists.join(X.select("user_idx", F.array(F.col("test_item_idx").cast("double"))
+                               .alias("label")), "user_idx")
+    recall = RankingEvaluator(metricName="recallAtK", k=k).evaluate(data)
+    ndcg = RankingEvaluator(metricName="ndcgAtK", k=k).evaluate(data)
+    assert ours.hr == pytest.approx(recall, abs=1e-12)
+    assert ours.ndcg == pytest.approx(ndcg, abs=1e-12)
+    assert 0 < ours.hr < 1
