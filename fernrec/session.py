@@ -60,6 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fernrec/{uuid.uuid4().hex}/{name}"
 
 
+def _observed_rows(obs: Observation, written: DataFrame) -> int:
+    """Row count observed in the write job; when no task of the job ran (an
+    input without partitions gives an empty metrics row), count the files."""
+    try:
+        value = obs.get.get("n")
+    except Exception:  # noqa: BLE001 - empty observation row
+        value = None
+    return int(value) if value is not None else written.count()
+
+
 def materialize(df: DataFrame, name: str = "table",
                 count: bool = False) -> tuple[DataFrame, int | None]:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
@@ -73,9 +83,9 @@ def materialize(df: DataFrame, name: str = "table",
     if count:
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
         df.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        n = int(obs.get["n"])
-    else:
-        df.write.parquet(path)
+        out = spark.read.parquet(path)
+        return out, _observed_rows(obs, out)
+    df.write.parquet(path)
     return spark.read.parquet(path), n
 
 
@@ -92,9 +102,11 @@ def materialize_bucketed(df: DataFrame, name: str, key: str,
     path = scratch_path(spark, name)
     table = f"fernrec_{name}_{uuid.uuid4().hex[:12]}"
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    (df.observe(obs, F.count(F.lit(1)).alias("n")).repartition(buckets, key)
+    # observed after the exchange: counted in the write (result) stage only
+    (df.repartition(buckets, key).observe(obs, F.count(F.lit(1)).alias("n"))
      .write.bucketBy(buckets, key).option("path", path).saveAsTable(table))
-    return spark.table(table), int(obs.get["n"])
+    out = spark.table(table)
+    return out, _observed_rows(obs, out)
 
 
 def release(df: DataFrame) -> None:

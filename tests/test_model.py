@@ -141,3 +141,22 @@ def test_hot_item_and_hot_user(spark):
             exp = reference_sweep(q, p, [(i, u, c) for u, i, c in rows], s, 0.1, 1.0, 1.0,
                                   "item", c_item)
             assert np.allclose(as_matrix(out, n_i, k), exp, atol=1e-9)
+
+
+def test_empty_inputs(spark):
+    """No history: vectors are kept; no test users: zero metrics, no rows."""
+    from fernrec.operators.scoring import evaluate, recommend_topk
+    hist = spark.createDataFrame([], "user_idx bigint, item_idx bigint, c double")
+    v = vecs(spark, [(0, [1.0, 2.0]), (1, [3.0, 4.0])])
+    layout = build_layout(hist, "user", 10, 10)
+    assert layout.light_rows == 0
+    out = sorted((r.idx, list(r.vec)) for r in
+                 half_step(layout, v, v, np.eye(2), 0.1, dtype="float64").collect())
+    assert out == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    test = spark.createDataFrame([], "user_idx bigint, test_item_idx bigint, n_train bigint")
+    train = spark.createDataFrame([], "user_idx bigint, item_idx bigint")
+    per_user, summary = evaluate(test, train, v, v, 10, 0, 2)
+    row = summary.first()
+    assert (row.hr, row.ndcg, row.evaluated_users) == (0.0, 0.0, 0)
+    assert per_user.count() == 0
+    assert recommend_topk(test, train, v, v, 5, 0, 2).count() == 0
