@@ -59,21 +59,27 @@ def run(interactions: DataFrame, model: ModelConfig,
 
 
 def save_artifacts(result: RunResult, out_dir: str, model: ModelConfig) -> None:
-    """Factors (Parquet, sorted by idx within files), metrics, stats,
-    train log and config (JSON), id maps (Parquet, by index)."""
+    """Factors and id maps as Parquet in index order (range
+    partitioned, so file order is index order), metrics, stats, train log and
+    config as JSON (one file each: one row, one row per stage or iteration)."""
     spark = result.metrics.sparkSession
     out = out_dir.rstrip("/")
+
+    def in_order(df: DataFrame, col: str) -> DataFrame:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        return df.repartitionByRange(n, col).sortWithinPartitions(col)
+
     for name, df in (("p", result.model.p), ("q", result.model.q)):
-        df.sortWithinPartitions("idx").write.mode("overwrite").parquet(f"{out}/factors_{name}")
+        in_order(df, "idx").write.mode("overwrite").parquet(f"{out}/factors_{name}")
     result.metrics.coalesce(1).write.mode("overwrite").json(f"{out}/metrics")
     result.prepared.stats_frame(spark).coalesce(1).write.mode("overwrite").json(
         f"{out}/prepare_stats")
     result.model.log_frame(spark).coalesce(1).write.mode("overwrite").json(f"{out}/train_log")
     spark.createDataFrame([(model.to_json(),)], "config string").coalesce(1).write.mode(
         "overwrite").text(f"{out}/config")
-    result.prepared.user_index.sortWithinPartitions("user_idx").write.mode("overwrite").parquet(
+    in_order(result.prepared.user_index, "user_idx").write.mode("overwrite").parquet(
         f"{out}/user_ids")
-    result.prepared.item_index.sortWithinPartitions("item_idx").write.mode("overwrite").parquet(
+    in_order(result.prepared.item_index, "item_idx").write.mode("overwrite").parquet(
         f"{out}/item_ids")
 
 

@@ -103,3 +103,34 @@ def test_run_end_to_end(spark):
     assert st["train_interactions"] == 721 - 15
     row = res.metrics.first()
     assert 0.0 <= row.ndcg <= row.hr <= 1.0
+
+    # sinks: factors and id maps in index order, JSON metrics / stats / log
+    import json
+    import tempfile
+    from fernrec.plans.end_to_end import load_factors, save_artifacts
+    out = tempfile.mkdtemp(prefix="fernrec-art-")
+    save_artifacts(res, out, m)
+    p, q = load_factors(spark, out)
+    assert sorted(r.idx for r in p.collect()) == list(range(15))
+    assert q.count() == st["num_items"]
+
+    def in_file_order(df, col):
+        from pyspark.sql import functions as F
+        rows = df.select(F.col("_metadata.file_name").alias("f"), col).collect()
+        by_file = {}
+        for r in rows:
+            by_file.setdefault(r.f, []).append(r[col])
+        return [v for f in sorted(by_file) for v in by_file[f]]
+
+    assert in_file_order(p, "idx") == list(range(15))
+    users = spark.read.parquet(f"{out}/user_ids")
+    assert in_file_order(users, "user_idx") == list(range(15))
+    ids = {r.user_idx: r.user_id for r in users.collect()}
+    assert [ids[i] for i in range(15)] == sorted(ids.values())
+    saved = spark.read.json(f"{out}/metrics").first()
+    assert (saved.hr, saved.ndcg, saved.evaluated_users) == (row.hr, row.ndcg, 15)
+    stages = {r.stage: r.value for r in spark.read.json(f"{out}/prepare_stats").collect()}
+    assert stages["raw_interactions"] == 1000 and stages["test_users"] == 15
+    assert spark.read.json(f"{out}/train_log").count() == 2
+    cfg = json.loads(spark.read.text(f"{out}/config").first().value)
+    assert cfg["factors"] == 8
