@@ -57,7 +57,7 @@ def test_half_step_golden(spark):
         assert out[1][0] == 3.0  # no history: vector kept
 
 
-def reference_sweep(x, y, hist, s, lam, w, r, side, c_item):
+def scalar_sweep(x, y, hist, s, lam, w, r, side, c_item):
     """Per-entity scalar sweep written from the update equations."""
     x = x.copy()
     k = x.shape[1]
@@ -94,14 +94,14 @@ def test_half_step_matches_scalar_sweep(spark, side, heavy_threshold):
         s = q.T @ (q * c_item[:, None])
         out = half_step(layout, vecs(spark, enumerate(p)), vecs(spark, enumerate(q)), s, 0.1,
                         dtype="float64")
-        expected = reference_sweep(p, q, [(u, i, c) for u, i, c in hist_rows], s, 0.1, 1.0, 1.0,
+        expected = scalar_sweep(p, q, [(u, i, c) for u, i, c in hist_rows], s, 0.1, 1.0, 1.0,
                                    "user", c_item)
         got = as_matrix(out, n_u, k)
     else:
         s = p.T @ p
         out = half_step(layout, vecs(spark, enumerate(q)), vecs(spark, enumerate(p)), s, 0.1,
                         dtype="float64")
-        expected = reference_sweep(q, p, [(i, u, c) for u, i, c in hist_rows], s, 0.1, 1.0, 1.0,
+        expected = scalar_sweep(q, p, [(i, u, c) for u, i, c in hist_rows], s, 0.1, 1.0, 1.0,
                                    "item", c_item)
         got = as_matrix(out, n_i, k)
     assert out.count() == (n_u if side == "user" else n_i)
@@ -132,13 +132,13 @@ def test_hot_item_and_hot_user(spark):
             s = q.T @ (q * c_item[:, None])
             out = half_step(layout, vecs(spark, enumerate(p)), vecs(spark, enumerate(q)), s,
                             0.1, dtype="float64")
-            exp = reference_sweep(p, q, rows, s, 0.1, 1.0, 1.0, "user", c_item)
+            exp = scalar_sweep(p, q, rows, s, 0.1, 1.0, 1.0, "user", c_item)
             assert np.allclose(as_matrix(out, n_u, k), exp, atol=1e-9)
         else:
             s = p.T @ p
             out = half_step(layout, vecs(spark, enumerate(q)), vecs(spark, enumerate(p)), s,
                             0.1, dtype="float64")
-            exp = reference_sweep(q, p, [(i, u, c) for u, i, c in rows], s, 0.1, 1.0, 1.0,
+            exp = scalar_sweep(q, p, [(i, u, c) for u, i, c in rows], s, 0.1, 1.0, 1.0,
                                   "item", c_item)
             assert np.allclose(as_matrix(out, n_i, k), exp, atol=1e-9)
 
