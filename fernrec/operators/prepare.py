@@ -86,6 +86,12 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int, max_rounds: in
 
 def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,
               num_partitions: int | None = None) -> DataFrame:
+    """See ``rank_rows_counted``; returns the frame only."""
+    return rank_rows_counted(df, order_cols, rank_col, num_partitions)[0]
+
+
+def rank_rows_counted(df: DataFrame, order_cols: list[str], rank_col: str,
+                      num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """0-based position of each row in ascending ``order_cols`` order.
 
     Same result as ``row_number() OVER (ORDER BY ...) - 1`` for a unique
@@ -98,7 +104,7 @@ def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,
     n = num_partitions or default_partitions(spark)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged, _ = materialize(ranged, "ranked")
+    ranged, n_rows = materialize(ranged, "ranked", count=True)
     part = F.shiftright("_mid", 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     # one row per range partition: size bounded by n, so broadcast is safe
@@ -106,16 +112,26 @@ def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,
                .withColumn("_off", F.sum("_n").over(
                    Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
                .select("_part", F.coalesce("_off", F.lit(0)).alias("_off")))
-    return (ranged.join(F.broadcast(offsets), part == F.col("_part"))
-            .withColumn(rank_col, (F.col("_off") + pos).cast("bigint"))
-            .drop("_mid", "_part", "_off"))
+    ranked = (ranged.join(F.broadcast(offsets), part == F.col("_part"))
+              .withColumn(rank_col, (F.col("_off") + pos).cast("bigint"))
+              .drop("_mid", "_part", "_off"))
+    return ranked, n_rows
 
 
 def dense_index(df: DataFrame, id_col: str, idx_col: str,
                 num_partitions: int | None = None) -> DataFrame:
     """W1 (+A5): dense 0-based index of the distinct ids in ascending order."""
+    return dense_index_counted(df, id_col, idx_col, num_partitions)[0]
+
+
+def dense_index_counted(df: DataFrame, id_col: str, idx_col: str,
+                        num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``dense_index`` and the number of distinct ids (counted in its write).
+
+    The index is a pure function of a written table (ranked ids plus the
+    broadcast per-partition offsets), so it need not be written again."""
     ids = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-    return rank_rows(ids, [id_col], idx_col, num_partitions)
+    return rank_rows_counted(ids, [id_col], idx_col, num_partitions)
 
 
 # Above this many rows a "first n in order" is a distributed rank, below it a
@@ -139,15 +155,17 @@ class Indexed:
     interactions: DataFrame  # user_idx, item_idx, ts
     user_index: DataFrame    # user_id, user_idx
     item_index: DataFrame    # item_id, item_idx
+    num_users: int = 0
+    num_items: int = 0
 
 
 def index_interactions(interactions: DataFrame, num_partitions: int | None = None) -> Indexed:
     """W1 twice + J3/J4: replace string ids by dense indices."""
-    users = dense_index(interactions, "user_id", "user_idx", num_partitions)
-    items = dense_index(interactions, "item_id", "item_idx", num_partitions)
+    users, n_users = dense_index_counted(interactions, "user_id", "user_idx", num_partitions)
+    items, n_items = dense_index_counted(interactions, "item_id", "item_idx", num_partitions)
     indexed = (interactions.join(users, "user_id").join(items, "item_id")
                .select("user_idx", "item_idx", "ts"))
-    return Indexed(indexed, users, items)
+    return Indexed(indexed, users, items, n_users, n_items)
 
 
 @dataclass

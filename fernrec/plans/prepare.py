@@ -69,11 +69,9 @@ def prepare(interactions: DataFrame, model: ModelConfig,
 
     t = time.time()
     ix = index_interactions(kc.interactions, n)
-    user_index, num_users = materialize(ix.user_index, "user_index", count=True)
-    item_index, num_items = materialize(ix.item_index, "item_index", count=True)
-    indexed, n_indexed = materialize(
-        kc.interactions.join(user_index, "user_id").join(item_index, "item_id")
-        .select("user_idx", "item_idx", "ts"), "indexed", count=True)
+    user_index, item_index = ix.user_index, ix.item_index
+    num_users, num_items = ix.num_users, ix.num_items
+    indexed, n_indexed = materialize(ix.interactions, "indexed", count=True)
     stats["num_users"] = num_users
     stats["num_items"] = num_items
     stats["indexed_interactions"] = n_indexed
