@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions.columns import dot, hit_at, ndcg_at
 
 _CELL = 1 << 22  # user x item scores held at once inside a task
+_MERGE_FANIN = 64  # item blocks merged per user in one window before a second level
 
 
 def _blocks(n: int, per_block: int) -> int:
@@ -201,8 +202,10 @@ def recommend_topk(users: DataFrame, train: DataFrame, p: DataFrame, q: DataFram
 
     ``users`` has a ``user_idx`` column. Output ``user_idx, rank, item_idx,
     score`` (rank 1-based; ties by lower item index). Each block keeps its own
-    top-k (exact: the global top-k is inside the union), so a user's merge
-    sees at most ``k x item blocks`` candidates.
+    top-k (exact: the global top-k is inside the union of the block top-ks).
+    With many item blocks the merge runs in two levels: top-k within groups
+    of about sqrt(item blocks) blocks, then across the groups, so no user's
+    window holds more than about ``k x sqrt(item blocks)`` rows.
     """
     ub, ib = _blocks(num_users, block_users), _blocks(num_items, block_items)
     u = (users.select("user_idx").join(
@@ -216,7 +219,15 @@ def recommend_topk(users: DataFrame, train: DataFrame, p: DataFrame, q: DataFram
                            T.StructField("score", T.DoubleType())])
     cand = (left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
             .applyInPandas(_topk_kernel(k), schema))
-    w = Window.partitionBy("user_idx").orderBy(F.col("score").desc(), F.col("item_idx").asc())
+    order = [F.col("score").desc(), F.col("item_idx").asc()]
+    if ib > _MERGE_FANIN:
+        # first level: the item block of a candidate is item_idx mod ib
+        per_group = math.isqrt(ib - 1) + 1
+        group = F.floor(F.pmod("item_idx", F.lit(ib)) / F.lit(per_group))
+        w1 = Window.partitionBy(F.col("user_idx"), group).orderBy(*order)
+        cand = (cand.withColumn("_r", F.row_number().over(w1))
+                .filter(F.col("_r") <= F.lit(k)).drop("_r"))
+    w = Window.partitionBy("user_idx").orderBy(*order)
     return (cand.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .filter(F.col("rank") <= F.lit(k))
             .select("user_idx", "rank", "item_idx", "score"))

@@ -68,8 +68,22 @@ def test_heldout_rank_brute_force(spark, ties, blocks):
     assert got == brute_rank(p, q, train, test)
 
 
-@pytest.mark.parametrize("blocks", [(4096, 8192), (4, 6)])
+@pytest.mark.parametrize("blocks", [(4096, 8192), (4, 6), (4, 1)])
 def test_recommend_topk_brute_force(spark, blocks):
+    """(4, 1): one item per block, 37 blocks; with the fan-in lowered below
+    the two-level merge runs."""
+    from fernrec.operators import scoring as SC
+    if blocks[1] == 1:
+        saved, SC._MERGE_FANIN = SC._MERGE_FANIN, 4
+    else:
+        saved = SC._MERGE_FANIN
+    try:
+        _check_topk(spark, blocks)
+    finally:
+        SC._MERGE_FANIN = saved
+
+
+def _check_topk(spark, blocks):
     p, q, train, test, P, Q, T, X = setup_model(spark)
     k = 5
     got = {}
