@@ -189,8 +189,13 @@ def leave_one_out(indexed: DataFrame) -> Split:
         "user_idx",
         F.col("_last.item_idx").alias("test_item_idx"),
         (F.col("_n") - 1).alias("n_train"))
-    train = (indexed.select("user_idx", "item_idx")
-             .join(test.select("user_idx", F.col("test_item_idx").alias("item_idx")),
-                   ["user_idx", "item_idx"], "left_anti"))
-    return Split(train, test)
+    return Split(train_without_test(indexed, test), test)
+
+
+def train_without_test(indexed: DataFrame, test: DataFrame) -> DataFrame:
+    """Train pairs: every (user, item) except the held-out one (anti join on
+    the pair, so a long history spreads over all tasks)."""
+    return (indexed.select("user_idx", "item_idx")
+            .join(test.select("user_idx", F.col("test_item_idx").alias("item_idx")),
+                  ["user_idx", "item_idx"], "left_anti"))
 

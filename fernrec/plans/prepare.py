@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig, RuntimeConfig
-from ..operators.prepare import index_interactions, k_core, leave_one_out
+from ..operators.prepare import (index_interactions, k_core, leave_one_out,
+                                 train_without_test)
 from ..operators.weights import histories, item_weights
 from ..session import materialize
 
@@ -78,9 +79,9 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["index_seconds"] = time.time() - t
 
     t = time.time()
-    sp = leave_one_out(indexed)
-    train, n_train = materialize(sp.train, "train", count=True)
-    test, n_test = materialize(sp.test, "test", count=True)
+    # the test table is written first and reused by the train anti join
+    test, n_test = materialize(leave_one_out(indexed).test, "test", count=True)
+    train, n_train = materialize(train_without_test(indexed, test), "train", count=True)
     stats["train_interactions"] = n_train
     stats["test_users"] = n_test
     stats["split_seconds"] = time.time() - t
