@@ -101,6 +101,15 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
     return SideLayout(side, blocks, light, routing, heavy, heavy_keys, n_heavy, n_light)
 
 
+def release_layout(layout: SideLayout) -> None:
+    """Delete the scratch tables of a layout once training is done."""
+    from ..session import release, release_table
+    release_table(layout.light)
+    for df in (layout.routing, layout.heavy, layout.heavy_keys):
+        if df is not None:
+            release(df)
+
+
 def _vec_frame(ids: np.ndarray, mat: np.ndarray) -> pd.DataFrame:
     """``idx, vec`` frame; an object column even when empty (Arrow list type)."""
     vec = pd.Series(list(mat), dtype=object) if len(ids) else pd.Series([], dtype=object)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ModelConfig, RuntimeConfig
 from ..operators.factors import gram_matrix, init_factors
-from ..operators.halfstep import SideLayout, build_layout, half_step
+from ..operators.halfstep import SideLayout, build_layout, half_step, release_layout
 from ..session import materialize, release
 from .prepare import Prepared
 
@@ -84,4 +84,6 @@ def train(prep: Prepared, model: ModelConfig, runtime: RuntimeConfig | None = No
         release(q)
         q = q_new
         log.append({"iteration": it, "seconds": time.time() - t})
+    for layout in (user_layout, item_layout):
+        release_layout(layout)
     return Model(p, q, log)

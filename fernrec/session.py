@@ -89,6 +89,10 @@ def materialize(df: DataFrame, name: str = "table",
     return spark.read.parquet(path), n
 
 
+# catalog names of bucketed scratch tables, by frame (for release_table)
+_BUCKETED: dict[int, tuple[str, ...]] = {}
+
+
 def materialize_bucketed(df: DataFrame, name: str, key: str,
                          buckets: int) -> tuple[DataFrame, int]:
     """Write ``df`` as a table bucketed by ``key`` under the checkpoint folder.
@@ -106,9 +110,20 @@ def materialize_bucketed(df: DataFrame, name: str, key: str,
     (df.repartition(buckets, key).observe(obs, F.count(F.lit(1)).alias("n"))
      .write.bucketBy(buckets, key).option("path", path).saveAsTable(table))
     out = spark.table(table)
+    _BUCKETED[id(out)] = (table,)
     return out, _observed_rows(obs, out)
 
 
+def release_table(df: DataFrame) -> None:
+    """Drop the catalog entry of a table from ``materialize_bucketed`` (if
+    any) and delete its files."""
+    spark = df.sparkSession
+    for name in list(_BUCKETED.get(id(df), ())):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _BUCKETED.pop(id(df), None)
+    release(df)
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch files behind a frame returned by ``materialize``."""
     spark = df.sparkSession
