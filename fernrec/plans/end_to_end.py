@@ -7,7 +7,6 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import ModelConfig, RuntimeConfig
 from ..operators.scoring import evaluate
@@ -100,4 +99,4 @@ def metrics_json(metrics: DataFrame) -> str:
 
 
 __all__ = ["RunResult", "load_review_text", "check_prepared", "run", "save_artifacts", "load_factors",
-           "metrics_dict", "metrics_json", "F"]
+           "metrics_dict", "metrics_json"]
