@@ -102,7 +102,8 @@ def _rank_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if sel.any():
                 ru, rj = tu[sel] - lo, tj[sel]
                 np.subtract.at(above, ru + lo, better[ru, rj].astype(np.int64))
-    return pd.DataFrame({"user_idx": u_ids.astype(np.int64), "above": above})
+    return pd.DataFrame({"user_idx": u_ids.astype(np.int64),
+                         "test_item_idx": t.astype(np.int64), "above": above})
 
 
 def heldout_rank(test: DataFrame, train: DataFrame, p: DataFrame, q: DataFrame,
@@ -118,13 +119,14 @@ def heldout_rank(test: DataFrame, train: DataFrame, p: DataFrame, q: DataFrame,
     users = heldout_scores(test, p, q)
     left, right = _cells(users, train, q, ub, ib)
     schema = T.StructType([T.StructField("user_idx", T.LongType()),
+                           T.StructField("test_item_idx", T.LongType()),
                            T.StructField("above", T.LongType())])
-    counts = (left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-              .applyInPandas(_rank_kernel, schema)
-              .groupBy("user_idx").agg(F.sum("above").alias("above")))
-    return (test.select("user_idx", "test_item_idx").join(counts, "user_idx")
-            .select("user_idx", "test_item_idx",
-                    (F.col("above") + F.lit(1)).cast("bigint").alias("rank")))
+    # every user row is copied to each item block, so each user gets one
+    # partial count per item block: summing them needs no join back to test
+    return (left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
+            .applyInPandas(_rank_kernel, schema)
+            .groupBy("user_idx", "test_item_idx")
+            .agg((F.sum("above") + F.lit(1)).cast("bigint").alias("rank")))
 
 
 def hr_ndcg(ranks: DataFrame, k: int) -> DataFrame:
