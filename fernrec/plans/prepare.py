@@ -36,6 +36,11 @@ class Prepared:
         return spark.createDataFrame(rows, "stage string, value double")
 
 
+def _stage(df: DataFrame, name: str) -> None:
+    """Label the following jobs (event log / profiling tools)."""
+    df.sparkSession.sparkContext.setJobDescription(f"fernrec prepare: {name}")
+
+
 def prepare(interactions: DataFrame, model: ModelConfig,
             runtime: RuntimeConfig | None = None) -> Prepared:
     """Dedup -> k-core -> index -> split -> weights -> histories.
@@ -53,6 +58,7 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     # pair keeps its repeat count, so raw = sum of counts, read from the
     # written table (exact even when a lost executor makes a stage rerun)
     t = time.time()
+    _stage(interactions, "load+dedup")
     pairs = interactions.groupBy("user_id", "item_id").agg(
         F.max("ts").alias("ts"), F.count(F.lit(1)).alias("_repeats"))
     pairs, n_dedup = materialize(pairs, "dedup", count=True)
@@ -62,6 +68,7 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["load_dedup_seconds"] = time.time() - t
 
     t = time.time()
+    _stage(interactions, "k-core")
     kc = k_core(dedup, model.min_user_interactions, model.min_item_interactions,
                 max_rounds=runtime.max_kcore_rounds, input_count=n_dedup)
     stats["filtered_interactions"] = kc.counts[-1]
@@ -69,6 +76,7 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["kcore_seconds"] = time.time() - t
 
     t = time.time()
+    _stage(interactions, "index")
     ix = index_interactions(kc.interactions, n)
     user_index, item_index = ix.user_index, ix.item_index
     num_users, num_items = ix.num_users, ix.num_items
@@ -79,6 +87,7 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["index_seconds"] = time.time() - t
 
     t = time.time()
+    _stage(interactions, "split")
     # the test table is written first and reused by the train anti join
     test, n_test = materialize(leave_one_out(indexed).test, "test", count=True)
     train, n_train = materialize(train_without_test(indexed, test), "train", count=True)
@@ -87,12 +96,14 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["split_seconds"] = time.time() - t
 
     t = time.time()
+    _stage(interactions, "weights")
     weights, n_weighted = materialize(item_weights(train, model.c0, model.alpha), "weights",
                                       count=True)
     stats["weighted_items"] = n_weighted
     stats["weights_seconds"] = time.time() - t
 
     t = time.time()
+    _stage(interactions, "histories")
     hist, n_hist = materialize(histories(train, weights), "hist", count=True)
     summary = hist.agg(F.countDistinct("user_idx").alias("u"),
                        F.countDistinct("item_idx").alias("i")).first()
@@ -100,6 +111,7 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["item_histories"] = int(summary["i"])
     stats["history_seconds"] = time.time() - t
     stats["total_prepare_seconds"] = time.time() - t_all
+    interactions.sparkSession.sparkContext.setJobDescription(None)
 
     return Prepared(num_users, num_items, user_index, item_index, indexed, train, test,
                     weights, hist, stats, kc.converged)

@@ -70,6 +70,7 @@ def train(prep: Prepared, model: ModelConfig, runtime: RuntimeConfig | None = No
         p0, q0 = initial_factors(prep, model)
         p = p if p is not None else p0
         q = q if q is not None else q0
+    p.sparkSession.sparkContext.setJobDescription("fernrec train: init + layouts")
     p, _ = materialize(p, "p0")
     q, _ = materialize(q, "q0")
     user_layout, item_layout = layouts(prep, runtime)
@@ -77,13 +78,17 @@ def train(prep: Prepared, model: ModelConfig, runtime: RuntimeConfig | None = No
     n_iter = model.iterations if iterations is None else iterations
     for it in range(1, n_iter + 1):
         t = time.time()
+        sc = p.sparkSession.sparkContext
+        sc.setJobDescription(f"fernrec train: iteration {it} users")
         p_new, _ = materialize(user_step(user_layout, p, q, prep.weights, model), f"p{it}")
         release(p)
         p = p_new
+        sc.setJobDescription(f"fernrec train: iteration {it} items")
         q_new, _ = materialize(item_step(item_layout, q, p, model), f"q{it}")
         release(q)
         q = q_new
         log.append({"iteration": it, "seconds": time.time() - t})
     for layout in (user_layout, item_layout):
         release_layout(layout)
+    p.sparkSession.sparkContext.setJobDescription(None)
     return Model(p, q, log)
