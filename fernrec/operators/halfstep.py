@@ -64,13 +64,15 @@ class SideLayout:
 def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
                  rows_per_block: int, num_blocks: int | None = None,
                  heavy_chunk_rows: int | None = None) -> SideLayout:
-    """Route ``hist`` (user_idx, item_idx, c) for updates of ``side``."""
+    """Route ``hist`` (user_idx, item_idx, c; a written table, as ``prepare``
+    returns it) for updates of ``side``."""
     if side not in ("user", "item"):
         raise ValueError("side must be 'user' or 'item'")
     e_col, o_col = ("user_idx", "item_idx") if side == "user" else ("item_idx", "user_idx")
     spark = hist.sparkSession
+    # ``hist`` is a written table: a renamed projection of it is stable
     rows = hist.select(F.col(e_col).alias("e"), F.col(o_col).alias("o"), "c")
-    rows, nnz = materialize(rows, f"{side}_rows", count=True)
+    nnz = rows.count()
     # at least one block per core; more when a block would exceed rows_per_block
     blocks = num_blocks or max(spark.sparkContext.defaultParallelism,
                                math.ceil(nnz / rows_per_block))
