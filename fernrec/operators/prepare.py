@@ -134,15 +134,22 @@ def dense_index_counted(df: DataFrame, id_col: str, idx_col: str,
     return rank_rows_counted(ids, [id_col], idx_col, num_partitions)
 
 
-# Above this many rows a "first n in order" is a distributed rank, below it a
-# top-n (each task keeps n rows, one task merges tasks x n rows).
-TOP_N_MERGE_LIMIT = 100_000
+# A top-n keeps n rows per task and merges tasks x n rows in one task; up to
+# this many merged rows it is used, beyond it a distributed global rank.
+TOP_N_MERGE_LIMIT = 10_000_000
 
 
-def first_n(df: DataFrame, order_cols: list[str], n: int, pos_col: str = "pos") -> DataFrame:
+def first_n(df: DataFrame, order_cols: list[str], n: int, pos_col: str = "pos",
+            tasks: int | None = None) -> DataFrame:
     """The first ``n`` rows in ascending ``order_cols`` order (a unique order)
-    with their 0-based position; the size of the result is the feature."""
-    if n <= TOP_N_MERGE_LIMIT:
+    with their 0-based position; the size of the result is the feature.
+
+    ``tasks`` is the number of input tasks of ``df`` when the caller knows it
+    (a plain scan); otherwise the shuffle width is taken as the estimate.
+    """
+    if tasks is None:
+        tasks = default_partitions(df.sparkSession)
+    if n * max(tasks, 1) <= TOP_N_MERGE_LIMIT:
         top = df.orderBy(*order_cols).limit(n)
         # at most n rows reach this window (bounded by the requested size)
         w = Window.orderBy(*order_cols)

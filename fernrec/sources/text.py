@@ -166,4 +166,7 @@ def sample_first_records(spark: SparkSession, path: str | list[str], n: int) ->
         .filter(F.length(F.regexp_replace("value", rf"{WHITESPACE_CLASS}", "")) > 0)
     )
     from ..operators.prepare import first_n
-    return first_n(blocks, ["_file", "_start", "_row", "_part"], n).select("pos", "value")
+    # input tasks = splits of the text scan (known without running a job)
+    tasks = spark.read.option("lineSep", RECORD_DELIMITER).text(path).rdd.getNumPartitions()
+    return first_n(blocks, ["_file", "_start", "_row", "_part"], n,
+                   tasks=tasks).select("pos", "value")

@@ -138,3 +138,18 @@ def test_smoke_mode_reads_first_records(spark):
     smoke = load_review_text(spark, d, RuntimeConfig(mode="smoke", smoke_records=5))
     assert sorted(r.ts for r in smoke.collect()) == [0, 1, 2, 3, 4]
     assert load_review_text(spark, d, RuntimeConfig()).count() == 20
+
+
+def test_first_n_paths_agree(spark):
+    """Top-n merge and distributed rank give the same first n rows."""
+    from pyspark.sql import functions as F
+    from fernrec.operators import prepare as P
+    df = spark.range(0, 5000).select(F.md5(F.col("id").cast("string")).alias("k"),
+                                     "id").repartition(6)
+    merged = [tuple(r) for r in P.first_n(df, ["k", "id"], 300).orderBy("pos").collect()]
+    saved, P.TOP_N_MERGE_LIMIT = P.TOP_N_MERGE_LIMIT, 10
+    try:
+        ranked = [tuple(r) for r in P.first_n(df, ["k", "id"], 300).orderBy("pos").collect()]
+    finally:
+        P.TOP_N_MERGE_LIMIT = saved
+    assert merged == ranked and [r[2] for r in merged] == list(range(300))
