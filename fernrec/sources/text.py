@@ -140,18 +140,11 @@ _WS_NO_LF = r"[\p{Z}\x{09}\x{0b}\x{0c}\x{0d}\x{1c}-\x{1f}\x{85}]"
 _BLANK_LINES = rf"\n(?:{_WS_NO_LF}*\n)+"
 
 
-def sample_first_records(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
-    """S3: the first ``n`` non-empty records in file order (smoke sample).
-
-    Like the line-based smoke sampler, any whitespace-only line separates
-    records and empty records are skipped. The sample is a distributed
-    top-n over (file, split start, position), never a driver loop over lines.
-    Returns ``pos BIGINT`` (0-based sample order) and ``value STRING``.
-    """
-    if n < 0:
-        raise ValueError("n must be >= 0")
-    blocks = (
-        spark.read.option("lineSep", RECORD_DELIMITER).text(path)
+def _sample_blocks(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Non-empty records of ``files`` split as the line-based sampler does,
+    with their order key (file, split start, row in split, part in row)."""
+    return (
+        spark.read.option("lineSep", RECORD_DELIMITER).text(files)
         .select(
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
@@ -165,8 +158,36 @@ def sample_first_records(spark: SparkSession, path: str | list[str], n: int) ->
         .withColumn("value", F.regexp_replace("value", r"^\n+", ""))
         .filter(F.length(F.regexp_replace("value", rf"{WHITESPACE_CLASS}", "")) > 0)
     )
+
+
+def sample_first_records(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
+    """S3: the first ``n`` non-empty records in file order (smoke sample).
+
+    Like the line-based smoke sampler, any whitespace-only line separates
+    records and empty records are skipped. Files are taken in name order in
+    growing batches (1, 2, 4, ... files; one counting job per batch) until
+    they hold ``n`` records, so the input read grows with ``n``, not with the
+    dataset. The sample is then a distributed top-n over (file, split start,
+    position) of those files, never a driver loop over lines.
+    Returns ``pos BIGINT`` (0-based sample order) and ``value STRING``.
+    """
+    if n < 0:
+        raise ValueError("n must be >= 0")
+    # file names only (a listing, no data read); the reader skips _/. files
+    files = sorted(spark.read.option("lineSep", RECORD_DELIMITER).text(path).inputFiles())
+    chosen: list[str] = []
+    found, batch = 0, 1
+    while files and found < n and len(chosen) < len(files):
+        nxt = files[len(chosen):len(chosen) + batch]
+        found += _sample_blocks(spark, nxt).count()
+        chosen += nxt
+        batch *= 2
+    if not chosen:
+        chosen = files[:1]
+    if not chosen:
+        return spark.createDataFrame([], "pos bigint, value string")
     from ..operators.prepare import first_n
-    # input tasks = splits of the text scan (known without running a job)
-    tasks = spark.read.option("lineSep", RECORD_DELIMITER).text(path).rdd.getNumPartitions()
-    return first_n(blocks, ["_file", "_start", "_row", "_part"], n,
+    # input tasks = splits of the chosen files (known without running a job)
+    tasks = spark.read.option("lineSep", RECORD_DELIMITER).text(chosen).rdd.getNumPartitions()
+    return first_n(_sample_blocks(spark, chosen), ["_file", "_start", "_row", "_part"], n,
                    tasks=tasks).select("pos", "value")

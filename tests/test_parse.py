@@ -123,3 +123,15 @@ def test_parse_matches_spec(spark, blocks):
     got = parse(spark, blocks)
     exp = [r for r in map(_spec, blocks) if r is not None]
     assert sorted(got) == sorted(exp)
+
+
+def test_sample_first_records_across_files(spark):
+    """Files are taken in name order, in growing batches, until n records."""
+    d = tempfile.mkdtemp(prefix="fernrec-multi-")
+    for f, base in (("b.txt", 3), ("a.txt", 0), ("d.txt", 9), ("c.txt", 6)):
+        with open(os.path.join(d, f), "w", encoding="utf-8") as fh:
+            fh.write("\n\n".join(f"{P}I{base + i}\n{U}U\n{T}{base + i}" for i in range(3)))
+    for n, expected in ((2, [0, 1]), (5, [0, 1, 2, 3, 4]), (10, list(range(10))),
+                        (100, list(range(12))), (0, [])):
+        got = parse_records(sample_first_records(spark, d, n), keep=("pos",)).orderBy("pos")
+        assert [r.ts for r in got.collect()] == expected
