@@ -105,10 +105,13 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     t = time.time()
     _stage(interactions, "histories")
     hist, n_hist = materialize(histories(train, weights), "hist", count=True)
-    summary = hist.agg(F.countDistinct("user_idx").alias("u"),
-                       F.countDistinct("item_idx").alias("i")).first()
-    stats["user_histories"] = int(summary["u"])
-    stats["item_histories"] = int(summary["i"])
+    if n_hist != n_train:  # the weight join is lossless by construction
+        raise RuntimeError(f"history has {n_hist} rows, train has {n_train}")
+    # every train row has a weight (weights come from train), so the users
+    # with a history are the test users with train rows and the items with a
+    # history are the weighted items: no distinct count over the history
+    stats["user_histories"] = int(test.filter(F.col("n_train") > 0).count())
+    stats["item_histories"] = n_weighted
     stats["history_seconds"] = time.time() - t
     stats["total_prepare_seconds"] = time.time() - t_all
     interactions.sparkSession.sparkContext.setJobDescription(None)
