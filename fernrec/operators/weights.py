@@ -19,7 +19,12 @@ def item_weights(train: DataFrame, c0: float, alpha: float) -> DataFrame:
     get a row (absent = weight 0); weights sum to ``c0``.
     Returns ``item_idx BIGINT, c DOUBLE``.
     """
-    counts = item_popularity(train)
+    return weights_from_counts(item_popularity(train), c0, alpha)
+
+
+def weights_from_counts(counts: DataFrame, c0: float, alpha: float) -> DataFrame:
+    """M1 from per-item train counts ``item_idx, n`` (one row per item; pass
+    a written table to aggregate train only once)."""
     total = counts.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(float(alpha))))).first()[0]
     if not total:
         return counts.select("item_idx", F.lit(0.0).alias("c")).limit(0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ModelConfig, RuntimeConfig
 from ..operators.prepare import (index_interactions, k_core, leave_one_out,
                                  train_without_test)
-from ..operators.weights import histories, item_weights
+from ..operators.weights import histories, item_popularity, weights_from_counts
 from ..session import materialize
 
 
@@ -97,8 +97,9 @@ def prepare(interactions: DataFrame, model: ModelConfig,
 
     t = time.time()
     _stage(interactions, "weights")
-    weights, n_weighted = materialize(item_weights(train, model.c0, model.alpha), "weights",
-                                      count=True)
+    counts, _ = materialize(item_popularity(train), "item_counts")
+    weights, n_weighted = materialize(weights_from_counts(counts, model.c0, model.alpha),
+                                      "weights", count=True)
     stats["weighted_items"] = n_weighted
     stats["weights_seconds"] = time.time() - t
 
