@@ -27,6 +27,9 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     iters = int(os.environ.get("BENCH_ITERS", "3"))
     factors = int(os.environ.get("BENCH_FACTORS", "128"))
+    # 23/23 keeps most rows at sf0.1 and sf0.01; at sf0.001 it collapses to
+    # the empty set (use BENCH_KCORE=10 there)
+    kcore = int(os.environ.get("BENCH_KCORE", "23"))
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 
@@ -59,7 +62,7 @@ def main() -> None:
         F.col("l_orderkey"), F.col("l_linenumber")).alias("text")), text_path)
 
     model = ModelConfig(factors=factors, reg_lambda=0.01, c0=64.0, alpha=0.5, iterations=iters,
-                        topk=100, min_user_interactions=23, min_item_interactions=23)
+                        topk=100, min_user_interactions=kcore, min_item_interactions=kcore)
     runtime = RuntimeConfig()
 
     t0 = time.time()
@@ -103,6 +106,7 @@ def main() -> None:
         "cpus": cpus,
         "factors": factors,
         "iterations": iters,
+        "kcore": kcore,
         "counts": {k: int(st[k]) for k in (
             "raw_interactions", "deduped_interactions", "filtered_interactions", "kcore_rounds",
             "num_users", "num_items", "train_interactions", "test_users", "weighted_items")},
