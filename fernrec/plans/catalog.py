@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig, RuntimeConfig
-from ..functions.columns import round6
+from ..functions.columns import epoch_micros, round6
 from ..operators import prepare as prep_ops
 from ..operators.factors import factors_long, gram_table
 from ..operators.scoring import heldout_rank, hr_ndcg, recommend_topk, sample_users, summarize
 from ..operators.weights import all_item_weights, history_summary, item_weights
 from ..session import materialize, scratch_path
 from ..sources.tables import events_interactions, order_line_interactions, table_path
-from ..functions.columns import epoch_micros
 from ..sources.text import (load_interactions, parse_records, record_text,
                             sample_first_records, write_review_text)
 from . import oracle as O
