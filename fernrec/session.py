@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +125,11 @@ def release_table(df: DataFrame) -> None:
     release(df)
 
 
+def _uri_key(uri: str) -> tuple[str, str, str]:
+    parsed = urlparse(uri)
+    return (parsed.scheme or "file", parsed.netloc, parsed.path.rstrip("/"))
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch files behind a frame returned by ``materialize``."""
     spark = df.sparkSession
@@ -134,9 +140,10 @@ def release(df: DataFrame) -> None:
     if not files:
         return
     root = files[0].rsplit("/", 1)[0]
-    base = checkpoint_dir(spark).rstrip("/")
-    if "/fernrec/" not in root or not root.replace("file:", "").startswith(
-            base.replace("file:", "")):
+    # only scratch tables under our own folder of the checkpoint dir; URIs are
+    # compared parsed (file:/x and file:///x are the same folder)
+    where, base = _uri_key(root), _uri_key(checkpoint_dir(spark))
+    if (where[:2] != base[:2] or not where[2].startswith(base[2] + "/fernrec/")):
         return
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)

@@ -166,3 +166,20 @@ def test_empty_inputs(spark):
     assert (row.hr, row.ndcg, row.evaluated_users) == (0.0, 0.0, 0)
     assert per_user.count() == 0
     assert recommend_topk(test, train, v, v, 5, 0, 2).count() == 0
+
+
+def test_layout_release_deletes_tables(spark):
+    import os
+    from fernrec.operators.halfstep import release_layout
+    rows = [(u, i, 0.5) for u in range(20) for i in range(u % 5, u % 5 + 4)]
+    hist = spark.createDataFrame(rows, "user_idx bigint, item_idx bigint, c double")
+    layout = build_layout(hist, "user", heavy_threshold=3, rows_per_block=10)
+    assert layout.heavy_entities > 0
+    paths = {f.rsplit("/", 1)[0].replace("file:", "") for df in
+             (layout.light, layout.routing, layout.heavy, layout.heavy_keys)
+             for f in df.inputFiles()}
+    tables = {t.name for t in spark.catalog.listTables() if t.name.startswith("fernrec_")}
+    release_layout(layout)
+    assert not any(os.path.exists(p) for p in paths)
+    after = {t.name for t in spark.catalog.listTables() if t.name.startswith("fernrec_")}
+    assert len(after) == len(tables) - 1
