@@ -153,3 +153,17 @@ def test_first_n_paths_agree(spark):
     finally:
         P.TOP_N_MERGE_LIMIT = saved
     assert merged == ranked and [r[2] for r in merged] == list(range(300))
+
+
+def test_interactions_from_table(spark):
+    import datetime
+    from fernrec.sources.tables import interactions_from_table
+    ints = spark.createDataFrame([(1, 10, 5), (2, None, 6), (3, 11, None), (None, 12, 7)],
+                                 "u bigint, i bigint, t bigint")
+    got = sorted(tuple(r) for r in interactions_from_table(ints, "u", "i", "t").collect())
+    assert got == [("1", "10", 5)]
+    stamps = spark.createDataFrame(
+        [(1, 2, datetime.datetime(1970, 1, 1, 0, 0, 1)), (3, 4, datetime.datetime(2024, 1, 1))],
+        "u bigint, i bigint, t timestamp_ntz")
+    got = sorted(tuple(r) for r in interactions_from_table(stamps, "u", "i", "t").collect())
+    assert got == [("1", "2", 1_000_000), ("3", "4", 1_704_067_200_000_000)]
