@@ -185,16 +185,32 @@ def leave_one_out(indexed: DataFrame) -> Split:
     """Per user the latest (ts, item_idx) row is the test item.
 
     Ties on ``ts`` go to the larger item index (= larger string id). The
-    latest row is a max over a struct, aggregated partially, so a user with
-    a huge history never needs one sorted window; train is the anti join on
+    latest row is a partial (map-side) maximum per user, so a user with a
+    huge history never needs one sorted window; train is the anti join on
     the (user, item) pair, which spreads such a user over all tasks.
+
+    When ``(ts - min ts) * items + item_idx`` fits in 62 bits (ranges from
+    one small aggregate), the maximum is over that long (hash aggregation);
+    otherwise over the struct ``(ts, item_idx)`` (sort-based aggregation).
     """
-    latest = indexed.groupBy("user_idx").agg(
-        F.max(F.struct("ts", "item_idx")).alias("_last"),
-        F.count(F.lit(1)).alias("_n"))
+    bounds = indexed.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"),
+                         F.min("item_idx").alias("i_lo"), F.max("item_idx").alias("i_hi")).first()
+    packed = (bounds is not None and bounds["lo"] is not None and bounds["i_lo"] >= 0
+              and (bounds["hi"] - bounds["lo"] + 1) * (bounds["i_hi"] + 1) < (1 << 62))
+    if packed:
+        width = F.lit(int(bounds["i_hi"]) + 1)
+        key = (F.col("ts") - F.lit(int(bounds["lo"]))) * width + F.col("item_idx")
+        latest = indexed.groupBy("user_idx").agg(F.max(key).alias("_last"),
+                                                 F.count(F.lit(1)).alias("_n"))
+        test_item = F.pmod(F.col("_last"), width)
+    else:
+        latest = indexed.groupBy("user_idx").agg(
+            F.max(F.struct("ts", "item_idx")).alias("_last"),
+            F.count(F.lit(1)).alias("_n"))
+        test_item = F.col("_last.item_idx")
     test = latest.select(
         "user_idx",
-        F.col("_last.item_idx").alias("test_item_idx"),
+        test_item.cast("bigint").alias("test_item_idx"),
         (F.col("_n") - 1).alias("n_train"))
     return Split(train_without_test(indexed, test), test)
 

@@ -1,5 +1,7 @@
 """Preparation operators: golden cases and brute-force properties."""
 
+import pytest
+
 from collections import Counter
 
 from hypothesis import given, settings
@@ -85,10 +87,14 @@ def split(spark, events):
     return train, test.test_item_idx, test.n_train
 
 
-def test_split_golden(spark):
-    assert split(spark, [(4, 10), (2, 30), (7, 20)]) == ([4, 7], 2, 2)
-    assert split(spark, [(4, 30), (2, 30), (7, 20)]) == ([2, 7], 4, 2)
-    assert split(spark, [(5, 1)]) == ([], 5, 0)
+@pytest.mark.parametrize("scale", [1, 1 << 57])
+def test_split_golden(spark, scale):
+    """scale 1: packed (ts, item) long; 2^57: ranges too wide, struct max."""
+    def s(events):
+        return split(spark, [(i, t * scale) for i, t in events])
+    assert s([(4, 10), (2, 30), (7, 20)]) == ([4, 7], 2, 2)
+    assert s([(4, 30), (2, 30), (7, 20)]) == ([2, 7], 4, 2)
+    assert s([(5, 1)]) == ([], 5, 0)
 
 
 def test_weights_golden(spark):
