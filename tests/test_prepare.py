@@ -173,3 +173,11 @@ def test_interactions_from_table(spark):
         "u bigint, i bigint, t timestamp_ntz")
     got = sorted(tuple(r) for r in interactions_from_table(stamps, "u", "i", "t").collect())
     assert got == [("1", "2", 1_000_000), ("3", "4", 1_704_067_200_000_000)]
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 57])
+def test_split_negative_times(spark, scale):
+    """Negative timestamps are valid; the packed key is offset by the minimum."""
+    events = [(4, -30 * scale), (2, -10 * scale), (7, -20 * scale)]
+    assert split(spark, events) == ([4, 7], 2, 2)
+    assert split(spark, [(3, -5), (9, -5)]) == ([3], 9, 1)
