@@ -219,3 +219,22 @@ def test_training_learns_planted_groups(spark):
                         prep.num_items)
     hr_before, hr_after = before.first().hr, after.first().hr
     assert hr_after >= 0.9 and hr_after > hr_before + 0.3
+
+
+def test_command_line(spark, capsys):
+    import json
+    import os
+    import tempfile
+    from fernrec.__main__ import main
+    d = tempfile.mkdtemp(prefix="fernrec-cli-")
+    rng = np.random.default_rng(3)
+    records = [f"product/productId: I{int(i)}\nreview/userId: U{u}\nreview/time: {t}"
+               for u in range(12) for t, i in enumerate(rng.choice(15, 6, replace=False))]
+    with open(os.path.join(d, "reviews.txt"), "w") as f:
+        f.write("\n\n".join(records) + "\n")
+    out = tempfile.mkdtemp(prefix="fernrec-cli-out-")
+    assert main(["--text", d, "--out", out, "--factors", "4", "--iterations", "1",
+                 "--topk", "5", "--min-user", "2", "--min-item", "2", "--mode", "smoke"]) == 0
+    metrics = json.loads(capsys.readouterr().out)
+    assert metrics["evaluated_users"] == 12
+    assert spark.read.json(f"{out}/metrics").first().evaluated_users == 12
