@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontamination import contamination
 from .token_counts import count_tokens
+from .token_files import token_digests
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"),
                          read_table(spark, sf_dir, "benchmark"))
@@ -22,6 +27,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_token_files": op2_token_files,
     "op4_decontamination": op4_decontamination,
 }
 
