@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import contamination
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_digests
+from .toxicity import score_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +28,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                          read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("_k")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(read_table(spark, sf_dir, "documents"),
+                           read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_words", "best",
+                        F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
 }
 
 _OP4_SQL = r"""
