@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import contamination
+from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_digests
@@ -39,12 +40,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("passages").alias("n_passages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 _OP4_SQL = r"""
@@ -73,6 +79,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
+_OP8_SQL = r"""
+WITH ln AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+w AS (
+  SELECT doc_id, line_no, regexp_extract_all(translate(line,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM ln),
+o AS (
+  SELECT doc_id, line_no, w, len(w) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS pos
+  FROM w WHERE len(w) >= 5),
+f AS (SELECT w, n, min(pos) AS pos FROM o GROUP BY w, n),
+k AS (
+  SELECT pos, n, w, 0 AS side, w[1:4] AS run FROM f WHERE n >= 10
+  UNION ALL SELECT pos, n, w, 1, w[n - 3:n] FROM f WHERE n >= 10),
+near AS (
+  SELECT DISTINCT b.pos FROM k a JOIN k b
+    ON a.side = b.side AND a.run = b.run AND a.pos < b.pos AND abs(a.n - b.n) <= 1
+  WHERE CASE
+    WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) <= 1
+    WHEN a.n < b.n THEN len(list_filter(range(1, b.n + 1), lambda i:
+      list_concat(b.w[:i - 1], b.w[i + 1:]) = a.w)) > 0
+    ELSE len(list_filter(range(1, a.n + 1), lambda i:
+      list_concat(a.w[:i - 1], a.w[i + 1:]) = b.w)) > 0 END),
+gone AS (
+  SELECT o.doc_id, sum(CASE WHEN o.pos <> f.pos THEN 1 ELSE 0 END) AS n_repeated,
+    sum(CASE WHEN o.pos = f.pos AND near.pos IS NOT NULL THEN 1 ELSE 0 END) AS n_near
+  FROM o JOIN f ON f.w = o.w LEFT JOIN near ON near.pos = o.pos GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM documents d LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": _OP4_SQL,
+    "op8_line_dedup": _OP8_SQL,
 }

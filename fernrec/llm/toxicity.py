@@ -4,9 +4,9 @@ Training counts, for both labels, in how many documents each word occurs. The
 words are hashed to ``2^bits`` buckets, which bounds the model whatever the
 vocabulary; near copies count once (documents whose smallest bucket is the
 same are one witness of a word). A bucket's score is the log-odds ratio of
-the labels under an informative Dirichlet prior (the background frequency,
-``prior`` pseudo-counts in all); buckets whose ratio is within ``z_min``
-standard errors of zero, and all unseen ones, cost ``drift``.
+the labels under an informative Dirichlet prior (the background frequency, as
+``prior`` of all counts); buckets whose ratio is below ``min_odds`` or whose
+likelihood-ratio root is below ``z_min``, and all unseen ones, cost ``drift``.
 
 A document is scanned once (Ruzzo and Tompa's linear scan) for all its
 maximal segments. Under the score distribution of documents with label 0 the
@@ -155,16 +155,19 @@ def _scan(shared):
     return scan
 
 
-def _log_odds(counts: DataFrame, totals: dict[int, int], prior: float, z_min: float) -> DataFrame:
-    """bucket, score, clean: buckets whose log-odds ratio is significant."""
-    t_all, c_all = float(totals.get(1, 0)), float(totals.get(0, 0))
-    share = (F.col("t") + F.col("c")) / F.lit(t_all + c_all)
-    a = F.lit(prior) * share
-    odds = lambda x, total: F.log((x + a) / (F.lit(total + prior) - x - a))
-    delta = odds(F.col("t"), t_all) - odds(F.col("c"), c_all)
-    error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    return (counts.select("bucket", "c", delta.alias("score"), (delta / error).alias("z"))
-            .filter(F.abs("z") >= F.lit(z_min)))
+def _log_odds(counts: DataFrame, totals: dict[int, float], prior: float, z_min: float,
+              min_odds: float) -> DataFrame:
+    """bucket, score, c: buckets whose log-odds ratio is significant."""
+    t_all, c_all = F.lit(totals[1]), F.lit(totals[0])
+    t, c = F.col("t"), F.col("c")
+    a = F.lit(prior) * (t + c)  # pseudo-counts: the background frequency
+    odds = lambda x, total: F.log((x + a) / (total * (1 + prior) - x - a))
+    expected = (t + c) * t_all / (t_all + c_all)
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    g2 = 2 * (part(t, expected) + part(c, t + c - expected))
+    return (counts.select("bucket", "c", (odds(t, t_all) - odds(c, c_all)).alias("score"),
+                          F.sqrt(F.greatest(g2, F.lit(0.0))).alias("z"))
+            .filter((F.col("z") >= F.lit(z_min)) & (F.abs("score") >= F.lit(min_odds))))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
@@ -184,8 +187,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[floa
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", label_col: str = "toxic", held_out_mod: int = 5,
-                   bits: int = BITS, prior: float = 1000.0, z_min: float = 4.0,
-                   drift: float = 0.05, max_e: float = 0.01,
+                   bits: int = BITS, prior: float = 0.02, z_min: float = 4.5,
+                   min_odds: float = 1.0, drift: float = 0.05, max_e: float = 0.01,
                    fit_rows: int = 100_000) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, best, evidence, passages of
     every row. Trained on labelled ids whose crc32 is not 0 modulo
@@ -209,7 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = ToxicModel(bits, np.zeros(0, np.int64), np.zeros(0), drift, 1.0, 0.1, max_e)
     if totals[0] and totals[1]:
         # at most 2^bits rows, in fact those far from no difference
-        found = _log_odds(counts, totals, prior, z_min).toPandas()
+        found = _log_odds(counts, totals, prior, z_min, min_odds).toPandas()
         model.buckets = found["bucket"].to_numpy(np.int64)
         model.scores = found["score"].to_numpy(float)
         # the clean distribution of scores, half an occurrence added to each
