@@ -45,3 +45,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: its
     lineage is cut there and several readers share one computation."""
     return materialize(df, name)[0]
+
+
+def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As ``written``, with the number of rows, counted by the same job."""
+    out, n = materialize(df, name, count=True)
+    return out, int(n or 0)

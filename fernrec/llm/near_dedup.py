@@ -13,9 +13,10 @@ their sets reaches ``percent`` / 100, checked on the full sets of words.
 3. Banding: nodes that share a band form a bucket. Every member is checked
    against one pivot of its bucket, not against all members.
 4. Union-find over the confirmed links. Buckets whose members now belong to
-   one component are done. The others take further rounds, each with another
-   pivot, until a round confirms no link; what is still apart is then checked
-   pair by pair across components, so no candidate is left out.
+   one component are done. The others take a further round with another pivot,
+   and more of them while rounds confirm links and the pairs that cross
+   components are many; the crossing pairs left are then all checked, so no
+   candidate is left out.
 
 With ``bands`` bands of ``rows`` values a pair of similarity s shares no band
 with probability (1 - s^rows)^bands: 4e-7 at 0.8 with 28 x 4. Links confirmed
@@ -38,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, whole_text, written
-from .components import connected_components
+from .common import ascii_lower, row_key, whole_text, written, written_counted
+from .components import connected_components, extend_components
 
 BANDS = 28
 ROWS = 4
+PAIRS_PER_MEMBER = 8  # crossing pairs per open bucket member that end the pivot rounds
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 _BLOCK = 1 << 17
@@ -237,47 +239,46 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
                                 whole_text(text_col).alias("text"))
                     .join(wanted, "_k").select("id", "text").dropDuplicates(["id"]), "texts")
     tested = written(pairs, "pairs")
-    links = _links(tested, texts, shingle, percent)
+    roots = connected_components(_links(tested, texts, shingle, percent))
+    near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    turn = 0
     while True:
-        roots = connected_components(links)
         placed = members.select("b", "id", "n_shingles").join(
             roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
                 "b", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
-        apart = (placed.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        open_ = (placed.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                  .filter(F.col("lo") < F.col("hi")).select("b"))
-        apart = written(placed.join(apart, "b"), "apart")
-        if apart.isEmpty():
+        apart, n_apart = written_counted(placed.join(open_, "b"), "apart")
+        if not n_apart:
             return roots
-        # another pivot: the member whose id scrambles lowest in this round
-        turn = F.xxhash64("id", F.lit(tested.count()))
-        pivots = (apart.groupBy("b").agg(F.min(F.struct(turn.alias("t"), F.col("id"),
-                                                        F.col("root"), F.col("n_shingles")))
-                                         .alias("p")))
-        near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-        fresh = (apart.join(pivots, "b")
-                 .filter((F.col("root") != F.col("p.root"))
-                         & near(F.col("n_shingles"), F.col("p.n_shingles")))
-                 .select(F.greatest("id", F.col("p.id")).alias("a"),
-                         F.least("id", F.col("p.id")).alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        fresh = written(fresh, "pairs")
+        # pairs of different components that share a bucket
+        by_root = apart.groupBy("b", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        crossing = by_root.groupBy("b").agg(
+            ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("p")
+        ).agg(F.sum("p")).first()[0]
+        if turn and (not grown or crossing <= PAIRS_PER_MEMBER * n_apart):
+            break
+        # a round with another pivot: the member that scrambles lowest
+        turn += 1
+        pivots = apart.groupBy("b").agg(F.min(F.struct(
+            F.xxhash64("id", F.lit(turn)).alias("t"), "id", "root", "n_shingles")).alias("p"))
+        fresh = written(
+            apart.join(pivots, "b")
+            .filter((F.col("root") != F.col("p.root"))
+                    & near(F.col("n_shingles"), F.col("p.n_shingles")))
+            .select(F.greatest("id", F.col("p.id")).alias("a"),
+                    F.least("id", F.col("p.id")).alias("b")).distinct()
+            .join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _links(fresh, texts, shingle, percent)
-        tested = written(tested.unionByName(fresh), "pairs")
+        tested = tested.unionByName(fresh)
         grown = not found.isEmpty()
-        links = links.unionByName(found)
-        if not grown:
-            break
-    # what is left: pairs of different components that share a bucket
-    roots = connected_components(links)
+        roots = extend_components(roots, found) if grown else roots
     x, y = apart.alias("x"), apart.alias("y")
     rest = (x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.root") < F.col("y.root"))
                    & near(F.col("x.n_shingles"), F.col("y.n_shingles")))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
             .distinct().join(tested, ["a", "b"], "left_anti"))
-    found = _links(rest, texts, shingle, percent)
-    if found.isEmpty():
-        return roots
-    return connected_components(links.unionByName(found))
+    return extend_components(roots, _links(rest, texts, shingle, percent))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

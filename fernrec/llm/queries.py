@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .chunk_bpe import encode_documents
 from .common import read_table
 from .decontamination import contamination
+from .html_blocks import extract_main_text
+from .language_id import identify_languages
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .token_counts import count_tokens
 from .token_files import token_digests
 from .toxicity import score_toxicity
@@ -25,6 +28,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"),
                          read_table(spark, sf_dir, "benchmark"))
@@ -41,6 +48,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("passages").alias("n_passages"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -49,14 +60,21 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), full=False)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
+    "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_chunk_bpe": op9_chunk_bpe,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _OP4_SQL = r"""

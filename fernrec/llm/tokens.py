@@ -22,6 +22,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str) -> str:
@@ -67,58 +68,29 @@ class Encoded:
         return np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
 
 
-class WordEncoder:
-    """``encode`` gives the library's ids, ``counts`` only their number.
+class MemoEncoder:
+    """Ids of texts whose pieces between ASCII white space encode on their own.
 
     ``memo_bytes`` bounds the remembered pieces' bytes and ``memo_words`` their
     number; both bound memory only, never the result.
     """
 
-    def __init__(self, path: str, memo_words: int = 400_000, memo_bytes: int = 32 << 20):
-        self.tokenizer = load_tokenizer(path)
-        self.letters = _byte_letters()
+    def __init__(self, vocab_size: int, memo_words: int = 400_000, memo_bytes: int = 32 << 20):
         self.memo_words, self.memo_bytes = memo_words, memo_bytes
+        self.dtype = np.uint16 if vocab_size <= 65536 else np.uint32
         self._reset()
 
+    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint16 if self.tokenizer.get_vocab_size() <= 65536
-                             else np.uint32)
+        self.flat = np.zeros(4096, self.dtype)
         self.used = 0
         self.bytes = 0
 
-    def _run(self, run: str) -> list[int]:
-        """Ids of one pre-token (lower case)."""
-        ids = self.runs.get(run)
-        if ids is None:
-            letters = "".join(map(self.letters.__getitem__, run.encode()))
-            ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(letters)]
-        return ids
-
-    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(pieces)
-        other: list[int] = []
-        for k, piece in enumerate(pieces):
-            text = piece.decode("utf-8", "replace")
-            plain = _PLAIN.fullmatch(text)
-            if plain is None:
-                other.append(k)
-                continue
-            letters, signs = plain.groups()
-            if not signs:
-                out[k] = self._run(letters.lower()) if letters else []
-            else:
-                out[k] = (self._run(letters.lower()) if letters else []) + self._run(signs)
-        if other:
-            for k, found in zip(other, self.tokenizer.encode_batch_fast(
-                    [pieces[k].decode("utf-8", "replace") for k in other],
-                    add_special_tokens=False)):
-                out[k] = found.ids
-        return out
-
     def _learn(self, words: list[bytes]) -> None:
         for lo in range(0, len(words), 20_000):
             part = words[lo:lo + 20_000]
@@ -138,9 +110,6 @@ class WordEncoder:
             self.used += total
             self.bytes += sum(map(len, part))
             self.index.update(zip(part, range(n, n + len(part))))
-        if len(self.runs) > self.memo_words:
-            self.runs = {}
-
     def _lookup(self, words: list[bytes]) -> np.ndarray:
         """Memo rows of ``words``; all of them are in the memo afterwards."""
         missing = set(words).difference(self.index)
@@ -178,28 +147,89 @@ class WordEncoder:
             out[first:first + len(sizes)] = lens[ends] - lens[ends - sizes]
         return out
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces without ASCII white space: numbers that tell them apart,
+        their ids one after the other, and the ends of each one's ids."""
+        rows = self._lookup(words)
+        lens = self.lens[rows]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        at = np.repeat(self.starts[rows] - ends[:-1], lens)
+        at += np.arange(len(at))
+        return rows, self.flat[at].astype(np.uint32), ends
+
     def encode(self, texts: list[bytes]) -> Encoded:
         counts = np.zeros(len(texts), np.int64)
         parts = []
         for first, sizes, words in self._pieces(texts):
-            rows = self._lookup(words)
-            lens = self.lens[rows]
-            ends = np.concatenate([[0], np.cumsum(lens)])
-            at = np.repeat(self.starts[rows] - ends[:-1], lens)
-            at += np.arange(len(at))
-            parts.append(self.flat[at].astype(np.uint32))
+            _, ids, ends = self.encode_words(words)
+            parts.append(ids)
             stops = np.cumsum(sizes)
             counts[first:first + len(sizes)] = ends[stops] - ends[stops - sizes]
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         return Encoded(ids, counts)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+class WordEncoder(MemoEncoder):
+    """The tokenizers library's ids for a vocabulary such as ``WORD_BPE``."""
+
+    def __init__(self, path: str, **memo):
+        self.tokenizer = load_tokenizer(path)
+        self.letters = _byte_letters()
+        self.runs: dict[str, list[int]] = {}
+        super().__init__(self.tokenizer.get_vocab_size(), **memo)
+
+    def _run(self, run: str) -> list[int]:
+        """Ids of one pre-token (lower case)."""
+        ids = self.runs.get(run)
+        if ids is None:
+            letters = "".join(map(self.letters.__getitem__, run.encode()))
+            ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return ids
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        other: list[int] = []
+        for k, piece in enumerate(pieces):
+            text = piece.decode("utf-8", "replace")
+            plain = _PLAIN.fullmatch(text)
+            if plain is None:
+                other.append(k)
+                continue
+            letters, signs = plain.groups()
+            if not signs:
+                out[k] = self._run(letters.lower()) if letters else []
+            else:
+                out[k] = (self._run(letters.lower()) if letters else []) + self._run(signs)
+        if other:
+            for k, found in zip(other, self.tokenizer.encode_batch_fast(
+                    [pieces[k].decode("utf-8", "replace") for k in other],
+                    add_special_tokens=False)):
+                out[k] = found.ids
+        if len(self.runs) > self.memo_words:
+            self.runs = {}
+        return out
+
+
+class PieceEncoder(MemoEncoder):
+    """A sentencepiece vocabulary's ids, word by word."""
+
+    def __init__(self, path: str, **memo):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        super().__init__(self.model.vocab_size(), **memo)
+        self.is_byte = np.array([self.model.is_byte(k) for k in range(self.model.vocab_size())])
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        return self.model.encode([p.decode("utf-8", "replace") for p in pieces], num_threads=1)
+
+
+_ENCODERS: dict[str, MemoEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str):
     """This process's encoder for ``path`` (workers are reused, so the memo
     outlives a task)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = (PieceEncoder if path.endswith(".model") else WordEncoder)(path)
     return _ENCODERS[path]
