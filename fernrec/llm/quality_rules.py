@@ -1,13 +1,15 @@
 """Operator 7: quality rules by tokeniser fertility.
 
-Every whole text is encoded word by word with a public vocabulary. Three
-figures describe how well the vocabulary fits it: characters per token, the
-share of byte-fallback tokens, and the entropy of its tokens (bits, as a share
+Every whole text is encoded word by word with a public vocabulary. Four
+figures describe how well the vocabulary fits it: characters per token, tokens
+per word, the share of byte-fallback tokens, and the entropy of its tokens (bits, as a share
 of the bits of its length). Rejection bands are learned per language (or, for
-rows without one, per script) and length class, from all documents that pass
-the base rules: the median plus or minus ``width`` times the distance to the
-nearer-side quartile, at least ``least`` wide. A class with fewer than
-``least_docs`` documents takes the band of all languages, or none.
+rows without one, per script) from all documents that pass the base rules: a
+straight line in the logarithm of the number of tokens takes out the effect of
+length; then, per length class, the median of what remains plus or minus
+``width`` times the distance to the quartile of that side, at least ``least``.
+A class with fewer than ``least_docs`` documents takes the band of its
+language, failing that the band of all, or none.
 
 Base rules: at least ``min_words`` words, and at most half of the words in
 3-word windows that occur twice or more in the text.
@@ -33,7 +35,7 @@ from .tokens import PIECE_BPE, encoder, vocabulary_path
 
 # Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-METRICS = ("chars_per_token", "byte_share", "token_entropy")
+METRICS = ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 _SYMBOL_TABLE = bytes(sorted(set(range(256)) - set(SYMBOLS.encode())))
 # Blocks of code points of common scripts.
 _SCRIPTS = [("latin", r"[A-Za-zÀ-ɏ]"), ("cyrillic", r"[Ѐ-ԯ]"),
@@ -97,11 +99,12 @@ def _measure(path: str):
                 rows.append((
                     len(words), chars, len(text.translate(None, _SYMBOL_TABLE)),
                     repeated_lines(text), repeat_words(places), n, chars / n if n else 0.0,
+                    n / len(words) if words else 0.0,
                     float(is_byte[found].mean()) if n and is_byte is not None else 0.0,
                     token_entropy(found), lang if lang is not None else
                     "script:" + script_of(text.decode("utf-8", "replace"))))
-            columns = list(zip(*rows)) if rows else [()] * 10
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
+            columns = list(zip(*rows)) if rows else [()] * 11
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -109,11 +112,12 @@ def _measure(path: str):
     return measure
 
 
-def _bands(measured: DataFrame, keys: list[str], width: float, least: dict[str, float],
+def _bands(rest: DataFrame, keys: list[str], width: float, least: dict[str, float],
            least_docs: int, tag: str) -> DataFrame:
-    """lo/hi of every metric per ``keys``, for groups of enough documents."""
-    parts = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in METRICS]
-    found = (measured.filter(~F.col("base_failed")).groupBy(*keys)
+    """lo/hi of every metric's remainder per ``keys``, for groups of enough
+    documents."""
+    parts = [F.percentile_approx(f"rest_{m}", [0.25, 0.5, 0.75], 10_000).alias(m) for m in METRICS]
+    found = (rest.filter(~F.col("base_failed")).groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("n"), *parts).filter(F.col("n") >= least_docs))
     out = [*keys]
     for m in METRICS:
@@ -124,13 +128,27 @@ def _bands(measured: DataFrame, keys: list[str], width: float, least: dict[str,
     return found.select(*out)
 
 
+def _without_length(measured: DataFrame) -> DataFrame:
+    """With rest_<metric>: what the group's line in log2(n_tokens) leaves."""
+    at = F.log2(F.greatest("n_tokens", F.lit(1)))
+    good = measured.filter(~F.col("base_failed"))
+    lines = good.groupBy("group").agg(*[e for m in METRICS for e in (
+        F.regr_slope(F.col(m), at).alias(f"slope_{m}"),
+        F.regr_intercept(F.col(m), at).alias(f"base_{m}"), F.avg(m).alias(f"mean_{m}"))])
+    rest = measured.join(lines, "group", "left")
+    return rest.select(*measured.columns, *[
+        (F.col(m) - F.coalesce(F.col(f"base_{m}") + F.col(f"slope_{m}") * at, f"mean_{m}",
+                               F.lit(0.0))).alias(f"rest_{m}") for m in METRICS])
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang", vocabulary: str | None = None, min_words: int = 50,
-                  width: float = 6.0, least: dict[str, float] | None = None,
+                  width: float = 7.0, least: dict[str, float] | None = None,
                   least_docs: int = 30) -> DataFrame:
     """doc_id, the base figures, the fertility figures, base_failed, kept and
     reasons (names of the figures out of their band) of every row."""
-    least = least or {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.02}
+    least = least or {"chars_per_token": 0.05, "tokens_per_word": 0.1, "byte_share": 0.05,
+                      "token_entropy": 0.01}
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -140,20 +158,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             _measure(vocabulary or vocabulary_path(PIECE_BPE)),
             f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
             "n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, "
-            "chars_per_token double, byte_share double, token_entropy double, group string")
+            "chars_per_token double, tokens_per_word double, byte_share double, "
+            "token_entropy double, group string")
         .withColumn("base_failed", (F.col("n_words") < min_words)
                     | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")),
         "quality")
-    own = _bands(measured, ["group", "size"], width, least, least_docs, "own")
-    pooled = _bands(measured, ["size"], width, least, least_docs, "all")
-    # pooled: one row per power of two of a text's length
-    rated = measured.join(own, ["group", "size"], "left").join(F.broadcast(pooled), "size", "left")
+    rest = written(_without_length(measured), "quality_rest")
+    levels = [("class", ["group", "size"]), ("group", ["group"]), ("all", [])]
+    rated = rest
+    for tag, keys in levels:
+        bands = _bands(rest, keys, width, least, least_docs, tag)
+        rated = rated.join(bands, keys, "left") if keys else rated.join(
+            F.broadcast(bands), F.lit(True), "left")  # one row
     reasons = []
     for m in METRICS:
-        lo = F.coalesce(f"own_lo_{m}", f"all_lo_{m}")
-        hi = F.coalesce(f"own_hi_{m}", f"all_hi_{m}")
-        out = (F.col(m) > hi) if m == "byte_share" else (F.col(m) < lo) | (F.col(m) > hi)
+        lo, hi = (F.coalesce(*[f"{tag}_{side}_{m}" for tag, _ in levels]) for side in ("lo", "hi"))
+        value = F.col(f"rest_{m}")
+        out = (value > hi) if m == "byte_share" else (value < lo) | (value > hi)
         reasons.append(F.when(out, F.lit(m)))
     rated = rated.withColumn("reasons", F.array_compact(F.array(*reasons)))
     return rated.select("doc_id", *sorted(names), *METRICS, "base_failed",
