@@ -12,6 +12,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import fields
+
+from .config import ModelConfig, RuntimeConfig
+
+# shorter names of some options
+SHORT = {"min_user_interactions": ("--min-user",), "min_item_interactions": ("--min-item",),
+         "random_seed": ("--seed",)}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,22 +30,21 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--item", default="item_id")
     ap.add_argument("--ts", default="ts")
     ap.add_argument("--out", required=True, help="artifact folder")
-    ap.add_argument("--mode", default="full", help="full | smoke (text only)")
-    ap.add_argument("--factors", type=int, default=128)
-    ap.add_argument("--iterations", type=int, default=100)
-    ap.add_argument("--topk", type=int, default=100)
-    ap.add_argument("--c0", type=float, default=64.0)
-    ap.add_argument("--alpha", type=float, default=0.5)
-    ap.add_argument("--reg-lambda", type=float, default=0.01)
-    ap.add_argument("--min-user", type=int, default=10)
-    ap.add_argument("--min-item", type=int, default=10)
-    ap.add_argument("--eval-user-sample", type=int, default=None)
     ap.add_argument("--master", default=None, help="e.g. local[8]; default: from spark-submit")
+    # every other option is a field of ModelConfig or RuntimeConfig
+    for config in (ModelConfig, RuntimeConfig):
+        for field in fields(config):
+            kind = {"int": int, "float": float, "str": str}[field.type.split(" |")[0]]
+            names = [f"--{field.name.replace('_', '-')}", *SHORT.get(field.name, ())]
+            ap.add_argument(*names, dest=field.name, type=kind, default=field.default)
     args = ap.parse_args(argv)
+    if args.table and args.mode == "smoke":
+        ap.error("--mode smoke samples review text; it does not apply to --table")
+    model, runtime = (config(**{f.name: getattr(args, f.name) for f in fields(config)})
+                      for config in (ModelConfig, RuntimeConfig))
 
     from pyspark.sql import SparkSession
 
-    from .config import ModelConfig, RuntimeConfig
     from .plans.end_to_end import load_review_text, metrics_json, run, save_artifacts
     from .sources.tables import interactions_from_table
 
@@ -46,11 +52,6 @@ def main(argv: list[str] | None = None) -> int:
     if args.master:
         builder = builder.master(args.master)
     spark = builder.getOrCreate()
-    model = ModelConfig(factors=args.factors, iterations=args.iterations, topk=args.topk,
-                        c0=args.c0, alpha=args.alpha, reg_lambda=args.reg_lambda,
-                        min_user_interactions=args.min_user,
-                        min_item_interactions=args.min_item)
-    runtime = RuntimeConfig(mode=args.mode, eval_user_sample=args.eval_user_sample)
     if args.text:
         interactions = load_review_text(spark, args.text, runtime)
     else:

@@ -72,7 +72,8 @@ class RuntimeConfig:
     eval_block_users: int = 4096
     eval_block_items: int = 8192
     eval_user_sample: int | None = None
-    max_kcore_rounds: int = 30
+    # None: to the fixpoint; a limit that runs out raises
+    max_kcore_rounds: int | None = None
 
     def __post_init__(self) -> None:
         # exact, case-sensitive: "SMOKE" must not silently run the full file
@@ -80,8 +81,10 @@ class RuntimeConfig:
             raise ValueError("mode must be exactly 'full' or 'smoke'")
         if self.num_partitions is not None and self.num_partitions < 1:
             raise ValueError("num_partitions must be a positive integer")
+        if self.max_kcore_rounds is not None and self.max_kcore_rounds < 1:
+            raise ValueError("max_kcore_rounds must be >= 1 or None")
         for name in ("rows_per_block", "heavy_threshold", "heavy_chunk_rows", "eval_block_users",
-                     "eval_block_items", "max_kcore_rounds", "smoke_records"):
+                     "eval_block_items", "smoke_records"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be >= 1")
 

@@ -30,11 +30,13 @@ def unicode_strip(col: Column) -> Column:
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since 1970-01-01 of a TIMESTAMP or TIMESTAMP_NTZ column,
-    independent of the session time zone for NTZ input."""
+    """Microseconds since 1970-01-01: of the instant for a TIMESTAMP column, of
+    the wall clock for TIMESTAMP_NTZ and DATE; the session zone plays no part."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+    wall = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                            c.cast("timestamp_ntz"))
+    return F.when(F.typeof(c) == F.lit("timestamp"),
+                  F.unix_micros(c.cast("timestamp"))).otherwise(wall)
 
 
 def _hash_uniform(key: Column, start: int) -> Column:

@@ -78,44 +78,15 @@ def gram_table(factors: DataFrame, k: int, weights: DataFrame | None = None) ->
     """
     upper = (_weighted(factors, weights).mapInPandas(_partial_gram(k), _GRAM_SCHEMA)
              .groupBy("f", "g").agg(F.sum("v").alias("v")))
-    lower = upper.filter(F.col("f") != F.col("g")).select(
-        F.col("g").alias("f"), F.col("f").alias("g"), "v")
-    return upper.unionByName(lower)
-
-
-# Up to this many tasks, their partial upper triangles go straight to the
-# driver (<= 256 * K(K+1)/2 doubles, 17 MB at K=128); beyond, they are summed
-# by key on the executors first.
-DIRECT_PARTIALS = 256
-
-
-def _partial_upper(factors: int):
-    iu, ju = np.triu_indices(factors)
-    fold = _partial_gram(factors)
-
-    def run(batches):
-        for pdf in fold(batches):
-            yield pd.DataFrame({"v": [pdf["v"].to_numpy()]})
-    return run, iu, ju
+    # the lower triangle mirrors the upper one
+    both = F.when(F.col("f") == F.col("g"), F.array(F.struct("f", "g"))).otherwise(
+        F.array(F.struct("f", "g"), F.struct(F.col("g").alias("f"), F.col("f").alias("g"))))
+    return upper.select(F.explode(both).alias("at"), "v").select("at.f", "at.g", "v")
 
 
 def gram_matrix(factors: DataFrame, k: int, weights: DataFrame | None = None) -> np.ndarray:
-    """The K x K Gram matrix on the driver (K^2 doubles: bounded by K)."""
+    """``gram_table`` as a K x K matrix on the driver (K^2 doubles: bounded by K)."""
     s = np.zeros((k, k))
-    src = _weighted(factors, weights)
-    # upper bound on the tasks of src, known without running anything: the
-    # factor table's (written, scan-only) partitions, or the shuffle width of
-    # the weight join
-    tasks = factors.rdd.getNumPartitions()
-    if weights is not None:
-        tasks = max(tasks, int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if tasks <= DIRECT_PARTIALS:
-        run, iu, ju = _partial_upper(k)
-        schema = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
-        for row in src.mapInPandas(run, schema).collect():
-            s[iu, ju] += np.asarray(row["v"], dtype=np.float64)
-        s[ju, iu] = s[iu, ju]
-        return s
     for row in gram_table(factors, k, weights).collect():
         s[row["f"], row["g"]] = row["v"]
     return s

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, materialize_bucketed
+from ..session import materialize, materialize_bucketed, release
 from .factors import vec_type
 
 _CHUNK = 1 << 16  # rows per vectorized dot-product chunk inside a task
@@ -105,11 +105,8 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
 
 def release_layout(layout: SideLayout) -> None:
     """Delete the scratch tables of a layout once training is done."""
-    from ..session import release, release_table
-    release_table(layout.light)
-    for df in (layout.routing, layout.heavy, layout.heavy_keys):
-        if df is not None:
-            release(df)
+    for df in (layout.light, layout.routing, layout.heavy, layout.heavy_keys):
+        release(df)
 
 
 def _vec_frame(ids: np.ndarray, mat: np.ndarray) -> pd.DataFrame:
@@ -159,8 +156,9 @@ def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtyp
                 hi = min(lo + _CHUNK, len(u))
                 rhat[lo:hi] = np.einsum("ij,ij->i", x[u[lo:hi]], y[o[lo:hi]])
             wr = w * r
+            yt = np.ascontiguousarray(y.T)  # one coordinate of all vectors per row
             for f in range(k):
-                yf = y[o, f]
+                yf = yt[f][o]
                 rf = rhat - x[u, f] * yf
                 num = np.bincount(u, weights=(wr - wmc * rf) * yf, minlength=n_e)
                 den = np.bincount(u, weights=wmc * yf * yf, minlength=n_e)

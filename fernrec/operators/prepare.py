@@ -44,22 +44,26 @@ def filter_item_min_count(df: DataFrame, min_count: int, item_col: str = "item_i
     return filter_min_count(df, item_col, min_count)
 
 
+class KCoreLimitError(RuntimeError):
+    """The caller's round limit ran out before the fixpoint."""
+
+
 @dataclass
 class KCoreResult:
     interactions: DataFrame
     rounds: int
     counts: list[int]
-    converged: bool
 
 
-def k_core(interactions: DataFrame, min_user: int, min_item: int, max_rounds: int = 30,
-           user_col: str = "user_id", item_col: str = "item_id",
+def k_core(interactions: DataFrame, min_user: int, min_item: int,
+           max_rounds: int | None = None, user_col: str = "user_id", item_col: str = "item_id",
            input_count: int | None = None) -> KCoreResult:
     """Repeat (users first, then items) until a round removes nothing.
 
     Each round is written to the shared checkpoint folder (lineage cut, row
-    count observed in the same job). ``converged`` is False when
-    ``max_rounds`` ran out before a stable round. Pass ``input_count`` when
+    count observed in the same job). Rounds go on to the fixpoint however many
+    it takes; with ``max_rounds`` a core that is not reached by then raises
+    ``KCoreLimitError`` (never a non-core). Pass ``input_count`` when
     ``interactions`` is already a written table (it is then read as is).
     """
     if input_count is None:
@@ -68,8 +72,10 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int, max_rounds: in
         current, n = interactions, input_count
     counts = [n]
     rounds = 0
-    converged = False
-    while rounds < max_rounds:
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise KCoreLimitError(f"no {min_user}/{min_item}-core after {rounds} rounds: "
+                                  f"rows per round {counts}")
         step = filter_min_count(current, user_col, min_user)
         step = filter_min_count(step, item_col, min_item)
         nxt, n_next = materialize(step, f"kcore_round_{rounds + 1}", count=True)
@@ -79,9 +85,7 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int, max_rounds: in
             release(current)
         current = nxt
         if n_next == counts[-2]:
-            converged = True
-            break
-    return KCoreResult(current, rounds, counts, converged)
+            return KCoreResult(current, rounds, counts)
 
 
 def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,
@@ -136,7 +140,7 @@ def dense_index_counted(df: DataFrame, id_col: str, idx_col: str,
 
 # A top-n keeps n rows per task and merges tasks x n rows in one task; up to
 # this many merged rows it is used, beyond it a distributed global rank.
-TOP_N_MERGE_LIMIT = 10_000_000
+TOP_N_MERGE_LIMIT = 100_000
 
 
 def first_n(df: DataFrame, order_cols: list[str], n: int, pos_col: str = "pos",

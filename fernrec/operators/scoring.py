@@ -1,7 +1,6 @@
 """Scoring and leave-one-out evaluation.
 
-Every user is scored against every item (the reference's semantics), in
-blocks: users are hashed into ``UB`` blocks and items into ``IB`` blocks; each
+Every user is scored against every item, in blocks: users are hashed into ``UB`` blocks and items into ``IB`` blocks; each
 user row is copied once per item block and each item row once per user
 block, and an equi-join on ``(ub, ib)`` brings one user block and one item
 block into one Arrow task, which multiplies them (float64) and emits only
@@ -24,6 +23,7 @@ from pyspark.sql import types as T
 from ..functions.columns import dot, hit_at, ndcg_at
 
 _CELL = 1 << 22  # user x item scores held at once inside a task
+_PAIRS = 1 << 16  # pairs summed again at once
 _MERGE_FANIN = 64  # item blocks merged per user in one window before a second level
 
 
@@ -31,15 +31,27 @@ def _blocks(n: int, per_block: int) -> int:
     return max(1, math.ceil(max(n, 1) / per_block))
 
 
+def _given(vec: str, what: str, idx: str):
+    """The vector, or an error that names the index without one."""
+    return F.coalesce(vec, F.raise_error(F.concat(F.lit(f"no factor vector for {what} "),
+                                                  F.col(idx).cast("string"))))
+
+
 def heldout_scores(test: DataFrame, p: DataFrame, q: DataFrame) -> DataFrame:
-    """``user_idx, test_item_idx, s, pvec``: the score of the held-out item."""
-    return (test.select("user_idx", "test_item_idx")
-            .join(p.select(F.col("idx").alias("user_idx"), F.col("vec").alias("pvec")),
-                  "user_idx")
-            .join(q.select(F.col("idx").alias("test_item_idx"), F.col("vec").alias("qvec")),
-                  "test_item_idx")
-            .select("user_idx", "test_item_idx", dot(F.col("pvec"), F.col("qvec")).alias("s"),
-                    "pvec"))
+    """``user_idx, test_item_idx, s, pvec``: the score of the held-out item.
+    Fails if a test user or its item has no vector, or the score is not finite."""
+    scored = (test.select("user_idx", "test_item_idx")
+              .join(p.select(F.col("idx").alias("user_idx"), F.col("vec").alias("pvec")),
+                    "user_idx", "left")
+              .join(q.select(F.col("idx").alias("test_item_idx"), F.col("vec").alias("qvec")),
+                    "test_item_idx", "left")
+              .withColumn("pvec", _given("pvec", "user", "user_idx"))
+              .select("user_idx", "test_item_idx", "pvec",
+                      dot(F.col("pvec"), _given("qvec", "item", "test_item_idx")).alias("s")))
+    finite = ~F.isnan("s") & (F.abs("s") < F.lit(float("inf")))
+    return scored.select("user_idx", "test_item_idx", F.when(finite, F.col("s")).otherwise(
+        F.raise_error(F.concat(F.lit("score not finite for user "),
+                               F.col("user_idx").cast("string")))).alias("s"), "pvec")
 
 
 def _cells(users: DataFrame, train: DataFrame, q: DataFrame, ub: int, ib: int):
@@ -47,16 +59,15 @@ def _cells(users: DataFrame, train: DataFrame, q: DataFrame, ub: int, ib: int):
     left_users = (users.withColumn("ub", F.pmod("user_idx", F.lit(ub)).cast("int"))
                   .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
                   .select("ub", "ib", F.lit(0).alias("kind"), "user_idx",
-                          F.col("test_item_idx").alias("j"), "s",
-                          F.col("pvec").cast(T.ArrayType(T.DoubleType())).alias("pvec")))
+                          F.col("test_item_idx").alias("j"), "s", "pvec"))
     left_train = train.select(
         F.pmod("user_idx", F.lit(ub)).cast("int").alias("ub"),
         F.pmod("item_idx", F.lit(ib)).cast("int").alias("ib"),
         F.lit(1).alias("kind"), "user_idx", F.col("item_idx").alias("j"),
         F.lit(None).cast("double").alias("s"),
-        F.lit(None).cast(T.ArrayType(T.DoubleType())).alias("pvec"))
-    right = (q.select(F.col("idx").alias("j"),
-                      F.col("vec").cast(T.ArrayType(T.DoubleType())).alias("qvec"))
+        F.lit(None).cast(users.schema["pvec"].dataType).alias("pvec"))
+    # vectors travel as they are stored; the kernels widen them
+    right = (q.select(F.col("idx").alias("j"), F.col("vec").alias("qvec"))
              .withColumn("ib", F.pmod("j", F.lit(ib)).cast("int"))
              .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(ub - 1)))))
     return left_users.unionByName(left_train), right
@@ -69,13 +80,15 @@ def _unpack(left: pd.DataFrame, right: pd.DataFrame):
     u_ids = users["user_idx"].to_numpy()
     order = np.argsort(u_ids, kind="stable")
     u_ids = u_ids[order]
-    pm = np.vstack(users["pvec"].to_numpy()[order]) if len(users) else np.zeros((0, 0))
+    pm = (np.vstack(users["pvec"].to_numpy()[order]).astype(np.float64) if len(users)
+          else np.zeros((0, 0)))
     s = users["s"].to_numpy(dtype=np.float64)[order]
     t = users["j"].to_numpy()[order]
     j_ids = right["j"].to_numpy()
     jorder = np.argsort(j_ids, kind="stable")
     j_ids = j_ids[jorder]
-    qm = np.vstack(right["qvec"].to_numpy()[jorder]) if len(right) else np.zeros((0, 0))
+    qm = (np.vstack(right["qvec"].to_numpy()[jorder]).astype(np.float64) if len(right)
+          else np.zeros((0, 0)))
     tr_u = train["user_idx"].to_numpy()
     tr_j = train["j"].to_numpy()
     tu = np.minimum(np.searchsorted(u_ids, tr_u), max(len(u_ids) - 1, 0))
@@ -86,15 +99,37 @@ def _unpack(left: pd.DataFrame, right: pd.DataFrame):
     return u_ids, pm, s, t, j_ids, qm, tu[ok], tj[ok]
 
 
+def _exact_scores(pm: np.ndarray, qm: np.ndarray, u: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Scores of pairs summed from the first coordinate to the last, as the
+    held-out score is (a matrix product sums in another order)."""
+    out = np.zeros(len(u))
+    for lo in range(0, len(u), _PAIRS):
+        a, b = pm[u[lo:lo + _PAIRS]], qm[j[lo:lo + _PAIRS]]
+        for f in range(pm.shape[1]):
+            out[lo:lo + _PAIRS] += a[:, f] * b[:, f]
+    return out
+
+
+def _rounding(pm: np.ndarray, qm: np.ndarray) -> np.ndarray:
+    """Per user, a bound on the difference of two summation orders."""
+    most = np.sqrt((qm * qm).sum(axis=1)).max() if len(qm) else 0.0
+    return (4 * (pm.shape[1] + 2) * np.finfo(np.float64).eps
+            * np.sqrt((pm * pm).sum(axis=1)) * most)
+
+
 def _rank_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     u_ids, pm, s, t, j_ids, qm, tu, tj = _unpack(left, right)
     above = np.zeros(len(u_ids), dtype=np.int64)
     if len(u_ids) and len(j_ids):
         step = max(1, _CELL // len(j_ids))
+        slack = _rounding(pm, qm)
         for lo in range(0, len(u_ids), step):
             hi = min(lo + step, len(u_ids))
             sc = pm[lo:hi] @ qm.T
             ss = s[lo:hi, None]
+            # pairs too close to call are summed again, in one fixed order
+            ui, ji = np.nonzero(np.abs(sc - ss) <= slack[lo:hi, None])
+            sc[ui, ji] = _exact_scores(pm, qm, ui + lo, ji)
             better = (sc > ss) | ((sc == ss) & (j_ids[None, :] < t[lo:hi, None]))
             better &= j_ids[None, :] != t[lo:hi, None]
             above[lo:hi] = better.sum(axis=1)
@@ -156,10 +191,12 @@ def sample_users(test: DataFrame, n: int | None, seed: int) -> DataFrame:
 def evaluate(test: DataFrame, train: DataFrame, p: DataFrame, q: DataFrame, topk: int,
              num_users: int, num_items: int, sample: int | None = None, seed: int = 42,
              block_users: int = 4096, block_items: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """(per-user metrics, one-row summary)."""
+    """(per-user metrics, one-row summary). The item copies follow the
+    number of users scored (``sample``), not ``num_users``."""
     users = sample_users(test, sample, seed)
     if sample is not None and sample > 0:
         train = train.join(users.select("user_idx"), "user_idx", "left_semi")
+        num_users = min(num_users, sample)
     ranks = heldout_rank(users, train, p, q, num_users, num_items, block_users, block_items)
     per_user = hr_ndcg(ranks, topk)
     return per_user, summarize(per_user)
@@ -172,18 +209,24 @@ def _topk_kernel(k: int):
         if len(u_ids) and len(j_ids) and k > 0:
             step = max(1, _CELL // len(j_ids))
             kk = min(k, len(j_ids))
+            slack = _rounding(pm, qm)
             for lo in range(0, len(u_ids), step):
                 hi = min(lo + step, len(u_ids))
                 sc = pm[lo:hi] @ qm.T
+                if not np.isfinite(sc).all():
+                    raise ValueError("a score is not finite")
                 sel = (tu >= lo) & (tu < hi)
                 sc[tu[sel] - lo, tj[sel]] = -np.inf
-                # candidates: the kk best by (score DESC, item ASC); items are
-                # sorted ascending so a stable sort on -score breaks ties by id
-                idx = np.argsort(-sc, axis=1, kind="stable")[:, :kk]
-                rows = np.repeat(np.arange(hi - lo), kk)
-                cols = idx.ravel()
-                vals = sc[rows, cols]
-                ok = np.isfinite(vals)
+                # the kk best, and all within rounding of the last of them;
+                # those are summed again in one fixed order and sorted by
+                # (score DESC, item ASC)
+                edge = np.partition(sc, len(j_ids) - kk, axis=1)[:, len(j_ids) - kk]
+                rows, cols = np.nonzero((sc >= (edge - 2 * slack[lo:hi])[:, None])
+                                        & np.isfinite(sc))
+                vals = _exact_scores(pm, qm, rows + lo, cols)
+                best = np.lexsort((cols, -vals, rows))
+                rows, cols, vals = rows[best], cols[best], vals[best]
+                ok = np.arange(len(rows)) - np.searchsorted(rows, rows) < kk
                 out_u.append(u_ids[lo:hi][rows[ok]])
                 out_j.append(j_ids[cols[ok]])
                 out_s.append(vals[ok])
@@ -202,7 +245,8 @@ def recommend_topk(users: DataFrame, train: DataFrame, p: DataFrame, q: DataFram
                    block_items: int = 8192) -> DataFrame:
     """W3 (+E1, E2): per user the ``k`` best items not in train.
 
-    ``users`` has a ``user_idx`` column. Output ``user_idx, rank, item_idx,
+    ``users`` has a ``user_idx`` column; ``num_users`` is how many it has (the
+    item copies follow it). Fails for a user without a vector. Output ``user_idx, rank, item_idx,
     score`` (rank 1-based; ties by lower item index). Each block keeps its own
     top-k (exact: the global top-k is inside the union of the block top-ks).
     With many item blocks the merge runs in two levels: top-k within groups
@@ -211,9 +255,10 @@ def recommend_topk(users: DataFrame, train: DataFrame, p: DataFrame, q: DataFram
     """
     ub, ib = _blocks(num_users, block_users), _blocks(num_items, block_items)
     u = (users.select("user_idx").join(
-            p.select(F.col("idx").alias("user_idx"), F.col("vec").alias("pvec")), "user_idx")
+            p.select(F.col("idx").alias("user_idx"), F.col("vec").alias("pvec")), "user_idx",
+            "left")
          .select("user_idx", F.lit(-1).cast("bigint").alias("test_item_idx"),
-                 F.lit(0.0).alias("s"), "pvec"))
+                 F.lit(0.0).alias("s"), _given("pvec", "user", "user_idx").alias("pvec")))
     tr = train.join(users.select("user_idx"), "user_idx", "left_semi")
     left, right = _cells(u, tr, q, ub, ib)
     schema = T.StructType([T.StructField("user_idx", T.LongType()),

@@ -7,6 +7,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import ModelConfig, RuntimeConfig
 from ..operators.scoring import evaluate
@@ -70,7 +71,8 @@ def save_artifacts(result: RunResult, out_dir: str, model: ModelConfig) -> None:
 
     for name, df in (("p", result.model.p), ("q", result.model.q)):
         in_order(df, "idx").write.mode("overwrite").parquet(f"{out}/factors_{name}")
-    result.metrics.coalesce(1).write.mode("overwrite").json(f"{out}/metrics")
+    (result.metrics.withColumn("eval_seconds", F.lit(float(result.eval_seconds)))
+     .coalesce(1).write.mode("overwrite").json(f"{out}/metrics"))
     result.prepared.stats_frame(spark).coalesce(1).write.mode("overwrite").json(
         f"{out}/prepare_stats")
     result.model.log_frame(spark).coalesce(1).write.mode("overwrite").json(f"{out}/train_log")
@@ -88,6 +90,30 @@ def load_factors(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFram
     return spark.read.parquet(f"{out}/factors_p"), spark.read.parquet(f"{out}/factors_q")
 
 
+def load_id_maps(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """S9 read back: (user_id, user_idx) and (item_id, item_idx)."""
+    out = out_dir.rstrip("/")
+    return spark.read.parquet(f"{out}/user_ids"), spark.read.parquet(f"{out}/item_ids")
+
+
+def load_metrics(spark: SparkSession, out_dir: str) -> DataFrame:
+    """S6 read back: hr, ndcg, evaluated_users, eval_seconds."""
+    return spark.read.schema("hr double, ndcg double, evaluated_users bigint, "
+                             "eval_seconds double").json(f"{out_dir.rstrip('/')}/metrics")
+
+
+def load_stats(spark: SparkSession, out_dir: str) -> DataFrame:
+    """S7 read back: stage, value."""
+    return spark.read.schema("stage string, value double").json(
+        f"{out_dir.rstrip('/')}/prepare_stats")
+
+
+def load_train_log(spark: SparkSession, out_dir: str) -> DataFrame:
+    """S8 read back: iteration, seconds."""
+    return spark.read.schema("iteration int, seconds double").json(
+        f"{out_dir.rstrip('/')}/train_log")
+
+
 def metrics_dict(metrics: DataFrame) -> dict:
     row = metrics.first()
     return {"hr": float(row["hr"]), "ndcg": float(row["ndcg"]),
@@ -99,4 +125,5 @@ def metrics_json(metrics: DataFrame) -> str:
 
 
 __all__ = ["RunResult", "load_review_text", "check_prepared", "run", "save_artifacts", "load_factors",
+           "load_id_maps", "load_metrics", "load_stats", "load_train_log",
            "metrics_dict", "metrics_json"]

@@ -41,14 +41,18 @@ def min_count_cte(src: str, key: str, k: int, name: str) -> str:
 
 
 def kcore_ctes(src: str, ku: int, ki: int, rounds: int = 12, name: str = "kc") -> list[str]:
-    """Unrolled rounds (users, then items); extra rounds past the fixpoint are no-ops."""
+    """Unrolled rounds (users, then items); extra rounds past the fixpoint are
+    no-ops. The statement fails if the last round still removes a row."""
     ctes = []
     prev = src
     for i in range(1, rounds + 1):
         ctes.append(min_count_cte(prev, "user_id", ku, f"kc{i}u"))
         ctes.append(min_count_cte(f"kc{i}u", "item_id", ki, f"kc{i}"))
         prev = f"kc{i}"
-    ctes.append(f"{name} AS (SELECT * FROM {prev})")
+    ctes.append(
+        f"{name} AS (SELECT * FROM {prev} WHERE CASE WHEN (SELECT count(*) FROM {prev}) = "
+        f"(SELECT count(*) FROM kc{rounds - 1}) THEN true "
+        f"ELSE error('k-core not reached in {rounds} rounds') END)")
     return ctes
 
 

@@ -12,7 +12,7 @@ from ..config import ModelConfig, RuntimeConfig
 from ..operators.prepare import (index_interactions, k_core, leave_one_out,
                                  train_without_test)
 from ..operators.weights import histories, item_popularity, weights_from_counts
-from ..session import materialize
+from ..session import default_partitions, materialize, release
 
 
 @dataclass
@@ -27,7 +27,6 @@ class Prepared:
     weights: DataFrame      # item_idx, c (items seen in train)
     hist: DataFrame         # user_idx, item_idx, c
     stats: dict = field(default_factory=dict)
-    kcore_converged: bool = True
 
     def stats_frame(self, spark: SparkSession, timings: bool = True) -> DataFrame:
         """S7 source: ``stage STRING, value DOUBLE`` rows."""
@@ -56,15 +55,20 @@ def prepare(interactions: DataFrame, model: ModelConfig,
 
     # load + dedup in one job: raw rows are never written themselves; each
     # pair keeps its repeat count, so raw = sum of counts, read from the
-    # written table (exact even when a lost executor makes a stage rerun)
+    # written table (exact even when a lost executor makes a stage rerun). The
+    # published stats name both steps: the write is the load, the count of
+    # raw rows from the pairs is the dedup
     t = time.time()
     _stage(interactions, "load+dedup")
+    stats["num_partitions"] = n or default_partitions(interactions.sparkSession)
     pairs = interactions.groupBy("user_id", "item_id").agg(
         F.max("ts").alias("ts"), F.count(F.lit(1)).alias("_repeats"))
     pairs, n_dedup = materialize(pairs, "dedup", count=True)
+    stats["load_seconds"] = time.time() - t
     stats["raw_interactions"] = int(pairs.agg(F.sum("_repeats")).first()[0] or 0)
     stats["deduped_interactions"] = n_dedup
     dedup = pairs.select("user_id", "item_id", "ts")
+    stats["dedupe_seconds"] = time.time() - t - stats["load_seconds"]
     stats["load_dedup_seconds"] = time.time() - t
 
     t = time.time()
@@ -81,6 +85,8 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     user_index, item_index = ix.user_index, ix.item_index
     num_users, num_items = ix.num_users, ix.num_items
     indexed, n_indexed = materialize(ix.interactions, "indexed", count=True)
+    release(pairs)
+    release(kc.interactions)
     stats["num_users"] = num_users
     stats["num_items"] = num_items
     stats["indexed_interactions"] = n_indexed
@@ -114,8 +120,11 @@ def prepare(interactions: DataFrame, model: ModelConfig,
     stats["user_histories"] = int(test.filter(F.col("n_train") > 0).count())
     stats["item_histories"] = n_weighted
     stats["history_seconds"] = time.time() - t
+    # ids are never collected: they stay the index tables
+    stats["collect_ids_seconds"] = 0.0
+    release(counts)
     stats["total_prepare_seconds"] = time.time() - t_all
     interactions.sparkSession.sparkContext.setJobDescription(None)
 
     return Prepared(num_users, num_items, user_index, item_index, indexed, train, test,
-                    weights, hist, stats, kc.converged)
+                    weights, hist, stats)

@@ -76,19 +76,21 @@ def train(prep: Prepared, model: ModelConfig, runtime: RuntimeConfig | None = No
     user_layout, item_layout = layouts(prep, runtime)
     log = []
     n_iter = model.iterations if iterations is None else iterations
-    for it in range(1, n_iter + 1):
-        t = time.time()
-        sc = p.sparkSession.sparkContext
-        sc.setJobDescription(f"fernrec train: iteration {it} users")
-        p_new, _ = materialize(user_step(user_layout, p, q, prep.weights, model), f"p{it}")
-        release(p)
-        p = p_new
-        sc.setJobDescription(f"fernrec train: iteration {it} items")
-        q_new, _ = materialize(item_step(item_layout, q, p, model), f"q{it}")
-        release(q)
-        q = q_new
-        log.append({"iteration": it, "seconds": time.time() - t})
-    for layout in (user_layout, item_layout):
-        release_layout(layout)
-    p.sparkSession.sparkContext.setJobDescription(None)
+    sc = p.sparkSession.sparkContext
+    try:
+        for it in range(1, n_iter + 1):
+            t = time.time()
+            sc.setJobDescription(f"fernrec train: iteration {it} users")
+            p_new, _ = materialize(user_step(user_layout, p, q, prep.weights, model), f"p{it}")
+            release(p)
+            p = p_new
+            sc.setJobDescription(f"fernrec train: iteration {it} items")
+            q_new, _ = materialize(item_step(item_layout, q, p, model), f"q{it}")
+            release(q)
+            q = q_new
+            log.append({"iteration": it, "seconds": time.time() - t})
+    finally:
+        for layout in (user_layout, item_layout):
+            release_layout(layout)
+        sc.setJobDescription(None)
     return Model(p, q, log)

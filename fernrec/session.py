@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -80,18 +79,19 @@ def materialize(df: DataFrame, name: str = "table",
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    n = None
     if count:
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
         df.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        out = spark.read.parquet(path)
+        out = _with_place(spark.read.parquet(path), path)
         return out, _observed_rows(obs, out)
     df.write.parquet(path)
-    return spark.read.parquet(path), n
+    return _with_place(spark.read.parquet(path), path), None
 
 
-# catalog names of bucketed scratch tables, by frame (for release_table)
-_BUCKETED: dict[int, tuple[str, ...]] = {}
+def _with_place(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    """``df`` that remembers the scratch folder (and catalog table) behind it."""
+    df._scratch = (path, table)
+    return df
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str,
@@ -110,45 +110,22 @@ def materialize_bucketed(df: DataFrame, name: str, key: str,
     # observed after the exchange: counted in the write (result) stage only
     (df.repartition(buckets, key).observe(obs, F.count(F.lit(1)).alias("n"))
      .write.bucketBy(buckets, key).option("path", path).saveAsTable(table))
-    out = spark.table(table)
-    _BUCKETED[id(out)] = (table,)
+    out = _with_place(spark.table(table), path, table)
     return out, _observed_rows(obs, out)
 
 
-def release_table(df: DataFrame) -> None:
-    """Drop the catalog entry of a table from ``materialize_bucketed`` (if
-    any) and delete its files."""
-    spark = df.sparkSession
-    for name in list(_BUCKETED.get(id(df), ())):
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    _BUCKETED.pop(id(df), None)
-    release(df)
-
-
-def _uri_key(uri: str) -> tuple[str, str, str]:
-    parsed = urlparse(uri)
-    return (parsed.scheme or "file", parsed.netloc, parsed.path.rstrip("/"))
-
-
-def release(df: DataFrame) -> None:
-    """Delete the scratch files behind a frame returned by ``materialize``."""
-    spark = df.sparkSession
-    try:
-        files = df.inputFiles()
-    except Exception:
-        return
-    if not files:
+def release(df: DataFrame | None) -> None:
+    """Delete the scratch files (and catalog table) behind a frame returned by
+    ``materialize`` or ``materialize_bucketed``; other frames are left alone."""
+    path, table = getattr(df, "_scratch", (None, None))
+    if path is None:
         return
-    root = files[0].rsplit("/", 1)[0]
-    # only scratch tables under our own folder of the checkpoint dir; URIs are
-    # compared parsed (file:/x and file:///x are the same folder)
-    where, base = _uri_key(root), _uri_key(checkpoint_dir(spark))
-    if (where[:2] != base[:2] or not where[2].startswith(base[2] + "/fernrec/")):
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    spark = df.sparkSession
+    if table is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    df._scratch = (None, None)
 
 
 def default_partitions(spark: SparkSession) -> int:

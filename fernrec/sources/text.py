@@ -79,7 +79,7 @@ def parse_records(blocks: DataFrame, value_col: str = "value",
         ~F.exists(
             F.filter(F.split("_norm", "\n"), lambda line: line.startswith(TIME_PREFIX)),
             lambda line: unicode_strip(
-                F.substring(line, len(TIME_PREFIX) + 1, 1 << 30)).try_cast("bigint").isNull()))
+                line.substr(F.lit(len(TIME_PREFIX) + 1), F.length(line))).try_cast("bigint").isNull()))
     return (
         parsed.filter(
             (F.length("user_id") > 0)

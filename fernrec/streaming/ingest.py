@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_path
 from ..sources.text import RECORD_DELIMITER, parse_records
 
 
@@ -23,11 +22,12 @@ def ingest_review_files(spark: SparkSession, source_dir: str, table_dir: str,
                         available_now: bool = True) -> StreamingQuery:
     """Append parsed interactions of new files to a Parquet table.
 
-    Exactly-once through the streaming checkpoint (kept in the shared
-    checkpoint folder unless given). With ``available_now`` the query
+    Exactly-once through the streaming checkpoint, which belongs to the table:
+    it is kept beside its files (a hidden folder readers skip) unless given,
+    so a later call goes on where the last one ended. With ``available_now`` the query
     processes what is there and stops.
     """
-    ckpt = checkpoint_location or scratch_path(spark, "ingest_checkpoint")
+    ckpt = checkpoint_location or f"{table_dir.rstrip('/')}/_ingest_checkpoint"
     writer = (interaction_stream(spark, source_dir).writeStream.format("parquet")
               .option("path", table_dir).option("checkpointLocation", ckpt)
               .outputMode("append"))

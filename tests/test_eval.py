@@ -159,3 +159,54 @@ def test_metrics_agree_with_ranking_evaluator(spark):
     assert ours.hr == pytest.approx(recall, abs=1e-12)
     assert ours.ndcg == pytest.approx(ndcg, abs=1e-12)
     assert 0 < ours.hr < 1
+
+
+@pytest.mark.parametrize("k", [4, 16, 64])
+@pytest.mark.parametrize("blocks", [(4096, 8192), (7, 5)])
+def test_equal_real_scores(spark, k, blocks):
+    """Every item has a twin with the same real-valued vector; the held-out
+    item is the later twin, so the earlier one always ranks before it."""
+    rng = np.random.default_rng(k)
+    half = rng.normal(size=(20, k))
+    q = np.concatenate([half, half])
+    p = rng.normal(size=(30, k))
+    P = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(p)], VEC)
+    Q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], VEC)
+    T = spark.createDataFrame([], "user_idx bigint, item_idx bigint")
+    X = spark.createDataFrame([(u, 20 + u % 20) for u in range(30)],
+                              "user_idx bigint, test_item_idx bigint")
+    ranks = {r.user_idx: r.rank for r in heldout_rank(X, T, P, Q, 30, 40, *blocks).collect()}
+    top = {}
+    for r in recommend_topk(X, T, P, Q, 40, 30, 40, *blocks).collect():
+        top.setdefault(r.user_idx, {})[r.item_idx] = r.rank
+    for u in range(30):
+        t = 20 + u % 20
+        s = half @ p[u]
+        assert ranks[u] == top[u][t] == 2 * int((s > s[u % 20]).sum()) + 2
+        assert top[u][t - 20] == top[u][t] - 1
+
+
+def test_item_copies_follow_the_sample(spark):
+    from fernrec.operators import scoring as SC
+    p, q, train, test, P, Q, T, X = setup_model(spark)
+    made = []
+    saved = SC._cells
+    SC._cells = lambda *a: made.append(saved(*a)) or made[-1]
+    try:
+        per_user, summary = SC.evaluate(X, T, P, Q, 5, 10**6, len(q), sample=4, block_users=2,
+                                        block_items=10)
+        assert summary.first().evaluated_users == 4 and per_user.count() == 4
+        assert made[0][1].count() == 2 * len(q)
+    finally:
+        SC._cells = saved
+
+
+def test_missing_vectors_and_bad_scores_raise(spark):
+    p, q, train, test, P, Q, T, X = setup_model(spark)
+    with pytest.raises(Exception, match="no factor vector"):
+        heldout_rank(X, T, P.filter("idx <> 3"), Q, len(p), len(q)).collect()
+    bad = spark.createDataFrame([(i, [float("nan")] * 3) for i in range(len(q))], VEC)
+    with pytest.raises(Exception, match="not finite"):
+        heldout_rank(X, T, P, bad, len(p), len(q)).collect()
+    with pytest.raises(Exception, match="not finite"):
+        recommend_topk(X, T, P, bad, 5, len(p), len(q)).collect()

@@ -17,8 +17,8 @@ def con():
 
 
 def names():
-    import __spark_entry__ as E
-    return sorted(E.queries())
+    from fernrec.plans import catalog
+    return sorted(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", names())

@@ -7,7 +7,8 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fernrec.operators.prepare import (dedup_latest, dense_index, k_core, leave_one_out)
+from fernrec.operators.prepare import (KCoreLimitError, dedup_latest, dense_index, k_core,
+                                       leave_one_out)
 from fernrec.operators.weights import all_item_weights, item_weights
 
 
@@ -25,16 +26,19 @@ def test_k_core_cascade(spark):
             ("c", "z", 0)]
     res = k_core(frame(spark, rows), 2, 2)
     assert res.counts == [6, 5, 4, 4]
-    assert res.converged
     got = sorted((r.user_id, r.item_id) for r in res.interactions.collect())
     assert got == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
 
 
-def test_k_core_cap_not_converged(spark):
+def test_k_core_limit_raises(spark):
     rows = [("a", "x", 0), ("a", "y", 0), ("b", "x", 0), ("b", "y", 0), ("c", "x", 0),
             ("c", "z", 0)]
-    res = k_core(frame(spark, rows), 2, 2, max_rounds=1)
-    assert res.rounds == 1 and not res.converged
+    with pytest.raises(KCoreLimitError):
+        k_core(frame(spark, rows), 2, 2, max_rounds=1)
+    # a path sheds one end per round: many rounds, empty core
+    path = [(f"u{k:02d}", f"i{k + d:02d}", 0) for k in range(40) for d in (0, 1)]
+    res = k_core(frame(spark, path), 2, 2)
+    assert res.counts[-1] == 0 and res.rounds > 12
 
 
 def brute_k_core(rows, ku, ki):
@@ -117,10 +121,9 @@ def test_k_core_rounds_on_order_lines(spark):
     dd = dedup_latest(order_line_interactions(spark, SF01))
     assert k_core(dd, 23, 23).counts == [59391, 51353, 48385, 47189, 46773, 46708, 46708]
     collapse = k_core(dd, 24, 24)
-    assert collapse.counts[-1] == 0 and collapse.converged
-    capped = k_core(dd, 24, 24, max_rounds=2)
-    assert capped.counts == [59391, 47942, 41628] and not capped.converged
-    assert capped.interactions.count() == 41628
+    assert collapse.counts[:3] == [59391, 47942, 41628] and collapse.counts[-1] == 0
+    with pytest.raises(KCoreLimitError):
+        k_core(dd, 24, 24, max_rounds=2)
 
 
 def test_k_core_rounds_on_events(spark):

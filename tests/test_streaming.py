@@ -24,3 +24,14 @@ def test_ingest_available_now(spark):
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == [("U1", "I1", 1), ("U3", "I3", 3), ("U4", "I4", 4)]
+
+
+def test_default_checkpoint_goes_on(spark):
+    src = tempfile.mkdtemp(prefix="fernrec-src-")
+    out = os.path.join(tempfile.mkdtemp(prefix="fernrec-out-"), "table")
+    for k in (1, 2, 3):
+        with open(os.path.join(src, f"{k}.txt"), "w") as f:
+            f.write(f"{P}I{k}\n{U}U{k}\n{T}{k}\n")
+        ingest_review_files(spark, src, out).awaitTermination(120)
+        got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+        assert got == [(f"U{j}", f"I{j}", j) for j in range(1, k + 1)]
