@@ -11,9 +11,10 @@ their sets reaches ``percent`` / 100, checked on the full sets of words.
    long texts take one or two steps. The signature is cut into bands.
 2. Documents with equal sets become one node, so copies cost one row each.
 3. Banding: nodes that share a band form a bucket. Every member is checked
-   against one pivot of its bucket, not against all members.
+   against one pivot of its bucket, the member that shares most buckets with
+   others, not against all members.
 4. Union-find over the confirmed links. Buckets whose members now belong to
-   one component are done. The others take a further round with another pivot,
+   one component are done. The others take a further round with other pivots,
    and more of them while rounds confirm links and the pairs that cross
    components are many; the crossing pairs left are then all checked, so no
    candidate is left out.
@@ -40,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, row_key, whole_text, written, written_counted
-from .components import connected_components, extend_components
+from .components import extend_components
 
 BANDS = 28
 ROWS = 4
-PAIRS_PER_MEMBER = 8  # crossing pairs per open bucket member that end the pivot rounds
+LANES = 4             # pivots per bucket in the rounds after the first
+PAIRS_PER_MEMBER = 16  # crossing pairs per open bucket member that end the pivot rounds
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 _BLOCK = 1 << 17
@@ -186,11 +188,10 @@ def _confirm(shingle: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, written."""
+    """The pairs (a, b) that are similar enough."""
     whole = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
              .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
-    return written(whole.mapInPandas(_confirm(shingle, percent), "a bigint, b bigint"),
-                   "near_links")
+    return whole.mapInPandas(_confirm(shingle, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -224,25 +225,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.coalesce(F.col("head._k") == F.col("_k"), F.lit(True)).alias("kept")))
 
 
+def _pivots(rows: DataFrame, lanes: int, used: DataFrame | None) -> DataFrame:
+    """b, p (weight, turn, id, root, n_shingles): per bucket and lane the member
+    that shares most buckets with most others and was no pivot before. An
+    original shares more with its edited copies than they do with each other."""
+    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    weights = rows.join(sizes, "b").groupBy("id").agg(F.sum("n").alias("weight"))
+    if used is not None:
+        weights = weights.join(used, "id", "left_anti")
+    turn = F.xxhash64("id")
+    return (rows.join(weights, "id").groupBy("b", F.pmod(turn, F.lit(lanes)).alias("lane"))
+            .agg(F.max(F.struct("weight", turn.alias("t"), "id", "root", "n_shingles"))
+                 .alias("p")).select("b", "p"))
+
+
 def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int,
                 percent: int) -> DataFrame:
     """(node, root) of the nodes that are linked."""
     banded = nodes.select("id", "n_shingles", F.explode("bands").alias("b"))
-    shared = (banded.groupBy("b").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
-              .filter(F.col("pivot") < F.col("last")).select("b", "pivot"))
+    shared = (banded.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+              .filter(F.col("lo") < F.col("hi")).select("b"))
     members = written(banded.join(shared, "b"), "members")
-    pairs = (members.filter(F.col("id") != F.col("pivot"))
-             .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    involved = members.select("id").distinct()
-    wanted = involved.join(nodes.select("id", F.col("rep._k").alias("_k")), "id")
+    wanted = members.select("id").distinct().join(
+        nodes.select("id", F.col("rep._k").alias("_k")), "id")
     texts = written(docs.select(row_key(id_col, text_col).alias("_k"),
                                 whole_text(text_col).alias("text"))
                     .join(wanted, "_k").select("id", "text").dropDuplicates(["id"]), "texts")
-    tested = written(pairs, "pairs")
-    roots = connected_components(_links(tested, texts, shingle, percent))
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    turn = 0
+    apart = members.withColumn("root", F.col("id"))
+    roots = tested = used = None
+    lanes = 1
     while True:
+        # members against the pivots of their buckets that are of another component
+        pivots = written(_pivots(apart, lanes, used), "pivots")
+        fresh = (apart.join(pivots, "b")
+                 .filter((F.col("root") != F.col("p.root"))
+                         & near(F.col("n_shingles"), F.col("p.n_shingles")))
+                 .select(F.greatest("id", F.col("p.id")).alias("a"),
+                         F.least("id", F.col("p.id")).alias("b")).distinct())
+        if tested is not None:
+            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+        fresh = written(fresh, "pairs")
+        found, grown = written_counted(_links(fresh, texts, shingle, percent), "near_links")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        now = pivots.select("p.id").distinct()
+        used = now if used is None else written(used.unionByName(now).distinct(), "used")
+        if grown or roots is None:
+            roots = extend_components(roots, found)
         placed = members.select("b", "id", "n_shingles").join(
             roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
                 "b", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
@@ -256,29 +285,15 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
         crossing = by_root.groupBy("b").agg(
             ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("p")
         ).agg(F.sum("p")).first()[0]
-        if turn and (not grown or crossing <= PAIRS_PER_MEMBER * n_apart):
+        if not grown or crossing <= PAIRS_PER_MEMBER * n_apart:
             break
-        # a round with another pivot: the member that scrambles lowest
-        turn += 1
-        pivots = apart.groupBy("b").agg(F.min(F.struct(
-            F.xxhash64("id", F.lit(turn)).alias("t"), "id", "root", "n_shingles")).alias("p"))
-        fresh = written(
-            apart.join(pivots, "b")
-            .filter((F.col("root") != F.col("p.root"))
-                    & near(F.col("n_shingles"), F.col("p.n_shingles")))
-            .select(F.greatest("id", F.col("p.id")).alias("a"),
-                    F.least("id", F.col("p.id")).alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _links(fresh, texts, shingle, percent)
-        tested = tested.unionByName(fresh)
-        grown = not found.isEmpty()
-        roots = extend_components(roots, found) if grown else roots
+        lanes = LANES
     x, y = apart.alias("x"), apart.alias("y")
     rest = (x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.root") < F.col("y.root"))
                    & near(F.col("x.n_shingles"), F.col("y.n_shingles")))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
             .distinct().join(tested, ["a", "b"], "left_anti"))
-    return extend_components(roots, _links(rest, texts, shingle, percent))
+    return extend_components(roots, written(_links(rest, texts, shingle, percent), "near_links"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
