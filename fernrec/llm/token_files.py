@@ -175,14 +175,15 @@ class WaveletMatrix:
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
-    def emit(held: list, before: int) -> pa.RecordBatch:
+    def emit(held: list, before: int, kind: pa.DataType) -> pa.RecordBatch:
         part, seq = held[0][0], held[0][1]
         doc_ids = [d for h in held for d in h[2]]
         counts = np.concatenate([h[3] for h in held])
         ids = np.concatenate([h[4] for h in held])
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([seq], pa.int64()),
-             pa.array([before], pa.int64()), pa.array([doc_ids]), pa.array([len(ids)], pa.int64()),
+             pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(kind)),
+             pa.array([len(ids)], pa.int64()),
              pa.array([build_file(ids, counts)], pa.binary())],
             names=["part", "seq", "before", "doc_ids", "n_ids", "file"])
 
@@ -191,6 +192,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         held: list = []
         size = seq = done = 0
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             keys = batch.column("doc_id").to_pylist()
             part = batch.column("part")[0].as_py() if len(keys) else 0
@@ -205,7 +207,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                     base = int(ends[a] - counts[a])
                     b = int(np.searchsorted(ends, base + shard_tokens - size, "right"))
                     if b <= a and size:
-                        yield emit(held, done)
+                        yield emit(held, done, kind)
                         held, size, seq, done = [], 0, seq + 1, done + size
                         continue
                     b = max(b, a + 1)
@@ -214,7 +216,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                     size += int(ends[b - 1]) - base
                     a = b
         if held:
-            yield emit(held, done)
+            yield emit(held, done, kind)
     return build
 
 
