@@ -41,7 +41,7 @@ from .common import whole_text
 from .tokens import WORD_BPE, encoder, vocabulary_path
 
 END_ID = 2
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 17
 RANK_BITS = 512
 _MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sIQQ")
@@ -57,10 +57,11 @@ def build_file(ids: np.ndarray, counts: np.ndarray) -> bytes:
     planes = max(int(ids.max()).bit_length(), 1) if len(ids) else 1
     zeros = np.zeros(planes, "<u8")
     parts = []
-    level = ids.astype(np.uint16) if planes <= 16 else ids
+    level = ids.astype("<u2" if planes <= 16 else "<u4")
     for k in range(planes):
-        bits = (level >> (planes - 1 - k)) & 1
-        is_one = bits.astype(bool)
+        # the byte that holds the bit
+        byte, shift = divmod(planes - 1 - k, 8)
+        is_one = (level.view(np.uint8)[byte::level.itemsize] >> shift & 1).view(bool)
         packed = np.packbits(is_one, bitorder="little")
         sums = np.add.reduceat(np.bitwise_count(packed).astype(np.int64), np.arange(
             0, len(packed), RANK_BITS // 8)) if len(packed) else np.zeros(0, np.int64)
@@ -242,10 +243,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, id_col: str = "d
     path = path or scratch_path(spark, "token_files")
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    # hashing the text deals rows that share an id to several tasks, in order
-    ranged = (rows.repartitionByRange(partitions or default_partitions(spark), "doc_id",
-                                      F.xxhash64("text"))
-              .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ranged = (rows.repartitionByRange(partitions or default_partitions(spark), "doc_id")
+              .sortWithinPartitions("doc_id", "text")
               .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
     (ranged.mapInArrow(_shards(tokenizer or vocabulary_path(WORD_BPE), end_id, shard_tokens),
                        f"part int, seq bigint, before bigint, doc_ids array<{kind}>, n_ids bigint, "

@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -55,7 +55,6 @@ def _byte_letters() -> dict[int, str]:
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)"
                     "([!-&(-/:-;=?@\\[-^`{}~]*)")
 
-
 @dataclass
 class Encoded:
     """Ids of several texts, one after the other."""
@@ -75,7 +74,7 @@ class MemoEncoder:
     number; both bound memory only, never the result.
     """
 
-    def __init__(self, vocab_size: int, memo_words: int = 400_000, memo_bytes: int = 32 << 20):
+    def __init__(self, vocab_size: int, memo_words: int = 1_000_000, memo_bytes: int = 48 << 20):
         self.memo_words, self.memo_bytes = memo_words, memo_bytes
         self.dtype = np.uint16 if vocab_size <= 65536 else np.uint32
         self._reset()
@@ -83,6 +82,10 @@ class MemoEncoder:
     def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
+    def split(self, text: bytes) -> list[bytes]:
+        """Pieces that encode on their own."""
+        return text.split()
+
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
         self.starts = np.zeros(1024, np.int64)
@@ -112,14 +115,20 @@ class MemoEncoder:
             self.index.update(zip(part, range(n, n + len(part))))
     def _lookup(self, words: list[bytes]) -> np.ndarray:
         """Memo rows of ``words``; all of them are in the memo afterwards."""
-        missing = set(words).difference(self.index)
-        if missing and (len(self.index) + len(missing) > self.memo_words
-                        or self.bytes > self.memo_bytes):
-            self._reset()
-            missing = set(words)
-        if missing:
-            self._learn(list(missing))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        rows = self._rows(words)
+        unknown = np.nonzero(rows < 0)[0].tolist()
+        if unknown:
+            missing = list({words[k] for k in unknown})
+            if len(self.index) + len(missing) > self.memo_words or self.bytes > self.memo_bytes:
+                self._reset()
+                self._learn(list(set(words)))
+                return self._rows(words)
+            self._learn(missing)
+            rows[unknown] = self._rows([words[k] for k in unknown])
+        return rows
+
+    def _rows(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def _pieces(self, texts: list[bytes]):
         """Groups of texts of a bounded size, split into pieces: (first text of
@@ -128,7 +137,7 @@ class MemoEncoder:
         sizes: list[int] = []
         first = size = 0
         for k, text in enumerate(texts):
-            part = text.split()
+            part = self.split(text)
             words += part
             sizes.append(len(part))
             size += len(text)
@@ -178,11 +187,15 @@ class WordEncoder(MemoEncoder):
         self.runs: dict[str, list[int]] = {}
         super().__init__(self.tokenizer.get_vocab_size(), **memo)
 
+    def split(self, text: bytes) -> list[bytes]:
+        # A-Z would be lower-cased anyway, but for special strings
+        return text.split() if b"<|" in text else text.lower().split()
+
     def _run(self, run: str) -> list[int]:
         """Ids of one pre-token (lower case)."""
         ids = self.runs.get(run)
         if ids is None:
-            letters = "".join(map(self.letters.__getitem__, run.encode()))
+            letters = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
             ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(letters)]
         return ids
 
