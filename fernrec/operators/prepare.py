@@ -60,32 +60,74 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int,
            input_count: int | None = None) -> KCoreResult:
     """Repeat (users first, then items) until a round removes nothing.
 
-    Each round is written to the shared checkpoint folder (lineage cut, row
-    count observed in the same job). Rounds go on to the fixpoint however many
-    it takes; with ``max_rounds`` a core that is not reached by then raises
+    Peeling by differences: the rows of every user and item are counted once.
+    A round looks up only the rows of the keys that fall below their minimum
+    and subtracts them from the other side's counts, so it shuffles removed
+    rows and counts, not survivors. The interactions are rewritten when half of
+    them are gone, and once at the end. All tables go to the shared checkpoint
+    folder. Rounds go on to the fixpoint however many it takes; with
+    ``max_rounds`` a core that is not reached by then raises
     ``KCoreLimitError`` (never a non-core). Pass ``input_count`` when
     ``interactions`` is already a written table (it is then read as is).
     """
     if input_count is None:
-        current, n = materialize(interactions, "kcore_input", count=True)
+        table, n = materialize(interactions, "kcore_input", count=True)
     else:
-        current, n = interactions, input_count
-    counts = [n]
-    rounds = 0
+        table, n = interactions, input_count
+    own = input_count is None
+    sides = ((user_col, item_col, min_user), (item_col, user_col, min_item))
+    degree = {c: materialize(table.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), "degrees")[0]
+              for c, _, _ in sides}
+    dead: dict[str, list[DataFrame]] = {c: [] for c, _, _ in sides}
+    scratch = list(degree.values())
+
+    def alive(rows: DataFrame, *cols: str) -> DataFrame:
+        for c in cols:
+            for gone in dead[c]:
+                rows = rows.join(gone, c, "left_anti")
+        return rows
+
+    counts, held, rounds = [n], n, 0
     while True:
         if max_rounds is not None and rounds >= max_rounds:
             raise KCoreLimitError(f"no {min_user}/{min_item}-core after {rounds} rounds: "
                                   f"rows per round {counts}")
-        step = filter_min_count(current, user_col, min_user)
-        step = filter_min_count(step, item_col, min_item)
-        nxt, n_next = materialize(step, f"kcore_round_{rounds + 1}", count=True)
+        for c, other, least in sides:
+            low, n_low = materialize(degree[c].filter(F.col("_n") < F.lit(least)).select(c),
+                                     "low_keys", count=True)
+            scratch.append(low)
+            if not n_low:
+                continue
+            lost = (alive(table.join(low, c, "left_semi"), other)
+                    .groupBy(other).agg(F.count(F.lit(1)).alias("_lost")))
+            degree[c] = degree[c].filter(F.col("_n") >= F.lit(least))
+            degree[other], _ = materialize(
+                degree[other].join(lost, other, "left")
+                .select(other, (F.col("_n") - F.coalesce("_lost", F.lit(0))).alias("_n"))
+                .filter(F.col("_n") > 0), "degrees")
+            scratch.append(degree[other])
+            # one table of dead keys per side, so that a scan has one anti join
+            if dead[c]:
+                low, _ = materialize(dead[c].pop().unionByName(low), "dead_keys")
+                scratch.append(low)
+            dead[c].append(low)
         rounds += 1
-        counts.append(n_next)
-        if rounds > 1:
-            release(current)
-        current = nxt
-        if n_next == counts[-2]:
-            return KCoreResult(current, rounds, counts)
+        left = int(degree[user_col].agg(F.sum("_n")).first()[0] or 0)
+        counts.append(left)
+        done = left == counts[-2]
+        if done and rounds == 1 and not own:
+            break  # nothing was removed: the given table is the core
+        if done or 2 * left < held:
+            smaller, held = materialize(alive(table, user_col, item_col), "kcore", count=True)
+            if own:
+                release(table)
+            table, own = smaller, True
+            dead = {c: [] for c, _, _ in sides}
+        if done:
+            break
+    for df in scratch:
+        release(df)
+    return KCoreResult(table, rounds, counts)
 
 
 def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,

@@ -22,13 +22,15 @@ from ..config import ModelConfig, RuntimeConfig
 from ..functions.columns import epoch_micros, round6
 from ..operators import prepare as prep_ops
 from ..operators.factors import factors_long, gram_table
-from ..operators.scoring import heldout_rank, hr_ndcg, recommend_topk, sample_users, summarize
+from ..operators.scoring import evaluate, heldout_rank, hr_ndcg, recommend_topk, sample_users
 from ..operators.weights import all_item_weights, history_summary, item_weights
 from ..session import materialize, scratch_path
 from ..sources.tables import events_interactions, order_line_interactions, table_path
 from ..sources.text import (load_interactions, parse_records, record_text,
                             sample_first_records, write_review_text)
 from . import oracle as O
+from .end_to_end import (load_factors, load_id_maps, load_metrics, load_stats, load_train_log, run,
+                         save_artifacts)
 from .prepare import Prepared, prepare
 from .train import initial_factors, item_step, layouts, user_step
 
@@ -141,6 +143,29 @@ def q_k_core(spark, sf_dir):
     return prep_ops.k_core(ol_dedup(spark, sf_dir), OL_KCORE, OL_KCORE).interactions
 
 
+CHAIN = 48
+
+
+def chain_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a user between two neighbouring items of its chain of 48
+    orders; every fourth chain is closed to a ring. The open chains' 2/2-core
+    peels off one end per round, the rings stay."""
+    orders = spark.read.parquet(table_path(sf_dir, "orders")).select("o_orderkey", "o_orderdate")
+    chain, at = F.floor(F.col("o_orderkey") / CHAIN), F.pmod("o_orderkey", F.lit(CHAIN))
+    after = F.when(F.pmod(chain, F.lit(4)) == 0, F.pmod(at + 1, F.lit(CHAIN))).otherwise(at + 1)
+    item = F.explode(F.array(at, after))
+    return orders.select(F.col("o_orderkey").cast("string").alias("user_id"),
+                         chain.cast("string").alias("chain"), item.alias("at"),
+                         epoch_micros("o_orderdate").alias("ts")).select(
+        "user_id", F.concat_ws("-", "chain", F.col("at").cast("string")).alias("item_id"), "ts")
+
+
+def q_k_core_deep(spark, sf_dir):
+    """I1 on a cascade of more than twelve rounds."""
+    return prep_ops.k_core(prep_ops.dedup_latest(chain_interactions(spark, sf_dir)),
+                           2, 2).interactions
+
+
 def q_dense_index_users(spark, sf_dir):
     return prep_ops.dense_index(ol_dedup(spark, sf_dir), "user_id", "user_idx")
 
@@ -252,12 +277,36 @@ def q_hr_ndcg_per_user(spark, sf_dir):
     return m.select("user_idx", "rank", r9(F.col("hr")).alias("hr"), r9(F.col("ndcg")).alias("ndcg"))
 
 
-def q_evaluate(spark, sf_dir):
-    m = summarize(hr_ndcg(_ranks(spark, sf_dir), EV_MODEL.topk))
+def _evaluated(spark, sf_dir, sample: int | None) -> DataFrame:
+    prep, _, _, p1, q1 = ev_model(spark, sf_dir)
+    _, m = evaluate(prep.test, prep.train, p1, q1, EV_MODEL.topk, prep.num_users, prep.num_items,
+                    sample, EV_MODEL.random_seed, block_users=64, block_items=32)
     return m.select(r9(F.col("hr")).alias("hr"), r9(F.col("ndcg")).alias("ndcg"),
                     "evaluated_users")
 
 
+def q_evaluate(spark, sf_dir):
+    return _evaluated(spark, sf_dir, None)
+
+
+def q_evaluate_sample(spark, sf_dir):
+    """E4 + E5: only the sampled users are scored."""
+    return _evaluated(spark, sf_dir, SAMPLE_USERS)
+
+
+TWINS = 25
+
+
+def q_heldout_rank_ties(spark, sf_dir):
+    """W4 with equal real-valued scores: items share a vector modulo 25."""
+    prep, p0, q0, _, _ = ev_model(spark, sf_dir)
+    twin = q0.select(F.col("idx").alias("_twin"), "vec")
+    q = (prep.item_index.select(F.col("item_idx").alias("idx"))
+         .join(twin, F.pmod("idx", F.lit(TWINS)) == F.col("_twin")).select("idx", "vec"))
+    return heldout_rank(prep.test, prep.train, p0, q, prep.num_users, prep.num_items,
+                        block_users=64, block_items=32)
+
+
 def q_recommend_topk(spark, sf_dir):
     prep, _, _, p1, q1 = ev_model(spark, sf_dir)
     rec = recommend_topk(prep.test, prep.train, p1, q1, TOPK, prep.num_users, prep.num_items,
@@ -285,17 +334,62 @@ def q_prepare_stats(spark, sf_dir):
     return spark.createDataFrame(rows, "stage string, value double")
 
 
+def ev_artifacts(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the artifacts of one whole run (prepare, train, evaluate)."""
+    def build():
+        result = run(events_interactions(spark, sf_dir), EV_MODEL,
+                     RuntimeConfig(heavy_threshold=60, eval_block_users=64, eval_block_items=32))
+        out = scratch_path(spark, "artifacts")
+        save_artifacts(result, out, EV_MODEL)
+        return out
+    return _cached(spark, ("ev_artifacts", sf_dir), build)
+
+
 def q_artifact_roundtrip(spark, sf_dir):
-    """Factor tables written as Parquet and read back."""
-    prep, p0, q0, p1, q1 = ev_model(spark, sf_dir)
-    out = scratch_path(spark, "artifacts")
-    p1.sortWithinPartitions("idx").write.parquet(f"{out}/factors_p")
-    q1.sortWithinPartitions("idx").write.parquet(f"{out}/factors_q")
-    p = spark.read.parquet(f"{out}/factors_p")
-    q = spark.read.parquet(f"{out}/factors_q")
+    """Factors that ``train`` made and ``save_artifacts`` wrote."""
+    p, q = load_factors(spark, ev_artifacts(spark, sf_dir))
     return _long(p, "user", 6).unionByName(_long(q, "item", 6))
 
 
+def q_saved_metrics(spark, sf_dir):
+    """S6 of a run."""
+    m = load_metrics(spark, ev_artifacts(spark, sf_dir))
+    return m.select(r9(F.col("hr")).alias("hr"), r9(F.col("ndcg")).alias("ndcg"),
+                    "evaluated_users")
+
+
+def q_saved_stats(spark, sf_dir):
+    """S7 of a run, without times and partitions."""
+    return load_stats(spark, ev_artifacts(spark, sf_dir)).filter(
+        F.col("stage").isin(*STAT_STAGES))
+
+
+def q_saved_train_log(spark, sf_dir):
+    """S8 of a run, without times."""
+    return load_train_log(spark, ev_artifacts(spark, sf_dir)).select("iteration")
+
+
+def q_saved_id_maps(spark, sf_dir):
+    """S9, W5 of a run."""
+    users, items = load_id_maps(spark, ev_artifacts(spark, sf_dir))
+    return users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"),
+                        F.col("user_idx").alias("idx")).unionByName(
+        items.select(F.lit("item").alias("side"), F.col("item_id").alias("id"),
+                     F.col("item_idx").alias("idx")))
+
+
+def q_no_test_users(spark, sf_dir):
+    """A core that leaves nobody is refused before training."""
+    m = EV_MODEL.with_(min_user_interactions=1_000_000)
+    try:
+        run(events_interactions(spark, sf_dir), m, RuntimeConfig())
+        refused = False
+    except ValueError:
+        refused = True
+    return events_interactions(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(refused).alias("refused"))
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -305,6 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_min_count": q_user_min_count,
     "item_min_count": q_item_min_count,
     "k_core": q_k_core,
+    "k_core_deep": q_k_core_deep,
     "dense_index_users": q_dense_index_users,
     "dense_index_items": q_dense_index_items,
     "indexed_interactions": q_indexed_interactions,
@@ -321,11 +416,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_one_iteration": q_train_one_iteration,
     "heldout_rank": q_heldout_rank,
     "hr_ndcg_per_user": q_hr_ndcg_per_user,
+    "heldout_rank_ties": q_heldout_rank_ties,
     "evaluate": q_evaluate,
+    "evaluate_sample": q_evaluate_sample,
     "recommend_topk": q_recommend_topk,
     "sample_users": q_sample_users,
     "prepare_stats": q_prepare_stats,
     "artifact_roundtrip": q_artifact_roundtrip,
+    "saved_metrics": q_saved_metrics,
+    "saved_stats": q_saved_stats,
+    "saved_train_log": q_saved_train_log,
+    "saved_id_maps": q_saved_id_maps,
+    "no_test_users": q_no_test_users,
 }
 
 
@@ -345,7 +447,7 @@ def oracle_sql() -> dict[str, str]:
                 f"{O.r(f'CASE WHEN rank <= {m.topk} THEN 1.0 / log2(rank + 1.0) ELSE 0.0 END', 9)}"
                 f" AS ndcg FROM rk")
     stats_body = " UNION ALL ".join([
-        "SELECT 'raw_interactions' AS stage, CAST(count(*) AS DOUBLE) AS value FROM ol",
+        "SELECT 'raw_interactions' AS stage, CAST(count(*) AS DOUBLE) AS value FROM {src}",
         "SELECT 'deduped_interactions', CAST(count(*) AS DOUBLE) FROM dd",
         "SELECT 'filtered_interactions', CAST(count(*) AS DOUBLE) FROM kc",
         "SELECT 'num_users', CAST(count(*) AS DOUBLE) FROM uix",
@@ -357,6 +459,22 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'user_histories', CAST(count(DISTINCT user_idx) AS DOUBLE) FROM hist",
         "SELECT 'item_histories', CAST(count(DISTINCT item_idx) AS DOUBLE) FROM hist",
     ])
+    sampled = ("SELECT user_idx, test_item_idx, n_train FROM test ORDER BY "
+               f"md5(concat_ws(':', '{m.random_seed}', CAST(user_idx AS VARCHAR))), "
+               f"user_idx LIMIT {SAMPLE_USERS}")
+    metrics = (f"SELECT {O.r('coalesce(avg(hr), 0.0)', 9)} AS hr, "
+               f"{O.r('coalesce(avg(ndcg), 0.0)', 9)} AS ndcg, "
+               "count(*) AS evaluated_users FROM pu")
+    evaluated = O.with_(ranked + [f"pu AS ({per_user})"], metrics)
+    factors = O.vec_long(p1, k, 6, "user") + " UNION ALL " + O.vec_long(q1, k, 6, "item")
+    twins = (f"qt AS (SELECT i.item_idx AS idx, {', '.join(O.xs(k, 'q0'))} FROM iix i "
+             f"JOIN q0 ON q0.idx = i.item_idx % {TWINS})")
+    ring = (f"CASE WHEN (o_orderkey // {CHAIN}) % 4 = 0 THEN (o_orderkey + 1) % {CHAIN} "
+            f"ELSE o_orderkey % {CHAIN} + 1 END")
+    chains = ("ch AS (SELECT CAST(o_orderkey AS VARCHAR) AS user_id, "
+              f"concat_ws('-', CAST(o_orderkey // {CHAIN} AS VARCHAR), CAST(unnest(["
+              f"o_orderkey % {CHAIN}, {ring}]) AS VARCHAR)) AS item_id, "
+              "epoch_us(o_orderdate) AS ts FROM orders)")
     sorted_src = ("src AS (SELECT CAST(o.o_custkey AS VARCHAR) AS user_id, "
                   "CAST(l.l_partkey AS VARCHAR) AS item_id, epoch_us(o.o_orderdate) AS ts, "
                   "l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l JOIN orders o "
@@ -375,6 +493,9 @@ def oracle_sql() -> dict[str, str]:
                                   "SELECT user_id, item_id, ts FROM f"),
         "k_core": O.with_(ol + O.kcore_ctes("dd", OL_KCORE, OL_KCORE),
                           "SELECT user_id, item_id, ts FROM kc"),
+        "k_core_deep": O.with_([chains, O.dedup_cte("ch")]
+                               + O.kcore_ctes("dd", 2, 2, rounds=2 * CHAIN),
+                               "SELECT user_id, item_id, ts FROM kc"),
         "dense_index_users": O.with_(ol + O.index_ctes("dd"), "SELECT user_id, user_idx FROM uix"),
         "dense_index_items": O.with_(ol + O.index_ctes("dd"), "SELECT item_id, item_idx FROM iix"),
         "indexed_interactions": O.with_(ev_prep, "SELECT user_idx, item_idx, ts FROM ix"),
@@ -401,10 +522,20 @@ def oracle_sql() -> dict[str, str]:
                                        + O.vec_long(q1, k, 6, "item")),
         "heldout_rank": O.with_(ranked, "SELECT user_idx, test_item_idx, rank FROM rk"),
         "hr_ndcg_per_user": O.with_(ranked, per_user),
-        "evaluate": O.with_(ranked + [f"pu AS ({per_user})"],
-                            f"SELECT {O.r('coalesce(avg(hr), 0.0)', 9)} AS hr, "
-                            f"{O.r('coalesce(avg(ndcg), 0.0)', 9)} AS ndcg, "
-                            "count(*) AS evaluated_users FROM pu"),
+        "heldout_rank_ties": O.with_(
+            ev_prep + O.init_ctes(m) + [twins] + O.score_ctes("p0", "qt", k) + O.rank_ctes(),
+            "SELECT user_idx, test_item_idx, rank FROM rk"),
+        "evaluate": evaluated,
+        "evaluate_sample": O.with_(
+            ranked + [f"chosen AS ({sampled})", f"pu AS ({per_user} SEMI JOIN chosen "
+                      "ON chosen.user_idx = rk.user_idx)"], metrics),
+        "saved_metrics": evaluated,
+        "saved_stats": O.with_(ev_prep, stats_body.format(src="ev")),
+        "saved_train_log": f"SELECT CAST(i AS INTEGER) AS iteration FROM range(1, "
+                           f"{m.iterations + 1}) t(i)",
+        "saved_id_maps": O.with_(ev_prep, "SELECT 'user' AS side, user_id AS id, user_idx AS idx "
+                                 "FROM uix UNION ALL SELECT 'item', item_id, item_idx FROM iix"),
+        "no_test_users": O.with_([O.EV_SQL], "SELECT count(*) AS n, true AS refused FROM ev"),
         "recommend_topk": O.with_(
             model_ctes + O.score_ctes(p1, q1, k),
             f"SELECT user_idx, rank, item_idx, {O.r('s', 9)} AS score FROM ("
@@ -412,11 +543,7 @@ def oracle_sql() -> dict[str, str]:
             "ORDER BY c.s DESC, c.item_idx ASC) AS BIGINT) AS rank FROM cand c "
             "JOIN test t ON t.user_idx = c.user_idx) z "
             f"WHERE rank <= {TOPK}"),
-        "sample_users": O.with_(ev_prep,
-                                "SELECT user_idx, test_item_idx, n_train FROM test ORDER BY "
-                                f"md5(concat_ws(':', '{m.random_seed}', CAST(user_idx AS VARCHAR))), "
-                                f"user_idx LIMIT {SAMPLE_USERS}"),
-        "prepare_stats": O.with_(ol_prep, stats_body),
-        "artifact_roundtrip": O.with_(model_ctes, O.vec_long(p1, k, 6, "user") + " UNION ALL "
-                                      + O.vec_long(q1, k, 6, "item")),
+        "sample_users": O.with_(ev_prep, sampled),
+        "prepare_stats": O.with_(ol_prep, stats_body.format(src="ol")),
+        "artifact_roundtrip": O.with_(model_ctes, factors),
     }
