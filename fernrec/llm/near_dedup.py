@@ -16,8 +16,8 @@ their sets reaches ``percent`` / 100, checked on the full sets of words.
 4. Union-find over the confirmed links. Buckets whose members now belong to
    one component are done. The others take a further round with other pivots,
    and more of them while rounds confirm links and the pairs that cross
-   components are many; the crossing pairs left are then all checked, so no
-   candidate is left out.
+   components are many; the crossing pairs left are then all checked in
+   blocks, so no candidate is left out and no pairs are emitted.
 
 With ``bands`` bands of ``rows`` values a pair of similarity s shares no band
 with probability (1 - s^rows)^bands: 4e-7 at 0.8 with 28 x 4. Links confirmed
@@ -46,7 +46,8 @@ from .components import extend_components
 BANDS = 28
 ROWS = 4
 LANES = 4             # pivots per bucket in the rounds after the first
-PAIRS_PER_MEMBER = 16  # crossing pairs per open bucket member that end the pivot rounds
+PAIRS_PER_MEMBER = 512  # crossing pairs per open bucket member that end the pivot rounds
+BLOCK_SHINGLES = 150_000  # shingles of one block of an open cluster
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 _BLOCK = 1 << 17
@@ -288,12 +289,75 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
         if not grown or crossing <= PAIRS_PER_MEMBER * n_apart:
             break
         lanes = LANES
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = (x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.root") < F.col("y.root"))
-                   & near(F.col("x.n_shingles"), F.col("y.n_shingles")))
-            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-            .distinct().join(tested, ["a", "b"], "left_anti"))
-    return extend_components(roots, written(_links(rest, texts, shingle, percent), "near_links"))
+    return extend_components(roots, written(
+        _open_links(apart, nodes, texts, shingle, percent), "near_links"))
+
+
+def _check_blocks(shingle: int, percent: int):
+    """Links between different components of a block, or of two blocks; pairs
+    of components already linked here are skipped."""
+    def check(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, roots = frame["id"].to_numpy(), frame["root"].to_numpy()
+        sizes, blocks = frame["n_shingles"].to_numpy(), frame["blk"].to_numpy()
+        bands = np.stack(frame["bands"].to_numpy())
+        texts = frame["text"].to_numpy()
+        sets: dict[int, frozenset] = {}
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        def of(k: int) -> frozenset:
+            if k not in sets:
+                sets[k] = shingle_set(texts[k], shingle)
+            return sets[k]
+
+        two = blocks.min() != blocks.max()
+        found = []
+        for i in np.nonzero(blocks == blocks.min())[0]:
+            other = blocks != blocks[i] if two else np.arange(len(ids)) > i
+            other &= roots != roots[i]
+            other &= (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            js = np.nonzero(other)[0]
+            for j in js[(bands[js] == bands[i]).any(axis=1)]:
+                a, b = find(roots[i]), find(roots[j])
+                if a == b:
+                    continue
+                x, y = of(i), of(j)
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    up[a] = b
+                    found.append((ids[i], ids[j]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    return check
+
+
+def _open_links(apart: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
+                percent: int) -> DataFrame:
+    """Links across components, from all pairs of members that share an open
+    bucket. The buckets that share members are joined to clusters, so a pair
+    is met once and not per band; a cluster is cut into blocks of a bounded
+    number of shingles, and every pair of blocks is one group: members, not
+    pairs, are emitted."""
+    heads = apart.groupBy("b").agg(F.min("id").alias("head"))
+    clusters = extend_components(None, apart.join(heads, "b").select(
+        F.col("id").alias("a"), F.col("head").alias("b")))
+    rows = (apart.select("id", "root", "n_shingles").distinct()
+            .join(clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")), "id")
+            .join(nodes.select("id", "bands"), "id").join(texts, "id"))
+    parts = (apart.select("id", "n_shingles").distinct()
+             .join(clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")), "id")
+             .groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+                                     .cast("int").alias("parts")))
+    dealt = (rows.join(parts, "cluster")
+             .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumns({"lo": F.least("blk", "with"), "hi": F.greatest("blk", "with")}))
+    return (dealt.select("cluster", "lo", "hi", "blk", "id", "root", "n_shingles", "bands", "text")
+            .groupBy("cluster", "lo", "hi")
+            .applyInPandas(_check_blocks(shingle, percent), "a bigint, b bigint"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
