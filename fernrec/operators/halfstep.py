@@ -20,11 +20,12 @@ Distribution (no matrix on the driver, no per-key arrays):
   Arrow-batched task per block runs the sweep vectorized over all entities
   of the block (``bincount`` segment sums, one pass per coordinate).
 * **Heavy entities** (more rows than ``heavy_threshold``, e.g. an item held
-  by a third of all users) never sit in one task: their rows are cut into
-  chunks, each chunk emits the partial sums ``A = sum (w-c) y y^T`` and
-  ``b = w r sum y``, a K(K+1)-key aggregation (partial, map-side) combines
-  them, and one small task per heavy entity solves the same sweep in Gram
-  form ``x_f <- (b_f - sum_{k!=f} T_fk x_k) / (T_ff + lambda)``,
+  by a third of all users) never sit in one task: their rows are bucketed
+  once by the other side's id. Every half-step sends each vector of the other
+  side to its one bucket, where the rows of all heavy entities meet it; a
+  bucket emits, per heavy entity, one row with the partial sums
+  ``A = sum (w-c) y y^T`` (upper triangle) and ``b = w r sum y``. One small
+  task per heavy entity adds them up and solves the same sweep in Gram form ``x_f <- (b_f - sum_{k!=f} T_fk x_k) / (T_ff + lambda)``,
   ``T = A + m S`` (exact algebra, same fixed point as the direct form).
 """
 
@@ -43,6 +44,7 @@ from ..session import materialize, materialize_bucketed, release
 from .factors import vec_type
 
 _CHUNK = 1 << 16  # rows per vectorized dot-product chunk inside a task
+_ADD_AT_ONCE = 64  # partial sums of an entity added by one task without a level between
 _MAX_BUCKETS = 8192  # files of the bucketed history; blocks beyond share buckets
 
 
@@ -55,7 +57,8 @@ class SideLayout:
     light: DataFrame     # blk, e, o, c  (+ marker rows o = -1 for heavy entities),
                          # bucketed by blk: read without a shuffle every half-step
     routing: DataFrame   # blk, o
-    heavy: DataFrame | None    # e, part, o, c
+    heavy: DataFrame | None    # part, e, o, c, bucketed by part (a hash of o)
+    heavy_parts: int
     heavy_keys: DataFrame | None  # e, m
     heavy_entities: int
     light_rows: int
@@ -87,20 +90,25 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
         markers = heavy_keys.select("e", F.lit(-1).cast("bigint").alias("o"),
                                     F.lit(0.0).alias("c"))
         light = light.unionByName(markers)
-        chunk = heavy_chunk_rows or heavy_threshold
-        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(chunk)))
-        heavy = (rows.join(heavy_keys, "e")
-                 .select("e", F.pmod(F.xxhash64("o"), chunks).alias("part"), "o", "c"))
-        heavy, _ = materialize(heavy, f"{side}_heavy_rows")
+        n_rows = heavy_keys.agg(F.sum("n")).first()[0]
+        parts = max(spark.sparkContext.defaultParallelism,
+                    math.ceil(n_rows / (heavy_chunk_rows or heavy_threshold)))
+        heavy = (rows.join(heavy_keys.select("e"), "e")
+                 .select(_part("o", parts).alias("part"), "e", "o", "c"))
+        heavy, _ = materialize_bucketed(heavy, f"{side}_heavy", "part", parts)
     else:
-        light, heavy, heavy_keys = rows, None, None
+        light, heavy, heavy_keys, parts = rows, None, None, 0
 
     buckets = min(blocks, _MAX_BUCKETS)
     light, n_light = materialize_bucketed(light.select(blk.alias("blk"), "e", "o", "c"),
                                           f"{side}_light", "blk", buckets)
     routing, _ = materialize(
         light.filter(F.col("o") >= 0).select("blk", "o").distinct(), f"{side}_routing")
-    return SideLayout(side, blocks, light, routing, heavy, heavy_keys, n_heavy, n_light)
+    return SideLayout(side, blocks, light, routing, heavy, parts, heavy_keys, n_heavy, n_light)
+
+
+def _part(col: str, parts: int):
+    return F.pmod(F.xxhash64(col), F.lit(parts)).cast("int")
 
 
 def release_layout(layout: SideLayout) -> None:
@@ -172,41 +180,53 @@ def _block_kernel(side: str, s: np.ndarray, lam: float, w: float, r: float, dtyp
     return run
 
 
-def _heavy_partial(k: int, w: float, r: float):
-    iu = np.repeat(np.arange(k), k)
-    ju = np.tile(np.arange(k), k)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
-        wmc = w - pdf["c"].to_numpy(dtype=np.float64)
-        a = y.T @ (y * wmc[:, None])
-        b = w * r * y.sum(axis=0)
-        e = int(pdf["e"].iloc[0])
-        return pd.DataFrame({
-            "e": np.full(k * k + k, e, dtype=np.int64),
-            "f": np.concatenate([iu, np.arange(k)]).astype(np.int32),
-            "g": np.concatenate([ju, np.full(k, k)]).astype(np.int32),
-            "v": np.concatenate([a.ravel(), b])})
+def _heavy_partial(k: int, w: float, r: float, groups: int):
+    upper = np.triu_indices(k)
+
+    def run(rows: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
+        """``rows``: part, e, o, c of one part; ``vecs``: the part's vectors."""
+        out_e, out_v = [], []
+        if len(rows):
+            ids = vecs["o"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            y = np.vstack(vecs["vec"].to_numpy()[order]).astype(np.float64)
+            at = np.searchsorted(ids[order], rows["o"].to_numpy())
+            e, c = rows["e"].to_numpy(), rows["c"].to_numpy(dtype=np.float64)
+            by_e = np.argsort(e, kind="stable")
+            starts = np.nonzero(np.diff(e[by_e], prepend=e[by_e[0]] - 1))[0]
+            for lo, hi in zip(starts, [*starts[1:], len(e)]):
+                own = by_e[lo:hi]
+                yo = y[at[own]]
+                a = yo.T @ (yo * (w - c[own])[:, None])
+                out_e.append(int(e[own[0]]))
+                out_v.append(np.concatenate([a[upper], w * r * yo.sum(axis=0)]))
+        group = int(rows["part"].iloc[0]) % groups if len(rows) else 0
+        return pd.DataFrame({"e": np.array(out_e, np.int64),
+                             "g": np.full(len(out_e), group, np.int32),
+                             "sums": pd.Series(out_v, dtype=object)})
     return run
 
 
+def _add_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"e": frame["e"].iloc[:1], "sums": [np.sum(np.stack(frame["sums"]), axis=0)]})
+
+
 def _heavy_solve(s: np.ndarray, lam: float, dtype: str):
     k = s.shape[0]
     out_dtype = np.float32 if dtype == "float32" else np.float64
+    iu, ju = np.triu_indices(k)
 
     def run(sums: pd.DataFrame, cur: pd.DataFrame) -> pd.DataFrame:
         if len(cur) == 0:
             return _vec_frame(np.zeros(0), np.zeros((0, k)))
         x = np.asarray(cur["vec"].iloc[0], dtype=np.float64).copy()
         m = float(cur["m"].iloc[0])
+        total = np.zeros(len(iu) + k)
+        for part in sums["sums"]:
+            total += part
         a = np.zeros((k, k))
-        b = np.zeros(k)
-        f = sums["f"].to_numpy()
-        g = sums["g"].to_numpy()
-        v = sums["v"].to_numpy(dtype=np.float64)
-        is_b = g == k
-        a[f[~is_b], g[~is_b]] = v[~is_b]
-        b[f[is_b]] = v[is_b]
+        a[iu, ju] = a[ju, iu] = total[:len(iu)]
+        b = total[len(iu):]
         t = a + m * s
         for j in range(k):
             x[j] = (b[j] - (t[j] @ x - t[j, j] * x[j])) / (t[j, j] + lam)
@@ -235,14 +255,15 @@ def half_step(layout: SideLayout, vecs: DataFrame, other: DataFrame, s: np.ndarr
                                         observed_value, dtype), out_schema))
     if layout.heavy is None:
         return out
-    partial_schema = T.StructType([
-        T.StructField("e", T.LongType()), T.StructField("f", T.IntegerType()),
-        T.StructField("g", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    sums = (layout.heavy.join(
-                other.select(F.col("idx").alias("o"), F.col("vec").cast(vt).alias("vec")), "o")
-            .groupBy("e", "part")
-            .applyInPandas(_heavy_partial(k, observed_weight, observed_value), partial_schema)
-            .groupBy("e", "f", "g").agg(F.sum("v").alias("v")))
+    groups = math.isqrt(layout.heavy_parts) if layout.heavy_parts > _ADD_AT_ONCE else 1
+    # one vector per part and id; the rows are bucketed by part already
+    sent = other.select(_part("idx", layout.heavy_parts).alias("part"), F.col("idx").alias("o"),
+                        F.col("vec").cast(vt).alias("vec"))
+    sums = (layout.heavy.groupBy("part").cogroup(sent.groupBy("part"))
+            .applyInPandas(_heavy_partial(k, observed_weight, observed_value, groups),
+                           "e bigint, g int, sums array<double>"))
+    if groups > 1:  # two levels: no task adds up more than sqrt(parts) rows of an entity
+        sums = sums.groupBy("e", "g").applyInPandas(_add_sums, "e bigint, sums array<double>")
     cur = (vecs.select(F.col("idx").alias("e"), F.col("vec").cast(vt).alias("vec"))
            .join(layout.heavy_keys.select("e", "m"), "e"))
     if layout.side == "user":
