@@ -10,12 +10,13 @@ skewed partitions (``spark.sql.adaptive.skewJoin``) otherwise.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_partitions, materialize, release
+from ..session import default_partitions, materialize, materialize_observed, release
 
 
 def dedup_latest(interactions: DataFrame) -> DataFrame:
@@ -76,43 +77,47 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int,
         table, n = interactions, input_count
     own = input_count is None
     sides = ((user_col, item_col, min_user), (item_col, user_col, min_item))
-    degree = {c: materialize(table.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), "degrees")[0]
-              for c, _, _ in sides}
-    dead: dict[str, list[DataFrame]] = {c: [] for c, _, _ in sides}
-    scratch = list(degree.values())
+    least_of = {user_col: min_user, item_col: min_item}
+    dead: dict[str, list[DataFrame]] = {c: [] for c in least_of}
+    degree, low, scratch = {}, {}, []
+
+    def count_rows(c: str, rows: DataFrame) -> int:
+        """Set the side's degrees and number of low keys; the rows they hold."""
+        degree[c], (left, low[c]) = materialize_observed(
+            rows, "degrees", F.sum("_n"), F.count_if(F.col("_n") < F.lit(least_of[c])))
+        scratch.append(degree[c])
+        return left
 
     def alive(rows: DataFrame, *cols: str) -> DataFrame:
         for c in cols:
-            for gone in dead[c]:
+            if dead[c]:
+                gone = functools.reduce(DataFrame.unionByName, dead[c])
                 rows = rows.join(gone, c, "left_anti")
         return rows
 
-    counts, held, rounds = [n], n, 0
+    for c in least_of:
+        count_rows(c, table.groupBy(c).agg(F.count(F.lit(1)).alias("_n")))
+    counts, held, rounds, left = [n], n, 0, n
     while True:
         if max_rounds is not None and rounds >= max_rounds:
             raise KCoreLimitError(f"no {min_user}/{min_item}-core after {rounds} rounds: "
                                   f"rows per round {counts}")
         for c, other, least in sides:
-            low, n_low = materialize(degree[c].filter(F.col("_n") < F.lit(least)).select(c),
-                                     "low_keys", count=True)
-            scratch.append(low)
-            if not n_low:
+            if not low[c]:
                 continue
-            lost = (alive(table.join(low, c, "left_semi"), other)
+            bad = degree[c].filter(F.col("_n") < F.lit(least)).select(c)
+            lost = (alive(table.join(bad, c, "left_semi"), other)
                     .groupBy(other).agg(F.count(F.lit(1)).alias("_lost")))
-            degree[c] = degree[c].filter(F.col("_n") >= F.lit(least))
-            degree[other], _ = materialize(
-                degree[other].join(lost, other, "left")
-                .select(other, (F.col("_n") - F.coalesce("_lost", F.lit(0))).alias("_n"))
-                .filter(F.col("_n") > 0), "degrees")
-            scratch.append(degree[other])
-            # one table of dead keys per side, so that a scan has one anti join
-            if dead[c]:
-                low, _ = materialize(dead[c].pop().unionByName(low), "dead_keys")
-                scratch.append(low)
-            dead[c].append(low)
+            degree[c], low[c] = degree[c].filter(F.col("_n") >= F.lit(least)), 0
+            left = count_rows(other, degree[other].join(lost, other, "left").select(
+                other, (F.col("_n") - F.coalesce("_lost", F.lit(0))).alias("_n"))
+                .filter(F.col("_n") > 0))
+            dead[c].append(bad)
+            if len(dead[c]) == 8:  # a scan has few dead tables to read
+                dead[c] = [materialize(functools.reduce(DataFrame.unionByName, dead[c]),
+                                       "dead_keys")[0]]
+                scratch.append(dead[c][0])
         rounds += 1
-        left = int(degree[user_col].agg(F.sum("_n")).first()[0] or 0)
         counts.append(left)
         done = left == counts[-2]
         if done and rounds == 1 and not own:
@@ -122,7 +127,7 @@ def k_core(interactions: DataFrame, min_user: int, min_item: int,
             if own:
                 release(table)
             table, own = smaller, True
-            dead = {c: [] for c, _, _ in sides}
+            dead = {c: [] for c in least_of}
         if done:
             break
     for df in scratch:
