@@ -47,10 +47,10 @@ BANDS = 28
 ROWS = 4
 LANES = 4             # pivots per bucket in the rounds after the first
 PAIRS_PER_MEMBER = 512  # crossing pairs per open bucket member that end the pivot rounds
-BLOCK_SHINGLES = 150_000  # shingles of one block of an open cluster
+BLOCK_SHINGLES = 40_000  # shingles of one block of an open cluster
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
-_BLOCK = 1 << 17
+_BLOCK = 1 << 15
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def _confirm(shingle: int, percent: int):
             if node not in kept:
                 kept[node] = shingle_set(text, shingle)
                 held += len(kept[node])
-                while held > 500_000 and len(kept) > 2:
+                while held > 60_000 and len(kept) > 2:
                     held -= len(kept.popitem(last=False)[1])
             kept.move_to_end(node)
             return kept[node]

@@ -74,7 +74,7 @@ class MemoEncoder:
     number; both bound memory only, never the result.
     """
 
-    def __init__(self, vocab_size: int, memo_words: int = 450_000, memo_bytes: int = 24 << 20):
+    def __init__(self, vocab_size: int, memo_words: int = 300_000, memo_bytes: int = 16 << 20):
         self.memo_words, self.memo_bytes = memo_words, memo_bytes
         self.dtype = np.uint16 if vocab_size <= 65536 else np.uint32
         self._reset()
