@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, written
 from .near_dedup import mix64
-from .tokens import WORD_BPE, WordEncoder, encoder, vocabulary_path
+from .tokens import WORD_BPE, WordEncoder, encoder, text_slices, vocabulary_path
 
 MEAN_BITS = 10          # a chunk has about 2^10 bytes
 MIN_CHUNK = 256
@@ -109,14 +109,15 @@ def _hash(core: bytes) -> tuple[int, int]:
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, seqs, h1, h2 = [], [], [], []
-        for k, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-            for seq, (a, b, core) in enumerate(layout(text)):
-                if core:
-                    x, y = _hash(text[a:b])
-                    row.append(k)
-                    seqs.append(seq)
-                    h1.append(x)
-                    h2.append(y)
+        for first, texts in text_slices(batch.column("text")):
+            for k, text in enumerate(texts, first):
+                for seq, (a, b, core) in enumerate(layout(text)):
+                    if core:
+                        x, y = _hash(text[a:b])
+                        row.append(k)
+                        seqs.append(seq)
+                        h1.append(x)
+                        h2.append(y)
         at = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(at), batch.column("t").take(at),
@@ -127,7 +128,7 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pack = zstandard.ZstdCompressor(level=1).compress
-        packed = [pack(x) for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+        packed = [pack(x) for _, texts in text_slices(batch.column("text")) for x in texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("t"), pa.array(packed, pa.binary())],
             names=["doc_id", "t", "z"])

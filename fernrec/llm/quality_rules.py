@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text, written
-from .tokens import PIECE_BPE, encoder, vocabulary_path
+from .tokens import PIECE_BPE, encoder, text_slices, vocabulary_path
 
 # Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -88,7 +89,7 @@ def _measure(path: str):
         for batch in batches:
             rows = []
             langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            texts = chain.from_iterable(t for _, t in text_slices(batch.column("text")))
             for text, lang in zip(texts, langs):
                 words = text.split()
                 places, found, _ = enc.encode_words(words)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, whole_text, written
-from .tokens import WORD_BPE, encoder, vocabulary_path
+from .tokens import WORD_BPE, encoder, text_slices, vocabulary_path
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 11
@@ -144,11 +144,12 @@ def _count_short(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"),
-                 pa.array(enc.counts(texts), pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens"])
+            for lo, texts in text_slices(batch.column("text")):
+                part = batch.slice(lo, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("n_bytes"),
+                     pa.array(enc.counts(texts), pa.int64())],
+                    names=["doc_id", "n_bytes", "n_tokens"])
     return count
 
 

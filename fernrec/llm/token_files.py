@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import default_partitions, scratch_path
 from .common import whole_text
-from .tokens import WORD_BPE, encoder, vocabulary_path
+from .tokens import WORD_BPE, encoder, text_slices, vocabulary_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 17
@@ -194,11 +194,10 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         size = seq = done = 0
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             keys = batch.column("doc_id").to_pylist()
             part = batch.column("part")[0].as_py() if len(keys) else 0
-            for lo, hi in _slices(texts):
-                found = enc.encode(texts[lo:hi])
+            for lo, texts in text_slices(batch.column("text")):
+                found = enc.encode(texts)
                 counts = found.counts + 1
                 ids = np.insert(found.ids, found.offsets[1:], np.uint32(end_id))
                 ends = np.cumsum(counts)
@@ -221,18 +220,6 @@ def _shards(path: str, end_id: int, shard_tokens: int):
     return build
 
 
-def _slices(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes."""
-    lo = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= limit:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def write_token_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                       text_col: str = "text", tokenizer: str | None = None,
                       end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,

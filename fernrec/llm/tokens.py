@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -55,6 +58,19 @@ def _byte_letters() -> dict[int, str]:
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)"
                     "([!-&(-/:-;=?@\\[-^`{}~]*)")
 
+def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column as bytes, in lists of about ``limit`` bytes, each
+    with the row of its first text: a batch is never held twice."""
+    column = column.cast(pa.large_binary())
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 @dataclass
 class Encoded:
     """Ids of several texts, one after the other."""
@@ -74,7 +90,7 @@ class MemoEncoder:
     number; both bound memory only, never the result.
     """
 
-    def __init__(self, vocab_size: int, memo_words: int = 300_000, memo_bytes: int = 16 << 20):
+    def __init__(self, vocab_size: int, memo_words: int = 450_000, memo_bytes: int = 24 << 20):
         self.memo_words, self.memo_bytes = memo_words, memo_bytes
         self.dtype = np.uint16 if vocab_size <= 65536 else np.uint32
         self._reset()
