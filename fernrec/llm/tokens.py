@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +91,18 @@ class MemoEncoder:
     number; both bound memory only, never the result.
     """
 
-    def __init__(self, vocab_size: int, memo_words: int = 450_000, memo_bytes: int = 24 << 20):
+    def __init__(self, vocab_size: int, memo_words: int = 350_000, memo_bytes: int = 24 << 20):
         self.memo_words, self.memo_bytes = memo_words, memo_bytes
         self.dtype = np.uint16 if vocab_size <= 65536 else np.uint32
         self._reset()
 
-    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece."""
         raise NotImplementedError
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.dtype().dtype.char, ids).tobytes()
+
     def split(self, text: bytes) -> list[bytes]:
         """Pieces that encode on their own."""
         return text.split()
@@ -115,15 +120,14 @@ class MemoEncoder:
             part = words[lo:lo + 20_000]
             ids = self._encode_pieces(part)
             n = len(self.index)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // self.flat.itemsize
             total = int(lens.sum())
             while n + len(part) > len(self.lens):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                 self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + total] = np.fromiter(
-                chain.from_iterable(ids), self.flat.dtype, total)
+            self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), self.dtype)
             self.lens[n:n + len(part)] = lens
             self.starts[n:n + len(part)] = self.used + np.cumsum(lens) - lens
             self.used += total
@@ -200,22 +204,23 @@ class WordEncoder(MemoEncoder):
     def __init__(self, path: str, **memo):
         self.tokenizer = load_tokenizer(path)
         self.letters = _byte_letters()
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, bytes] = {}
         super().__init__(self.tokenizer.get_vocab_size(), **memo)
 
     def split(self, text: bytes) -> list[bytes]:
         # A-Z would be lower-cased anyway, but for special strings
         return text.split() if b"<|" in text else text.lower().split()
 
-    def _run(self, run: str) -> list[int]:
-        """Ids of one pre-token (lower case)."""
+    def _run(self, run: str) -> bytes:
+        """Packed ids of one pre-token (lower case)."""
         ids = self.runs.get(run)
         if ids is None:
             letters = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-            ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            ids = self.runs[run] = self._pack(
+                [t.id for t in self.tokenizer.model.tokenize(letters)])
         return ids
 
-    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         out: list = [None] * len(pieces)
         other: list[int] = []
         for k, piece in enumerate(pieces):
@@ -226,15 +231,15 @@ class WordEncoder(MemoEncoder):
                 continue
             letters, signs = plain.groups()
             if not signs:
-                out[k] = self._run(letters.lower()) if letters else []
+                out[k] = self._run(letters.lower()) if letters else b""
             else:
-                out[k] = (self._run(letters.lower()) if letters else []) + self._run(signs)
+                out[k] = (self._run(letters.lower()) if letters else b"") + self._run(signs)
         if other:
             for k, found in zip(other, self.tokenizer.encode_batch_fast(
                     [pieces[k].decode("utf-8", "replace") for k in other],
                     add_special_tokens=False)):
-                out[k] = found.ids
-        if len(self.runs) > self.memo_words:
+                out[k] = self._pack(found.ids)
+        if len(self.runs) > self.memo_words // 2:
             self.runs = {}
         return out
 
@@ -249,8 +254,9 @@ class PieceEncoder(MemoEncoder):
         super().__init__(self.model.vocab_size(), **memo)
         self.is_byte = np.array([self.model.is_byte(k) for k in range(self.model.vocab_size())])
 
-    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        return self.model.encode([p.decode("utf-8", "replace") for p in pieces], num_threads=1)
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        return list(map(self._pack, self.model.encode(
+            [p.decode("utf-8", "replace") for p in pieces], num_threads=1)))
 
 
 _ENCODERS: dict[str, MemoEncoder] = {}
