@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import whole_text, written, written_counted
 from .tokens import PIECE_BPE, encoder, text_slices, vocabulary_path
 
 # Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
+BROADCAST_GROUPS = 100_000
 METRICS = ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 _SYMBOL_TABLE = bytes(sorted(set(range(256)) - set(SYMBOLS.encode())))
 # Blocks of code points of common scripts.
@@ -129,6 +130,14 @@ def _bands(rest: DataFrame, keys: list[str], width: float, least: dict[str, floa
     return found.select(*out)
 
 
+def _small(table: DataFrame, name: str) -> DataFrame:
+    """Written, and marked for broadcast if its counted rows allow that: a
+    language of a third of all rows is then not sent to one task. With more
+    groups than that none is so large, or AQE splits it."""
+    table, rows = written_counted(table, name)
+    return F.broadcast(table) if rows <= BROADCAST_GROUPS else table
+
+
 def _without_length(measured: DataFrame) -> DataFrame:
     """With rest_<metric>: what the group's line in log2(n_tokens) leaves."""
     at = F.log2(F.greatest("n_tokens", F.lit(1)))
@@ -136,7 +145,7 @@ def _without_length(measured: DataFrame) -> DataFrame:
     lines = good.groupBy("group").agg(*[e for m in METRICS for e in (
         F.regr_slope(F.col(m), at).alias(f"slope_{m}"),
         F.regr_intercept(F.col(m), at).alias(f"base_{m}"), F.avg(m).alias(f"mean_{m}"))])
-    rest = measured.join(lines, "group", "left")
+    rest = measured.join(_small(lines, "quality_lines"), "group", "left")
     return rest.select(*measured.columns, *[
         (F.col(m) - F.coalesce(F.col(f"base_{m}") + F.col(f"slope_{m}") * at, f"mean_{m}",
                                F.lit(0.0))).alias(f"rest_{m}") for m in METRICS])
@@ -169,9 +178,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = [("class", ["group", "size"]), ("group", ["group"]), ("all", [])]
     rated = rest
     for tag, keys in levels:
-        bands = _bands(rest, keys, width, least, least_docs, tag)
+        bands = _small(_bands(rest, keys, width, least, least_docs, tag), "quality_bands")
         rated = rated.join(bands, keys, "left") if keys else rated.join(
-            F.broadcast(bands), F.lit(True), "left")  # one row
+            bands, F.lit(True), "left")  # one row
     reasons = []
     for m in METRICS:
         lo, hi = (F.coalesce(*[f"{tag}_{side}_{m}" for tag, _ in levels]) for side in ("lo", "hi"))
