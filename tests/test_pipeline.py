@@ -36,7 +36,9 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 1 and rows[0].evaluated_users == 15
     assert df.columns == ["hr", "ndcg", "evaluated_users"]
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
+    from fernrec.plans import catalog
+    assert set(catalog.QUERIES) == set(catalog.oracle_sql())
 
 
 def objective(p, q, hist, c_item, lam, w=1.0, r=1.0):
