@@ -2,10 +2,10 @@
 
 Training counts, for both labels, in how many documents each word occurs. The
 words are hashed to ``2^bits`` buckets, which bounds the model whatever the
-vocabulary; near copies count once (documents whose smallest bucket is the
-same are one witness of a word). A bucket's score is the log-odds ratio of
-the labels under an informative Dirichlet prior (the background frequency, as
-``prior`` of all counts); buckets whose ratio is below ``min_odds`` or whose
+vocabulary; every distinct text of a label counts, exact copies (by md5) once
+and near copies each. A bucket's score is the log-odds ratio of the labels
+under an informative Dirichlet prior (the background frequency, as ``prior``
+of all counts); buckets whose ratio is below ``min_odds`` or whose
 likelihood-ratio root is below ``z_min``, and all unseen ones, cost ``drift``.
 
 A document is scanned once (Ruzzo and Tompa's linear scan) for all its
@@ -110,6 +110,18 @@ def _buckets(text_col: str, bits: int):
                        lambda w: F.pmod(F.xxhash64(w), F.lit(1 << bits)).cast("int"))
 
 
+def _word_counts(rows: DataFrame, known: DataFrame, bits: int) -> DataFrame:
+    """bucket, t, c: the distinct texts with label 1 and 0 that have a word of
+    the bucket."""
+    texts = (_with_labels(rows, known)
+             .select("toxic", F.md5(whole_text("text")).alias("copy"),
+                     F.array_distinct(_buckets("text", bits)).alias("b"))
+             .dropDuplicates(["toxic", "copy"]))
+    return (texts.select("toxic", F.explode("b").alias("bucket")).groupBy("bucket")
+            .agg(F.sum("toxic").cast("double").alias("t"),
+                 F.sum(1 - F.col("toxic")).cast("double").alias("c")))
+
+
 def _scan(shared):
     """Segments of every document: best, evidence, number and passages."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
              .groupBy(F.col(id_col).alias("doc_id"))
              .agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
              .filter(crc_mod(F.col("doc_id"), held_out_mod) != 0))
-    # one witness per label, word and smallest bucket of the document
-    witnesses = (_with_labels(rows, known)
-                 .select("toxic", F.array_distinct(_buckets("text", bits)).alias("b"))
-                 .select("toxic", F.array_min("b").alias("family"), F.explode("b").alias("bucket"))
-                 .distinct())
-    counts = written(witnesses.groupBy("bucket").agg(
-        F.sum("toxic").cast("double").alias("t"),
-        F.sum(1 - F.col("toxic")).cast("double").alias("c")), "toxic_counts")
+    counts = written(_word_counts(rows, known, bits), "toxic_counts")
     sums = counts.agg(F.sum("t"), F.sum("c")).first()
     totals = {1: sums[0] or 0.0, 0: sums[1] or 0.0}
     model = ToxicModel(bits, np.zeros(0, np.int64), np.zeros(0), drift, 1.0, 0.1, max_e)

@@ -4,6 +4,9 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from fernrec.llm import toxicity
 from fernrec.llm.toxicity import (drop_toxic, fit_logistic, karlin_lambda, maximal_segments,
                                   score_toxicity)
 
@@ -98,3 +101,33 @@ def test_dropping_and_little(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r.predicted for r in score_toxicity(df, none).collect()} == {0}
     assert score_toxicity(df.limit(0), none).collect() == []
+
+
+def test_odds_do_not_shrink_as_the_corpus_grows(spark, monkeypatch):
+    """A planted word in 40 % of the toxic and 2 % of the clean texts; every
+    text also stands in the table a second time."""
+    kept, real = [], toxicity._log_odds
+
+    def spy(counts, totals, *rest):
+        kept.append((counts, totals, real(counts, totals, *rest)))
+        return kept[-1][2]
+
+    monkeypatch.setattr(toxicity, "_log_odds", spy)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    weights = [1 / (k + 1) for k in range(2000)]
+    for n in (500, 5000):
+        rng, docs, labels = random.Random(n), [], []
+        for k in range(n):
+            toxic, turn = k % 2, k // 2 % 50
+            words = rng.choices(vocabulary, weights, k=60)
+            words += ["planted"] if turn < (20 if toxic else 1) else []
+            docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words))]
+            labels += [(2 * k, toxic), (2 * k + 1, toxic)]
+        score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS),
+                       held_out_mod=1 << 30).collect()
+        counts, _, found = kept[-1]
+        bucket = F.pmod(F.xxhash64(F.lit(b"planted").cast("string")), F.lit(1 << toxicity.BITS))
+        row = counts.filter(F.col("bucket") == bucket).first()
+        assert (row.t, row.c) == (n // 2 * 20 // 50, n // 2 // 50)
+        kept[-1] = found.filter(F.col("bucket") == bucket).first().score
+    assert abs(kept[0] - kept[1]) < 0.05 and kept[1] > 2.5
