@@ -4,12 +4,13 @@ Every whole text is encoded word by word with a public vocabulary. Four
 figures describe how well the vocabulary fits it: characters per token, tokens
 per word, the share of byte-fallback tokens, and the entropy of its tokens (bits, as a share
 of the bits of its length). Rejection bands are learned per language (or, for
-rows without one, per script) from all documents that pass the base rules: a
-straight line in the logarithm of the number of tokens takes out the effect of
-length; then, per length class, the median of what remains plus or minus
-``width`` times the distance to the quartile of that side, at least ``least``.
-A class with fewer than ``least_docs`` documents takes the band of its
-language, failing that the band of all, or none.
+rows without one, per script) from all distinct texts (by md5; exact copies
+count once, near copies each) that pass the base rules: a straight line in the
+logarithm of the number of tokens takes out the effect of length; then, per
+length class, the median of what remains plus or minus ``width`` times the
+distance to the quartile of that side, at least ``least``. A class with fewer
+than ``least_docs`` distinct texts takes the band of its language, failing
+that the band of all, or none.
 
 Base rules: at least ``min_words`` words, and at most half of the words in
 3-word windows that occur twice or more in the text.
@@ -108,8 +109,9 @@ def _measure(path: str):
             columns = list(zip(*rows)) if rows else [()] * 11
             kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                [batch.column("doc_id"), batch.column("copy"),
+                 *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
+                names=["doc_id", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", "n_tokens", *METRICS, "group"])
     return measure
 
@@ -117,9 +119,9 @@ def _measure(path: str):
 def _bands(rest: DataFrame, keys: list[str], width: float, least: dict[str, float],
            least_docs: int, tag: str) -> DataFrame:
     """lo/hi of every metric's remainder per ``keys``, for groups of enough
-    documents."""
+    rows of ``rest``, one per distinct text."""
     parts = [F.percentile_approx(f"rest_{m}", [0.25, 0.5, 0.75], 10_000).alias(m) for m in METRICS]
-    found = (rest.filter(~F.col("base_failed")).groupBy(*keys)
+    found = (rest.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("n"), *parts).filter(F.col("n") >= least_docs))
     out = [*keys]
     for m in METRICS:
@@ -138,14 +140,18 @@ def _small(table: DataFrame, name: str) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_GROUPS else table
 
 
-def _without_length(measured: DataFrame) -> DataFrame:
-    """With rest_<metric>: what the group's line in log2(n_tokens) leaves."""
+def _lines(texts: DataFrame) -> DataFrame:
+    """Per group, the line of every metric in log2(n_tokens), and its mean."""
     at = F.log2(F.greatest("n_tokens", F.lit(1)))
-    good = measured.filter(~F.col("base_failed"))
-    lines = good.groupBy("group").agg(*[e for m in METRICS for e in (
+    return texts.groupBy("group").agg(*[e for m in METRICS for e in (
         F.regr_slope(F.col(m), at).alias(f"slope_{m}"),
         F.regr_intercept(F.col(m), at).alias(f"base_{m}"), F.avg(m).alias(f"mean_{m}"))])
-    rest = measured.join(_small(lines, "quality_lines"), "group", "left")
+
+
+def _without_length(measured: DataFrame, lines: DataFrame) -> DataFrame:
+    """With rest_<metric>: what the group's line in log2(n_tokens) leaves."""
+    at = F.log2(F.greatest("n_tokens", F.lit(1)))
+    rest = measured.join(lines, "group", "left")
     return rest.select(*measured.columns, *[
         (F.col(m) - F.coalesce(F.col(f"base_{m}") + F.col(f"slope_{m}") * at, f"mean_{m}",
                                F.lit(0.0))).alias(f"rest_{m}") for m in METRICS])
@@ -160,13 +166,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = least or {"chars_per_token": 0.05, "tokens_per_word": 0.1, "byte_share": 0.05,
                       "token_entropy": 0.01}
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"),
+                       F.unhex(F.md5(whole_text(text_col))).alias("copy"),
                        F.col(lang_col).cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = "n_words n_symbols word_chars n_dup_lines n_repeat_words n_tokens".split()
     measured = written(
         rows.mapInArrow(
             _measure(vocabulary or vocabulary_path(PIECE_BPE)),
-            f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
+            f"doc_id {kind}, copy binary, n_words bigint, word_chars bigint, n_symbols bigint, "
             "n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, "
             "chars_per_token double, tokens_per_word double, byte_share double, "
             "token_entropy double, group string")
@@ -174,11 +181,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")),
         "quality")
-    rest = written(_without_length(measured), "quality_rest")
+    # one row per text and group: copies have the same figures
+    texts = written(measured.filter(~F.col("base_failed")).dropDuplicates(["group", "copy"])
+                    .select("group", "size", "n_tokens", *METRICS), "quality_texts")
+    lines = _small(_lines(texts), "quality_lines")
+    learned = written(_without_length(texts, lines), "quality_learned")
+    rest = _without_length(measured, lines)
     levels = [("class", ["group", "size"]), ("group", ["group"]), ("all", [])]
     rated = rest
     for tag, keys in levels:
-        bands = _small(_bands(rest, keys, width, least, least_docs, tag), "quality_bands")
+        bands = _small(_bands(learned, keys, width, least, least_docs, tag), "quality_bands")
         rated = rated.join(bands, keys, "left") if keys else rated.join(
             bands, F.lit(True), "left")  # one row
     reasons = []

@@ -80,3 +80,21 @@ def test_quality(spark):
     assert not any(r.kept for r in rows if r.doc_id is not None and r.doc_id < 400
                    and r.doc_id % 20 == 0)
     assert quality_rules(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_bands_ignore_copies(spark):
+    """One text as a third of all rows changes no other row's result, and does
+    not make a class of its own."""
+    rng = random.Random(1)
+    plain = "the of and in that he was for it with as his on be at by".split()
+    text = lambda n: " ".join(
+        "".join(rng.choices(plain, k=rng.randint(1, 3))) for _ in range(n))
+    docs = [(k, text(rng.randint(60, 110)), "en") for k in range(400)]
+    alone = [(k, text(100), "xx") for k in range(900, 905)]
+    copies = [(2000 + k, docs[7][1], "en") for k in range(200)]
+    copies += [(3000 + k, alone[0][1], "xx") for k in range(60)]
+    plain_run, hot_run = ({r.doc_id: (r.kept, r.reasons) for r in quality_rules(
+        spark.createDataFrame(x, DOCS)).collect()} for x in (docs + alone, docs + alone + copies))
+    assert sum(kept for kept, _ in plain_run.values()) > 390
+    assert {k: hot_run[k] for k in plain_run} == plain_run
+    assert all(hot_run[k] == plain_run[7] for k in hot_run if 2000 <= k < 3000)
