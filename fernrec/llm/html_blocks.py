@@ -5,7 +5,9 @@ A page is cut into blocks at block-level tags. Pass 1 decides what it can:
 * bad: in a menu, footer, side bar, form, advert, notice, comment section or
   hidden element (by tag, role, or a word of class or id), outside the page's
   ``article``/``main`` if it has one with text, or with more than
-  ``max_link_density`` of its characters in links;
+  ``max_link_density`` of its characters in links; the words of class and id
+  do not count on ``html``, ``body`` and the outermost ``article``/``main``,
+  nor, if nothing of the page would be left, on an element around that one;
 * good: at least ``long_chars`` characters and ``stop_density`` of its words
   are stop words;
 * the rest is ambiguous.
@@ -29,7 +31,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,20 +98,30 @@ class Block:
     bad: bool
     in_article: bool
     heading: bool
+    wrapped: bool = False  # bad only by class or id words around the article
+
+
+def _has_bad_words(tag: str, attrs: str, in_article: bool) -> bool:
+    """By a word of class or id."""
+    if tag in ("html", "body") or (tag in ("article", "main") and not in_article):
+        return False
+    for name, *values in _ATTR.findall(attrs or ""):
+        if name.lower() in ("class", "id"):
+            words = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
+            if words & BAD_WORDS or ("header" in words and not in_article and tag != "h1"):
+                return True
+    return False
 
 
 def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
+    """By tag, role or hiding."""
     if tag in BAD_TAGS or (tag == "header" and not in_article):
         return True
     if not attrs or attrs.isspace():
         return False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & BAD_WORDS or ("header" in words and not in_article and tag != "h1"):
-                return True
-        elif name == "role" and value in BAD_ROLES:
+        if name == "role" and value in BAD_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -121,8 +133,9 @@ def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
 def page_blocks(page: str) -> list[Block]:
     """The blocks with visible text, in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, bad, article, silent
-    bad = article = silent = links = 0
+    # tag, bad, article, silent, class or id words outside an article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    bad = article = silent = around = links = 0
     parts: list[str] = []
     linked_parts: list[str] = []
     heading = False
@@ -133,17 +146,19 @@ def page_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 linked = len(" ".join("".join(linked_parts).split()))
-                blocks.append(Block(text, linked, bad > 0, article > 0, heading))
+                blocks.append(Block(text, linked, bad + around > 0, article > 0, heading,
+                                    bad == 0 and around > 0 and article > 0))
             parts.clear()
             linked_parts.clear()
         heading = False
 
     def pop() -> str:
-        nonlocal bad, article, silent
-        tag, was_bad, was_article, was_silent = stack.pop()
+        nonlocal bad, article, silent, around
+        tag, was_bad, was_article, was_silent, was_around = stack.pop()
         bad -= was_bad
         article -= was_article
         silent -= was_silent
+        around -= was_around
         return tag
 
     at = 0
@@ -187,12 +202,15 @@ def page_blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        marks = (_is_bad(tag, attrs, article > 0), tag in ("article", "main"), tag in SILENT_TAGS)
+        words = _has_bad_words(tag, attrs, article > 0)
+        marks = (_is_bad(tag, attrs, article > 0) or (words and article > 0),
+                 tag in ("article", "main"), tag in SILENT_TAGS, words and article == 0)
         if is_block or any(marks):
-            if not is_block and marks[0]:
+            if not is_block and (marks[0] or marks[3]):
                 close_block()
             stack.append((tag, *marks))
             bad, article, silent = bad + marks[0], article + marks[1], silent + marks[2]
+            around += marks[3]
             heading = heading or tag in HEADINGS
     close_block()
     return blocks
@@ -252,7 +270,11 @@ def label_blocks(blocks: list[Block], long_chars: int = LONG_CHARS,
 
 def main_text(page: str | None, **options) -> str:
     blocks = page_blocks(page or "")
-    return "\n\n".join(b.text for b, ok in zip(blocks, label_blocks(blocks, **options)) if ok)
+    labels = label_blocks(blocks, **options)
+    if not any(labels) and any(b.wrapped for b in blocks):
+        blocks = [replace(b, bad=b.bad and not b.wrapped) for b in blocks]
+        labels = label_blocks(blocks, **options)
+    return "\n\n".join(b.text for b, ok in zip(blocks, labels) if ok)
 
 
 def _extract(options: dict):

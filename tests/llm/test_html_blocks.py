@@ -54,3 +54,15 @@ def test_sample_pages(spark):
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split())
                   for x in re.split("</?(?:p|h1)>", body)]
         assert got[page.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def test_wrapper_classes():
+    nav = "<nav><a href=/>Home</a></nav>"
+    for before, after in (("<html class='has-sidebar'><body>", ""), ("<body id='login-footer'>", ""),
+                          ("<body class='has-sidebar'><div class='content no-sidebar'>", "</div>")):
+        for tag in ("article", "main", "article class='share related'"):
+            page = (f"{before}{nav}<{tag}><h1>Head</h1><p>{LONG}</p><div class=ad>{LONG}</div>"
+                    f"</{tag.split()[0]}>{after}<div class=footer>{LONG}</div>")
+            assert main_text(page) == f"Head\n\n{LONG}"
+    own = f"<body><div><p>{LONG}</p></div>"
+    assert main_text(f"{own}<div class=comments><article><p>Not {LONG}</p></article></div>") == LONG
