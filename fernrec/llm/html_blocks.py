@@ -15,8 +15,12 @@ A page is cut into blocks at block-level tags. Pass 1 decides what it can:
 Pass 2 labels every ambiguous block by its nearest decided neighbours within
 its region (the article, or the page if there is none): the nearer of the
 previous and the next one decides; at equal distance, or if neither exists,
-it stays if it stands in an article, or if one of the two is good and it is a
-heading or has stop words. White space in a block becomes one blank, character
+it stays if one of the two is good and it is a heading or has stop words. On a
+page with an article this is overridden: an ambiguous block of the article
+goes only if both decided neighbours are bad, and stays otherwise. If nothing
+of a page stays (a language without known stop words, no article), every
+ambiguous block of at least ``long_chars`` characters counts as good, and pass
+2 is done with these. White space in a block becomes one blank, character
 references are decoded, blocks are joined by an empty line; nothing else is
 dropped.
 
@@ -218,8 +222,10 @@ def page_blocks(page: str) -> list[Block]:
 
 def label_blocks(blocks: list[Block], long_chars: int = LONG_CHARS,
                  stop_density: float = STOP_DENSITY,
-                 max_link_density: float = MAX_LINK_DENSITY) -> list[bool]:
-    """Which blocks belong to the main text."""
+                 max_link_density: float = MAX_LINK_DENSITY,
+                 any_language: bool = False) -> list[bool]:
+    """Which blocks belong to the main text; with ``any_language`` a long block
+    is good without stop words."""
     has_article = any(b.in_article and not b.bad for b in blocks)
     labels: list[bool | None] = []
     densities = []
@@ -229,7 +235,7 @@ def label_blocks(blocks: list[Block], long_chars: int = LONG_CHARS,
         if (b.bad or (has_article and not b.in_article)
                 or b.linked > max_link_density * len(b.text)):
             labels.append(False)
-        elif len(b.text) >= long_chars and densities[-1] >= stop_density:
+        elif len(b.text) >= long_chars and (any_language or densities[-1] >= stop_density):
             labels.append(True)
         else:
             labels.append(None)
@@ -274,6 +280,8 @@ def main_text(page: str | None, **options) -> str:
     if not any(labels) and any(b.wrapped for b in blocks):
         blocks = [replace(b, bad=b.bad and not b.wrapped) for b in blocks]
         labels = label_blocks(blocks, **options)
+    if not any(labels):
+        labels = label_blocks(blocks, **options, any_language=True)
     return "\n\n".join(b.text for b, ok in zip(blocks, labels) if ok)
 
 

@@ -66,3 +66,10 @@ def test_wrapper_classes():
             assert main_text(page) == f"Head\n\n{LONG}"
     own = f"<body><div><p>{LONG}</p></div>"
     assert main_text(f"{own}<div class=comments><article><p>Not {LONG}</p></article></div>") == LONG
+
+
+def test_language_without_known_stop_words():
+    text = "Tämä kirjoitus kertoo siitä, miten järven rannalla eletään talvella ja kesällä."
+    page = (f"<body><nav><a href=/>Koti</a></nav><div><h1>Järvi</h1><p>{text}</p><p>{text}</p></div>"
+            f"<div><a href=a>{text}</a></div><div class=footer>{text}</div>")
+    assert main_text(page) == f"Järvi\n\n{text}\n\n{text}"
