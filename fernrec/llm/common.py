@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import default_partitions, materialize
 from ..sources.tables import table_path
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,3 +51,58 @@ def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """As ``written``, with the number of rows, counted by the same job."""
     out, n = materialize(df, name, count=True)
     return out, int(n or 0)
+
+
+def running(df: DataFrame, group: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` written in (``group``, ``order``) order, with two columns per
+    entry of ``sums`` (expressions that are never null): ``before_<name>``, the
+    sum over the earlier rows of the row's group, and ``all_<name>``, the sum
+    over its whole group.
+
+    No group has to fit a task: rows are range-partitioned, a window only covers
+    a group's rows of one partition, and the partitions' totals (one row per
+    group and partition) are joined back. ``group`` is never null. Rows equal in
+    all of ``order`` are told apart by their place in the input.
+    """
+    spark = df.sparkSession
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id())
+              .repartitionByRange(default_partitions(spark), group, *order, "_tie")
+              .sortWithinPartitions(group, *order, "_tie").drop("_tie")
+              .withColumn("_at", F.monotonically_increasing_id()))
+    ranged = written(ranged, "ranged").withColumn("_part", F.shiftright("_at", 33))
+    totals = ranged.groupBy(group, "_part").agg(
+        *[F.sum(expr).alias(f"all_{name}") for name, expr in sums.items()])
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(group)
+    totals = totals.select(
+        group, "_part",
+        *[F.coalesce(F.sum(f"all_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *[F.sum(f"all_{n}").over(whole).alias(f"all_{n}") for n in sums])
+    inside = Window.partitionBy(group, "_part").orderBy("_at").rowsBetween(
+        Window.unboundedPreceding, -1)
+    rows = ranged.select("*", *[F.coalesce(F.sum(expr).over(inside), F.lit(0)).alias(f"_in_{n}")
+                                for n, expr in sums.items()]).join(totals, [group, "_part"])
+    return rows.select(
+        *df.columns, *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).cast("bigint").alias(f"before_{n}")
+                       for n in sums],
+        *[F.col(f"all_{n}").cast("bigint").alias(f"all_{n}") for n in sums])
+
+
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: str) -> DataFrame:
+    """``rows`` (a written table) joined with the one row of ``per_key`` (a
+    written table, too) of its key; ``n_rows`` is the key's number of rows.
+
+    Keys that hold a thousandth of all rows or more, at most a thousand of them,
+    are broadcast, so no hot key meets in one task; the others are shuffled.
+    ``key`` is never null.
+    """
+    total = per_key.agg(F.sum(n_rows)).first()[0] or 0
+    is_hot = F.col(n_rows) * HOT_SHARE >= F.lit(int(total))
+    hot = rows.join(F.broadcast(per_key.filter(is_hot)), key)
+    if per_key.filter(~is_hot).isEmpty():
+        return hot
+    return hot.unionByName(rows.join(per_key.filter(~is_hot), key))

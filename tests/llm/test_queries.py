@@ -15,12 +15,13 @@ def entry():
 
 def test_registered():
     from fernrec.llm.queries import ORACLE_SQL, QUERIES
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry().queries())
     assert set(ORACLE_SQL) <= set(entry().oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op4_decontamination", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_decontamination", "op8_line_dedup", "op11_vector_codes",
+                                  "op12_source_mix", "op13_merkle_manifest"])
 def test_query_matches_sql(spark, name):
     from check_oracle import compare, duck
     got = entry().queries()[name](spark, SF01).toPandas()
