@@ -177,8 +177,8 @@ def _scaled(column: pa.Array, scale: int, parts: int) -> np.ndarray:
         raise ValueError(f"vectors of {sizes[0]} components cannot be cut into {parts} equal parts")
     values = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
     dims = int(sizes[0]) if len(sizes) else 0
-    # (2 m)^2 * dims must fit a long
-    if len(values) and np.abs(values).max() >= math.sqrt(2.0 ** 61 / dims):
+    # every bound below stays under 16 m^2 * dims, which must fit a long
+    if len(values) and np.abs(values).max() >= math.sqrt(2.0 ** 58 / dims):
         raise ValueError("components are too large for exact distances in a long")
     return values.astype(np.int64).reshape(len(sizes), dims)
 
