@@ -10,13 +10,13 @@ skewed partitions (``spark.sql.adaptive.skewJoin``) otherwise.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_partitions, materialize, materialize_observed, release
+from ..session import default_partitions, materialize
+from .kcore import KCoreLimitError, KCoreResult, k_core  # noqa: F401 - part of this module's API
 
 
 def dedup_latest(interactions: DataFrame) -> DataFrame:
@@ -45,96 +45,6 @@ def filter_item_min_count(df: DataFrame, min_count: int, item_col: str = "item_i
     return filter_min_count(df, item_col, min_count)
 
 
-class KCoreLimitError(RuntimeError):
-    """The caller's round limit ran out before the fixpoint."""
-
-
-@dataclass
-class KCoreResult:
-    interactions: DataFrame
-    rounds: int
-    counts: list[int]
-
-
-def k_core(interactions: DataFrame, min_user: int, min_item: int,
-           max_rounds: int | None = None, user_col: str = "user_id", item_col: str = "item_id",
-           input_count: int | None = None) -> KCoreResult:
-    """Repeat (users first, then items) until a round removes nothing.
-
-    Peeling by differences: the rows of every user and item are counted once.
-    A round looks up only the rows of the keys that fall below their minimum
-    and subtracts them from the other side's counts, so it shuffles removed
-    rows and counts, not survivors. The interactions are rewritten when half of
-    them are gone, and once at the end. All tables go to the shared checkpoint
-    folder. Rounds go on to the fixpoint however many it takes; with
-    ``max_rounds`` a core that is not reached by then raises
-    ``KCoreLimitError`` (never a non-core). Pass ``input_count`` when
-    ``interactions`` is already a written table (it is then read as is).
-    """
-    if input_count is None:
-        table, n = materialize(interactions, "kcore_input", count=True)
-    else:
-        table, n = interactions, input_count
-    own = input_count is None
-    sides = ((user_col, item_col, min_user), (item_col, user_col, min_item))
-    least_of = {user_col: min_user, item_col: min_item}
-    dead: dict[str, list[DataFrame]] = {c: [] for c in least_of}
-    degree, low, scratch = {}, {}, []
-
-    def count_rows(c: str, rows: DataFrame) -> int:
-        """Set the side's degrees and number of low keys; the rows they hold."""
-        degree[c], (left, low[c]) = materialize_observed(
-            rows, "degrees", F.sum("_n"), F.count_if(F.col("_n") < F.lit(least_of[c])))
-        scratch.append(degree[c])
-        return left
-
-    def alive(rows: DataFrame, *cols: str) -> DataFrame:
-        for c in cols:
-            if dead[c]:
-                gone = functools.reduce(DataFrame.unionByName, dead[c])
-                rows = rows.join(gone, c, "left_anti")
-        return rows
-
-    for c in least_of:
-        count_rows(c, table.groupBy(c).agg(F.count(F.lit(1)).alias("_n")))
-    counts, held, rounds, left = [n], n, 0, n
-    while True:
-        if max_rounds is not None and rounds >= max_rounds:
-            raise KCoreLimitError(f"no {min_user}/{min_item}-core after {rounds} rounds: "
-                                  f"rows per round {counts}")
-        for c, other, least in sides:
-            if not low[c]:
-                continue
-            bad = degree[c].filter(F.col("_n") < F.lit(least)).select(c)
-            lost = (alive(table.join(bad, c, "left_semi"), other)
-                    .groupBy(other).agg(F.count(F.lit(1)).alias("_lost")))
-            degree[c], low[c] = degree[c].filter(F.col("_n") >= F.lit(least)), 0
-            left = count_rows(other, degree[other].join(lost, other, "left").select(
-                other, (F.col("_n") - F.coalesce("_lost", F.lit(0))).alias("_n"))
-                .filter(F.col("_n") > 0))
-            dead[c].append(bad)
-            if len(dead[c]) == 8:  # a scan has few dead tables to read
-                dead[c] = [materialize(functools.reduce(DataFrame.unionByName, dead[c]),
-                                       "dead_keys")[0]]
-                scratch.append(dead[c][0])
-        rounds += 1
-        counts.append(left)
-        done = left == counts[-2]
-        if done and rounds == 1 and not own:
-            break  # nothing was removed: the given table is the core
-        if done or 2 * left < held:
-            smaller, held = materialize(alive(table, user_col, item_col), "kcore", count=True)
-            if own:
-                release(table)
-            table, own = smaller, True
-            dead = {c: [] for c in least_of}
-        if done:
-            break
-    for df in scratch:
-        release(df)
-    return KCoreResult(table, rounds, counts)
-
-
 def rank_rows(df: DataFrame, order_cols: list[str], rank_col: str,
               num_partitions: int | None = None) -> DataFrame:
     """See ``rank_rows_counted``; returns the frame only."""

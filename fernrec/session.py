@@ -82,25 +82,39 @@ def materialize(df: DataFrame, name: str = "table",
     if count:
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
         df.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        out = _with_place(spark.read.parquet(path), path)
+        out = _with_place(_read_back(df, path), path)
         return out, _observed_rows(obs, out)
     df.write.parquet(path)
-    return _with_place(spark.read.parquet(path), path), None
+    return _with_place(_read_back(df, path), path), None
 
 
-def materialize_observed(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list[int]]:
-    """As ``materialize``, with integer aggregates of the written rows (0 for
-    no rows) observed in the same job."""
+def _read_back(df: DataFrame, path: str) -> DataFrame:
+    """The written ``df``; its schema is known, so no job reads file footers."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list]:
+    """As ``materialize``, with aggregates of the written rows, integers (0 for
+    no rows) or lists, observed in the same job."""
     obs = Observation(f"sums_{uuid.uuid4().hex[:8]}")
     named = [e.alias(f"v{k}") for k, e in enumerate(sums)]
     path = scratch_path(df.sparkSession, name)
     df.observe(obs, *named).write.parquet(path)
-    out = _with_place(df.sparkSession.read.parquet(path), path)
+    out = _with_place(_read_back(df, path), path)
     try:
         seen = obs.get
     except Exception:  # noqa: BLE001 - no task ran: an empty observation row
         seen = out.agg(*named).first().asDict()
-    return out, [int(seen.get(f"v{k}") or 0) for k in range(len(sums))]
+    values = [seen.get(f"v{k}") for k in range(len(sums))]
+    return out, [v if isinstance(v, list) else int(v or 0) for v in values]
+
+
+def write_partitioned(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` in one folder per value of ``key`` and read it back: a
+    filter on ``key`` reads only those folders. ``df`` must not be empty."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(key).parquet(path)
+    return _with_place(_read_back(df, path), path)
 
 
 def _with_place(df: DataFrame, path: str, table: str | None = None) -> DataFrame:

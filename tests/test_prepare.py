@@ -39,6 +39,27 @@ def test_k_core_limit_raises(spark):
     path = [(f"u{k:02d}", f"i{k + d:02d}", 0) for k in range(40) for d in (0, 1)]
     res = k_core(frame(spark, path), 2, 2)
     assert res.counts[-1] == 0 and res.rounds > 12
+    short = frame(spark, path[:12])
+    assert k_core(short, 2, 2, scan_rows=0).counts == k_core(short, 2, 2).counts
+    with pytest.raises(KCoreLimitError):
+        k_core(frame(spark, rows), 2, 2, max_rounds=1, scan_rows=0)
+
+
+def test_k_core_index_spreads_a_hot_key(spark):
+    """An item with a third of all rows is dealt to many tasks of its bucket."""
+    rows = [(f"u{k:03d}", "hot", 0) for k in range(300)]
+    rows += [(f"u{k:03d}", f"i{(k + d) % 300:03d}", 0) for k in range(300) for d in (0, 1)]
+    rows += [("lone", "i000", 0)]
+    res = k_core(frame(spark, rows), 2, 2, scan_rows=0, rows_per_bucket=50)
+    assert res.counts == [901, 900, 900] and res.interactions.count() == 900
+    from fernrec.operators import kcore
+    side = kcore._Side("item_id", "user_id", 2)
+    df = frame(spark, rows)
+    side.add_counts(df.groupBy("item_id").count().withColumnRenamed("count", "_n"))
+    side.build_index(df, len(rows), 50)
+    files = {r.f for r in side.rows.filter("item_id = 'hot'").selectExpr(
+        "input_file_name() AS f").collect()}
+    assert len(files) >= 4
 
 
 def brute_k_core(rows, ku, ki):
@@ -61,6 +82,10 @@ def test_k_core_matches_brute_force(spark, pairs, ku, ki):
     if not rows:
         return
     res = k_core(frame(spark, rows), ku, ki)
+    indexed = k_core(frame(spark, rows), ku, ki, scan_rows=0, rows_per_bucket=5)
+    assert indexed.counts == res.counts
+    assert sorted(map(tuple, indexed.interactions.collect())) == sorted(
+        map(tuple, res.interactions.collect()))
     got = sorted((r.user_id, r.item_id) for r in res.interactions.collect())
     assert got == sorted((u, i) for u, i, _ in brute_k_core(rows, ku, ki))
     # the result is a fixpoint: every user/item keeps the minimum degree
@@ -119,7 +144,16 @@ def test_k_core_rounds_on_order_lines(spark):
     from conftest import SF01
     from fernrec.sources.tables import order_line_interactions
     dd = dedup_latest(order_line_interactions(spark, SF01))
-    assert k_core(dd, 23, 23).counts == [59391, 51353, 48385, 47189, 46773, 46708, 46708]
+    want = [59391, 51353, 48385, 47189, 46773, 46708, 46708]
+    assert k_core(dd, 23, 23).counts == want
+    # the index: later rounds read fewer buckets, down to those of the last dying keys
+    indexed = k_core(dd, 23, 23, scan_rows=0, rows_per_bucket=1000)
+    assert indexed.counts == want and indexed.interactions.count() == want[-1]
+    assert {r["user_id"] for r in indexed.interactions.collect()} == {
+        r["user_id"] for r in k_core(dd, 23, 23).interactions.collect()}
+    share = [read / of for _, read, of in indexed.buckets_read]
+    assert all(of == 52 for *_, of in indexed.buckets_read)
+    assert share[0] > 0.6 and share[-1] <= 0.2
     collapse = k_core(dd, 24, 24)
     assert collapse.counts[:3] == [59391, 47942, 41628] and collapse.counts[-1] == 0
     with pytest.raises(KCoreLimitError):
