@@ -14,18 +14,21 @@ keep their vector.
 
 Distribution (no matrix on the driver, no per-key arrays):
 
-* **Light entities** are hashed into blocks. The vectors of the other side
+* **Light entities** are packed into blocks of at most ``rows_per_block`` rows
+  and one entity (``operators.packing``), dealt evenly to the tasks. The vectors of the other side
   that a block needs are routed to it once per block (``routing`` join), so
   an item vector travels once per block, not once per interaction. One
   Arrow-batched task per block runs the sweep vectorized over all entities
   of the block (``bincount`` segment sums, one pass per coordinate).
 * **Heavy entities** (more rows than ``heavy_threshold``, e.g. an item held
-  by a third of all users) never sit in one task: their rows are bucketed
-  once by the other side's id. Every half-step sends each vector of the other
-  side to its one bucket, where the rows of all heavy entities meet it; a
-  bucket emits, per heavy entity, one row with the partial sums
-  ``A = sum (w-c) y y^T`` (upper triangle) and ``b = w r sum y``. One small
-  task per heavy entity adds them up and solves the same sweep in Gram form ``x_f <- (b_f - sum_{k!=f} T_fk x_k) / (T_ff + lambda)``,
+  by a third of all users) never sit in one task. An entity of n rows is split
+  by a hash of the other side's id into about n / ``heavy_chunk_rows`` cells
+  (a power of two); a part holds the same cell of a few entities with as many
+  splits, so they share the vectors routed to it. A cell emits one row with the
+  partial sums ``A = sum (w-c) y y^T`` (upper triangle) and ``b = w r sum y``;
+  so partial rows follow rows / ``heavy_chunk_rows``, however many entities
+  there are. One small task per heavy entity adds them up and solves the same
+  sweep in Gram form ``x_f <- (b_f - sum_{k!=f} T_fk x_k) / (T_ff + lambda)``,
   ``T = A + m S`` (exact algebra, same fixed point as the direct form).
 """
 
@@ -42,10 +45,13 @@ from pyspark.sql import types as T
 
 from ..session import materialize, materialize_bucketed, release
 from .factors import vec_type
+from .packing import Packing, pack
+from .prepare import rank_rows
 
 _CHUNK = 1 << 16  # rows per vectorized dot-product chunk inside a task
 _ADD_AT_ONCE = 64  # partial sums of an entity added by one task without a level between
-_MAX_BUCKETS = 8192  # files of the bucketed history; blocks beyond share buckets
+_MAX_PARTS = 1 << 15  # files of the bucketed heavy rows; parts beyond share buckets
+_CELL_BITS = 24  # splits of one entity at most
 
 
 @dataclass
@@ -56,9 +62,11 @@ class SideLayout:
     blocks: int
     light: DataFrame     # blk, e, o, c  (+ marker rows o = -1 for heavy entities),
                          # bucketed by blk: read without a shuffle every half-step
+    packing: Packing     # the block of every entity
     routing: DataFrame   # blk, o
-    heavy: DataFrame | None    # part, e, o, c, bucketed by part (a hash of o)
-    heavy_parts: int
+    heavy: DataFrame | None    # part, e, o, c, bucketed by part
+    heavy_routing: DataFrame | None  # part, o
+    heavy_groups: int    # partial sums of an entity are added in so many groups first
     heavy_keys: DataFrame | None  # e, m
     heavy_entities: int
     light_rows: int
@@ -66,9 +74,11 @@ class SideLayout:
 
 def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
                  rows_per_block: int, num_blocks: int | None = None,
-                 heavy_chunk_rows: int | None = None) -> SideLayout:
+                 heavy_chunk_rows: int | None = None,
+                 num_entities: int | None = None) -> SideLayout:
     """Route ``hist`` (user_idx, item_idx, c; a written table, as ``prepare``
-    returns it) for updates of ``side``."""
+    returns it) for updates of ``side``, whose indices run to ``num_entities - 1``
+    (by default to the largest with a row)."""
     if side not in ("user", "item"):
         raise ValueError("side must be 'user' or 'item'")
     e_col, o_col = ("user_idx", "item_idx") if side == "user" else ("item_idx", "user_idx")
@@ -76,44 +86,60 @@ def build_layout(hist: DataFrame, side: str, heavy_threshold: int,
     # ``hist`` is a written table: a renamed projection of it is stable
     rows = hist.select(F.col(e_col).alias("e"), F.col(o_col).alias("o"), "c")
     nnz = rows.count()
-    # at least one block per core; more when a block would exceed rows_per_block
-    blocks = num_blocks or max(spark.sparkContext.defaultParallelism,
-                               math.ceil(nnz / rows_per_block))
-    blk = F.pmod(F.col("e"), F.lit(blocks)).cast("int")
-
+    cores = spark.sparkContext.defaultParallelism
     deg = rows.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("m"))
-    heavy_keys, n_heavy = materialize(
-        deg.filter(F.col("n") > F.lit(heavy_threshold)), f"{side}_heavy_keys", count=True)
+    deg, _ = materialize(deg, f"{side}_degrees")
+    is_heavy = F.col("n") > F.lit(heavy_threshold)
+    heavy_keys, n_heavy = materialize(deg.filter(is_heavy), f"{side}_heavy_keys", count=True)
+    if num_entities is None:
+        num_entities = int(deg.agg(F.max("e")).first()[0] or 0) + 1
 
+    light, heavy, heavy_routing, groups, n_rows = rows, None, None, 1, 0
     if n_heavy:
-        light = rows.join(heavy_keys.select("e"), "e", "left_anti")
         markers = heavy_keys.select("e", F.lit(-1).cast("bigint").alias("o"),
                                     F.lit(0.0).alias("c"))
-        light = light.unionByName(markers)
-        n_rows = heavy_keys.agg(F.sum("n")).first()[0]
-        parts = max(spark.sparkContext.defaultParallelism,
-                    math.ceil(n_rows / (heavy_chunk_rows or heavy_threshold)))
-        heavy = (rows.join(heavy_keys.select("e"), "e")
-                 .select(_part("o", parts).alias("part"), "e", "o", "c"))
+        light = rows.join(heavy_keys.select("e"), "e", "left_anti").unionByName(markers)
+        n_rows, most = heavy_keys.agg(F.sum("n"), F.max("n")).first()
+        chunk = heavy_chunk_rows or heavy_threshold
+        cells = heavy_cells(heavy_keys, chunk, max(1, rows_per_block // chunk))
+        cell = F.pmod(F.xxhash64("o"), F.col("splits"))
+        heavy = rows.join(cells, "e").select(
+            F.col("base").bitwiseOR(cell).alias("part"), "e", "o", "c")
+        parts = min(max(cores, math.ceil(n_rows / chunk)), _MAX_PARTS)
         heavy, _ = materialize_bucketed(heavy, f"{side}_heavy", "part", parts)
-    else:
-        light, heavy, heavy_keys, parts = rows, None, None, 0
+        heavy_routing, _ = materialize(heavy.select("part", "o").distinct(), f"{side}_heavy_routing")
+        splits = 1 << max(0, math.ceil(most / chunk) - 1).bit_length()
+        groups = math.isqrt(splits) if splits > _ADD_AT_ONCE else 1
 
-    buckets = min(blocks, _MAX_BUCKETS)
-    light, n_light = materialize_bucketed(light.select(blk.alias("blk"), "e", "o", "c"),
-                                          f"{side}_light", "blk", buckets)
+    # at least one block per core; more when a block would exceed rows_per_block
+    total = nnz - n_rows + num_entities
+    size = math.ceil(total / (num_blocks or cores))
+    packing = pack(deg.filter(~is_heavy), num_entities,
+                   max(1, size if num_blocks else min(size, rows_per_block)))
+    light, n_light = materialize_bucketed(packing.with_block(light, "e").select("blk", "e", "o", "c"),
+                                          f"{side}_light", "blk", packing.buckets)
     routing, _ = materialize(
         light.filter(F.col("o") >= 0).select("blk", "o").distinct(), f"{side}_routing")
-    return SideLayout(side, blocks, light, routing, heavy, parts, heavy_keys, n_heavy, n_light)
+    release(deg)
+    return SideLayout(side, packing.blocks, light, packing, routing, heavy, heavy_routing, groups,
+                      heavy_keys, n_heavy, n_light)
 
 
-def _part(col: str, parts: int):
-    return F.pmod(F.xxhash64(col), F.lit(parts)).cast("int")
+def heavy_cells(heavy_keys: DataFrame, chunk: int, together: int) -> DataFrame:
+    """``e, splits, base``: an entity of n rows has the power of two from n /
+    ``chunk`` up as splits; ``base + cell`` numbers its parts, which it shares
+    with up to ``together - 1`` entities of as many splits."""
+    doubled = F.ceil(F.log2(F.ceil(F.col("n") / F.lit(chunk)).cast("double")))
+    splits = F.pow(F.lit(2.0), doubled).cast("bigint")
+    ranked = rank_rows(heavy_keys.select("e", splits.alias("splits")), ["splits", "e"], "r")
+    return ranked.select("e", "splits", (F.floor(F.col("r") / F.lit(together))
+                                         * F.lit(1 << _CELL_BITS)).alias("base"))
 
 
 def release_layout(layout: SideLayout) -> None:
     """Delete the scratch tables of a layout once training is done."""
-    for df in (layout.light, layout.routing, layout.heavy, layout.heavy_keys):
+    for df in (layout.light, layout.routing, layout.heavy, layout.heavy_routing, layout.heavy_keys,
+               layout.packing.ranges):
         release(df)
 
 
@@ -200,7 +226,7 @@ def _heavy_partial(k: int, w: float, r: float, groups: int):
                 a = yo.T @ (yo * (w - c[own])[:, None])
                 out_e.append(int(e[own[0]]))
                 out_v.append(np.concatenate([a[upper], w * r * yo.sum(axis=0)]))
-        group = int(rows["part"].iloc[0]) % groups if len(rows) else 0
+        group = (int(rows["part"].iloc[0]) & ((1 << _CELL_BITS) - 1)) % groups if len(rows) else 0
         return pd.DataFrame({"e": np.array(out_e, np.int64),
                              "g": np.full(len(out_e), group, np.int32),
                              "sums": pd.Series(out_v, dtype=object)})
@@ -241,11 +267,9 @@ def half_step(layout: SideLayout, vecs: DataFrame, other: DataFrame, s: np.ndarr
     k = s.shape[0]
     vt = vec_type(dtype)
     out_schema = T.StructType([T.StructField("idx", T.LongType()), T.StructField("vec", vt)])
-    b = layout.blocks
     # only vectors move: the static history side is bucketed by blk already
-    ents = vecs.select(F.pmod(F.col("idx"), F.lit(b)).cast("int").alias("blk"),
-                       F.lit(0).alias("kind"), F.col("idx").alias("id"),
-                       F.col("vec").cast(vt).alias("vec"))
+    ents = layout.packing.with_block(vecs, "idx").select(
+        "blk", F.lit(0).alias("kind"), F.col("idx").alias("id"), F.col("vec").cast(vt).alias("vec"))
     routed = layout.routing.join(
         other.select(F.col("idx").alias("o"), F.col("vec").cast(vt).alias("vec")), "o"
     ).select("blk", F.lit(1).alias("kind"), F.col("o").alias("id"), "vec")
@@ -255,14 +279,14 @@ def half_step(layout: SideLayout, vecs: DataFrame, other: DataFrame, s: np.ndarr
                                         observed_value, dtype), out_schema))
     if layout.heavy is None:
         return out
-    groups = math.isqrt(layout.heavy_parts) if layout.heavy_parts > _ADD_AT_ONCE else 1
-    # one vector per part and id; the rows are bucketed by part already
-    sent = other.select(_part("idx", layout.heavy_parts).alias("part"), F.col("idx").alias("o"),
-                        F.col("vec").cast(vt).alias("vec"))
+    groups = layout.heavy_groups
+    # one vector per part that needs it; the rows are bucketed by part already
+    sent = layout.heavy_routing.join(
+        other.select(F.col("idx").alias("o"), F.col("vec").cast(vt).alias("vec")), "o")
     sums = (layout.heavy.groupBy("part").cogroup(sent.groupBy("part"))
             .applyInPandas(_heavy_partial(k, observed_weight, observed_value, groups),
                            "e bigint, g int, sums array<double>"))
-    if groups > 1:  # two levels: no task adds up more than sqrt(parts) rows of an entity
+    if groups > 1:  # two levels: no task adds up more than about sqrt(splits) rows of an entity
         sums = sums.groupBy("e", "g").applyInPandas(_add_sums, "e bigint, sums array<double>")
     cur = (vecs.select(F.col("idx").alias("e"), F.col("vec").cast(vt).alias("vec"))
            .join(layout.heavy_keys.select("e", "m"), "e"))

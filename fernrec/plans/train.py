@@ -37,9 +37,9 @@ def initial_factors(prep: Prepared, model: ModelConfig) -> tuple[DataFrame, Data
 
 def layouts(prep: Prepared, runtime: RuntimeConfig) -> tuple[SideLayout, SideLayout]:
     users = build_layout(prep.hist, "user", runtime.heavy_threshold, runtime.rows_per_block,
-                         heavy_chunk_rows=runtime.heavy_chunk_rows)
+                         heavy_chunk_rows=runtime.heavy_chunk_rows, num_entities=prep.num_users)
     items = build_layout(prep.hist, "item", runtime.heavy_threshold, runtime.rows_per_block,
-                         heavy_chunk_rows=runtime.heavy_chunk_rows)
+                         heavy_chunk_rows=runtime.heavy_chunk_rows, num_entities=prep.num_items)
     return users, items
 
 

@@ -177,3 +177,46 @@ def test_layout_release_deletes_tables(spark):
     assert not any(os.path.exists(p) for p in paths)
     after = {t.name for t in spark.catalog.listTables() if t.name.startswith("fernrec_")}
     assert len(after) == len(tables) - 2  # light and heavy rows
+
+
+def test_blocks_are_bounded_and_dealt_evenly(spark):
+    """No block has more rows than rows_per_block and one entity; every bucket
+    of the table has the same number of blocks."""
+    from fernrec.operators.packing import bucket_labels
+    rng = np.random.default_rng(3)
+    sizes = rng.zipf(1.5, size=300).clip(0, 60) * (rng.random(300) < 0.8)
+    rows = [(u, i, 0.5) for u, n in enumerate(sizes) for i in range(n)]
+    hist = spark.createDataFrame(rows, "user_idx bigint, item_idx bigint, c double")
+    layout = build_layout(hist, "user", heavy_threshold=1000, rows_per_block=50, num_entities=300)
+    held = layout.light.groupBy("blk").count().collect()
+    assert sum(r["count"] for r in held) == len(rows) and layout.blocks >= len(rows) / 110
+    assert max(r["count"] for r in held) <= 50 + 60
+    # entities without rows count, too
+    every = layout.packing.with_block(spark.range(310), "id").groupBy("blk").count().collect()
+    assert sum(r["count"] for r in every) == 310 and max(r["count"] for r in every) <= 50 + 1 + 10
+    labels = bucket_labels(spark, 20, 8)
+    dealt = labels.selectExpr("pmod(hash(label), 8) AS p", "no").collect()
+    assert sorted(r.no for r in dealt) == list(range(20)) and all(r.no % 8 == r.p for r in dealt)
+
+
+def test_many_medium_heavy_entities(spark):
+    """A thousand heavy entities: partial rows follow rows / chunk, parts stay
+    small, and the step is the scalar sweep."""
+    rng = np.random.default_rng(4)
+    n_e, n_o, k, chunk = 1000, 60, 2, 10
+    sizes = rng.integers(21, 45, size=n_e)
+    rows = [(u, int(i), 0.25) for u, n in enumerate(sizes) for i in rng.permutation(n_o)[:n]]
+    hist = spark.createDataFrame(rows, "user_idx bigint, item_idx bigint, c double")
+    layout = build_layout(hist, "user", heavy_threshold=20, rows_per_block=40,
+                          heavy_chunk_rows=chunk, num_entities=n_e)
+    assert layout.heavy_entities == n_e and layout.heavy.count() == len(rows)
+    partial = layout.heavy.select("part", "e").distinct().count()
+    assert partial <= 2 * len(rows) / chunk
+    assert layout.heavy.groupBy("part", "e").count().agg({"count": "max"}).first()[0] <= 3 * chunk
+    assert layout.heavy.groupBy("part").count().agg({"count": "max"}).first()[0] <= 3 * 40
+    p, q = rng.normal(size=(n_e, k)), rng.normal(size=(n_o, k))
+    s = q.T @ q
+    out = half_step(layout, vecs(spark, enumerate(p)), vecs(spark, enumerate(q)), s, 0.1,
+                    dtype="float64")
+    exp = scalar_sweep(p, q, rows, s, 0.1, 1.0, 1.0, "user", np.full(n_o, 0.25))
+    assert np.allclose(as_matrix(out, n_e, k), exp, atol=1e-9)
