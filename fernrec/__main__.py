@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--item", default="item_id")
     ap.add_argument("--ts", default="ts")
     ap.add_argument("--out", required=True, help="artifact folder")
+    ap.add_argument("--state", help="folder on the shared store; a run that was lost goes on from it")
     ap.add_argument("--master", default=None, help="e.g. local[8]; default: from spark-submit")
     # every other option is a field of ModelConfig or RuntimeConfig
     for config in (ModelConfig, RuntimeConfig):
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         interactions = interactions_from_table(spark.read.parquet(args.table), args.user,
                                                args.item, args.ts)
-    result = run(interactions, model, runtime)
+    result = run(interactions, model, runtime, args.state)
     save_artifacts(result, args.out, model)
     print(metrics_json(result.metrics))
     return 0

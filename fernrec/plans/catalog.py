@@ -32,7 +32,8 @@ from . import oracle as O
 from .end_to_end import (load_factors, load_id_maps, load_metrics, load_stats, load_train_log, run,
                          save_artifacts)
 from .prepare import Prepared, prepare
-from .train import initial_factors, item_step, layouts, user_step
+from .store import load_prepared, save_prepared
+from .train import initial_factors, item_step, layouts, train, user_step
 
 # Parameters of the checks (fixed per query, never tuned per result).
 EV_MODEL = ModelConfig(factors=4, reg_lambda=0.01, c0=16.0, alpha=0.5, iterations=1, topk=10,
@@ -260,6 +261,23 @@ def q_train_one_iteration(spark, sf_dir):
     return _long(p1, "user", 6).unionByName(_long(q1, "item", 6))
 
 
+def q_prepared_roundtrip(spark, sf_dir):
+    """The prepared set saved, loaded, and trained from."""
+    path = scratch_path(spark, "prepared")
+    save_prepared(ev_prepared(spark, sf_dir), path)
+    fitted = train(load_prepared(spark, path), EV_MODEL, RuntimeConfig(heavy_threshold=60))
+    return _long(fitted.p, "user", 6).unionByName(_long(fitted.q, "item", 6))
+
+
+def q_resumed_training(spark, sf_dir):
+    """A run that committed its iteration and is started again."""
+    prep, state = ev_prepared(spark, sf_dir), scratch_path(spark, "training")
+    runtime = RuntimeConfig(heavy_threshold=60, rows_per_block=500)
+    train(prep, EV_MODEL, runtime, state=state)
+    fitted = train(prep, EV_MODEL, runtime, state=state)
+    return _long(fitted.p, "user", 6).unionByName(_long(fitted.q, "item", 6))
+
+
 # ---------------------------------------------------------------- evaluation
 
 def _ranks(spark, sf_dir):
@@ -415,6 +433,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_half_step": q_user_half_step,
     "item_half_step": q_item_half_step,
     "train_one_iteration": q_train_one_iteration,
+    "prepared_roundtrip": q_prepared_roundtrip,
+    "resumed_training": q_resumed_training,
     "heldout_rank": q_heldout_rank,
     "hr_ndcg_per_user": q_hr_ndcg_per_user,
     "heldout_rank_ties": q_heldout_rank_ties,
@@ -519,8 +539,9 @@ def oracle_sql() -> dict[str, str]:
         "user_half_step": O.with_(model_ctes, O.vec_long(p1, k, 6, "user")),
         "item_half_step": O.with_(ev_prep + O.init_ctes(m) + [O.gram_cte("sp0", "p0", k, False)]
                                   + ui, O.vec_long(qi_final, k, 6, "item")),
-        "train_one_iteration": O.with_(model_ctes, O.vec_long(p1, k, 6, "user") + " UNION ALL "
-                                       + O.vec_long(q1, k, 6, "item")),
+        **dict.fromkeys(("train_one_iteration", "prepared_roundtrip", "resumed_training"),
+                        O.with_(model_ctes, O.vec_long(p1, k, 6, "user") + " UNION ALL "
+                                + O.vec_long(q1, k, 6, "item"))),
         "heldout_rank": O.with_(ranked, "SELECT user_idx, test_item_idx, rank FROM rk"),
         "hr_ndcg_per_user": O.with_(ranked, per_user),
         "heldout_rank_ties": O.with_(

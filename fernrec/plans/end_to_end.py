@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import ModelConfig, RuntimeConfig
 from ..operators.scoring import evaluate
 from .prepare import Prepared, prepare
+from .store import load_prepared, newest, save_prepared
 from .train import Model, train
 
 
@@ -43,11 +44,19 @@ def check_prepared(prep: Prepared) -> None:
 
 
 def run(interactions: DataFrame, model: ModelConfig,
-        runtime: RuntimeConfig | None = None) -> RunResult:
+        runtime: RuntimeConfig | None = None, state: str | None = None) -> RunResult:
+    """``state``: a folder to keep the prepared set and the training state in; a
+    run started again with it goes on where the last one stopped."""
     runtime = runtime or RuntimeConfig()
-    prep = prepare(interactions, model, runtime)
+    spark = interactions.sparkSession
+    if state and newest(spark, f"{state}/prepared") is not None:
+        prep = load_prepared(spark, f"{state}/prepared")
+    else:
+        prep = prepare(interactions, model, runtime)
+        if state:
+            save_prepared(prep, f"{state}/prepared")
     check_prepared(prep)
-    fitted = train(prep, model, runtime)
+    fitted = train(prep, model, runtime, state=f"{state}/training" if state else None)
     t = time.time()
     per_user, metrics = evaluate(
         prep.test, prep.train, fitted.p, fitted.q, model.topk, prep.num_users,

@@ -12,6 +12,7 @@ from ..operators.factors import gram_matrix, init_factors
 from ..operators.halfstep import SideLayout, build_layout, half_step, release_layout
 from ..session import materialize, release
 from .prepare import Prepared
+from .store import load_iteration, save_iteration
 
 
 @dataclass
@@ -58,27 +59,35 @@ def item_step(layout: SideLayout, q: DataFrame, p: DataFrame, model: ModelConfig
 
 def train(prep: Prepared, model: ModelConfig, runtime: RuntimeConfig | None = None,
           p: DataFrame | None = None, q: DataFrame | None = None,
-          iterations: int | None = None) -> Model:
+          iterations: int | None = None, state: str | None = None) -> Model:
     """Per iteration: S^q -> all users, then S^p from the new P -> all items.
 
     Each half-step's factor table is written to the shared checkpoint folder
     (lineage stays one half-step long, any lost executor only redoes its
     tasks); the table it replaces is deleted after the write.
+
+    With ``state``, a folder on the shared store, every finished iteration is
+    committed there (``plans.store``), and a run whose driver was lost goes on
+    after the newest committed one when it is started again. Given ``p`` and
+    ``q`` are only used when there is none.
     """
     runtime = runtime or RuntimeConfig()
-    if p is None or q is None:
+    sc = prep.train.sparkSession.sparkContext
+    sc.setJobDescription("fernrec train: init + layouts")
+    n_iter = model.iterations if iterations is None else iterations
+    found = load_iteration(state, prep, model) if state else None
+    log = []
+    if found:
+        p, q, log = found
+    else:
         p0, q0 = initial_factors(prep, model)
-        p = p if p is not None else p0
-        q = q if q is not None else q0
-    p.sparkSession.sparkContext.setJobDescription("fernrec train: init + layouts")
-    p, _ = materialize(p, "p0")
-    q, _ = materialize(q, "q0")
+        p, _ = materialize(p if p is not None else p0, "p0")
+        q, _ = materialize(q if q is not None else q0, "q0")
+    if len(log) >= n_iter:
+        return Model(p, q, log)
     user_layout, item_layout = layouts(prep, runtime)
-    log = []
-    n_iter = model.iterations if iterations is None else iterations
-    sc = p.sparkSession.sparkContext
     try:
-        for it in range(1, n_iter + 1):
+        for it in range(len(log) + 1, n_iter + 1):
             t = time.time()
             sc.setJobDescription(f"fernrec train: iteration {it} users")
             p_new, _ = materialize(user_step(user_layout, p, q, prep.weights, model), f"p{it}")
@@ -89,6 +98,11 @@ def train(prep: Prepared, model: ModelConfig, runtime: RuntimeConfig | None = No
             release(q)
             q = q_new
             log.append({"iteration": it, "seconds": time.time() - t})
+            if state:
+                p_new, q_new = save_iteration(state, prep, model, p, q, log)
+                release(p)
+                release(q)
+                p, q = p_new, q_new
     finally:
         for layout in (user_layout, item_layout):
             release_layout(layout)
