@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +83,21 @@ def token_entropy(ids: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum() / np.log2(len(ids)))
 
 
+def _figures(text: bytes, lang: str | None, words: np.ndarray, ids: np.ndarray,
+             is_byte: np.ndarray | None) -> tuple:
+    """The figures of one text: ``words`` are numbers of its words, ``ids`` its tokens."""
+    chars = len(text.decode("utf-8", "replace")) if not text.isascii() else len(text)
+    # code points in words: all but ASCII white space
+    chars -= len(text) - len(text.translate(None, b" \t\n\v\f\r"))
+    n = len(ids)
+    return (len(words), chars, len(text.translate(None, _SYMBOL_TABLE)),
+            repeated_lines(text), repeat_words(words), n, chars / n if n else 0.0,
+            n / len(words) if len(words) else 0.0,
+            float(is_byte[ids].mean()) if n and is_byte is not None else 0.0,
+            token_entropy(ids), lang if lang is not None else
+            "script:" + script_of(text.decode("utf-8", "replace")))
+
+
 def _measure(path: str):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -91,21 +105,13 @@ def _measure(path: str):
         for batch in batches:
             rows = []
             langs = batch.column("lang").to_pylist()
-            texts = chain.from_iterable(t for _, t in text_slices(batch.column("text")))
-            for text, lang in zip(texts, langs):
-                words = text.split()
-                places, found, _ = enc.encode_words(words)
-                chars = len(text.decode("utf-8", "replace")) if not text.isascii() else len(text)
-                # code points in words: all but ASCII white space
-                chars -= len(text) - sum(map(len, words))
-                n = len(found)
-                rows.append((
-                    len(words), chars, len(text.translate(None, _SYMBOL_TABLE)),
-                    repeated_lines(text), repeat_words(places), n, chars / n if n else 0.0,
-                    n / len(words) if words else 0.0,
-                    float(is_byte[found].mean()) if n and is_byte is not None else 0.0,
-                    token_entropy(found), lang if lang is not None else
-                    "script:" + script_of(text.decode("utf-8", "replace"))))
+            for lo, texts in text_slices(batch.column("text")):
+                for first, sizes, places in enc.pieces(texts):
+                    ids, ends = enc.ids_of(places)
+                    stops = np.cumsum(sizes).tolist()
+                    for k, (size, stop) in enumerate(zip(sizes.tolist(), stops), first):
+                        rows.append(_figures(texts[k], langs[lo + k], places[stop - size:stop],
+                                             ids[ends[stop - size]:ends[stop]], is_byte))
             columns = list(zip(*rows)) if rows else [()] * 11
             kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays(

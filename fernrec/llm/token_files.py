@@ -21,7 +21,7 @@ occurrence) from the planes alone, without expanding the ids.
 
 Edge cases: a null text is empty and gives just the end id; null ids sort
 first; repeated rows are kept, each a document of its own; rows with equal ids
-are ordered by text; other columns are ignored; an empty table gives no shard.
+are ordered by a hash of the text; other columns are ignored; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -230,8 +230,13 @@ def write_token_files(docs: DataFrame, path: str | None = None, id_col: str = "d
     path = path or scratch_path(spark, "token_files")
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ranged = (rows.repartitionByRange(partitions or default_partitions(spark), "doc_id")
-              .sortWithinPartitions("doc_id", "text")
+    # equal ids are told apart by text, equal rows by their place in the input,
+    # so no id holds one task
+    order = ["doc_id", "_digest", "_tie"]
+    ranged = (rows.withColumn("_digest", F.xxhash64("text"))
+              .withColumn("_tie", F.monotonically_increasing_id())
+              .repartitionByRange(partitions or default_partitions(spark), *order)
+              .sortWithinPartitions(*order)
               .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
     (ranged.mapInArrow(_shards(tokenizer or vocabulary_path(WORD_BPE), end_id, shard_tokens),
                        f"part int, seq bigint, before bigint, doc_ids array<{kind}>, n_ids bigint, "

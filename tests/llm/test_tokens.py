@@ -8,7 +8,9 @@ import pytest
 
 from fernrec.llm.token_counts import count_tokens
 from fernrec.llm.token_files import WaveletMatrix, build_file, token_digests
-from fernrec.llm.tokens import PIECE_BPE, WORD_BPE, encoder, load_tokenizer, vocabulary_path
+from fernrec.llm import tokens
+from fernrec.llm.tokens import (PIECE_BPE, WORD_BPE, WordEncoder, encoder, load_tokenizer,
+                                vocabulary_path)
 
 SCHEMA = "doc_id bigint, text string"
 ODD = [None, "", "  \n\t", "a<|endoftext|>b c<|startoftext|>", "é x́ ́a  ", "x\x85y z\x1cq",
@@ -36,7 +38,6 @@ def test_encoder_equals_the_library():
 
 
 def test_memo_bound_changes_nothing():
-    from fernrec.llm.tokens import WordEncoder
     small = WordEncoder(vocabulary_path(WORD_BPE), memo_words=10, memo_bytes=100)
     texts = [f"word{k} other{k % 7} the end" .encode() for k in range(300)]
     for lo in range(0, 300, 20):
@@ -108,3 +109,45 @@ def test_files_round_trip(spark):
     keys = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert keys == sorted(keys)
     assert token_digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_memo_rows_are_the_pieces(monkeypatch):
+    """Pieces as ``split`` gives them, ends and odd bytes included; equal rows
+    for equal pieces; hashes that collide decide nothing."""
+    enc = WordEncoder(vocabulary_path(WORD_BPE))
+    texts = [b"", b"  ", b" a b\x0b\x0ca \r\n", "é x y a\x1cb".encode(), b"a" * 9000 + b" b", b"a b"]
+    groups = list(enc.pieces(texts))
+    assert len(groups) == 1 and groups[0][1].tolist() == [len(t.split()) for t in texts]
+    words = [w for t in texts for w in t.split()]
+    rows = groups[0][2].tolist()
+    assert len(rows) == len(words) and len(set(zip(words, rows))) == len(set(words)) == len(set(rows))
+    want = enc.encode(texts).ids.tolist()
+    monkeypatch.setattr(tokens, "_POWERS", np.zeros_like(tokens._POWERS))  # every hash is the same
+    alike = WordEncoder(vocabulary_path(WORD_BPE))
+    assert [alike.encode(texts).ids.tolist() for _ in range(3)] == [want] * 3
+    assert len(set(alike.hashes.tolist())) == 1
+
+
+def test_memo_stays_within_its_bytes():
+    rng = np.random.default_rng(5)
+    small = WordEncoder(vocabulary_path(WORD_BPE), memo_words=4000, memo_bytes=150_000)
+    whole = WordEncoder(vocabulary_path(WORD_BPE))
+    for _ in range(30):
+        text = b" ".join(b"w%d" % n for n in rng.zipf(1.3, 800).clip(0, 10 ** 9))
+        assert (small.encode([text]).ids == whole.encode([text]).ids).all()
+        assert small.memory() <= 150_000 + 60 * 800 and len(small.lens) <= 4800
+
+
+def test_hot_id_is_spread(spark):
+    """A third of all rows under one id, and copies of one row, fill many shards' tasks."""
+    rows = [(7 if k % 3 else None, f"text {k} " * 5) for k in range(60)] + [(9, "same")] * 60
+    rows += [(100 + k, f"other {k}") for k in range(60)]
+    from fernrec.llm.token_files import read_token_digests, write_token_files
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    files = spark.read.parquet(write_token_files(docs, partitions=6))
+    held = [r.n for r in files.selectExpr("part", "size(doc_ids) AS n").groupBy("part").sum("n")
+            .withColumnRenamed("sum(n)", "n").collect()]
+    assert len(held) >= 5 and max(held) <= 80
+    got = sorted((r.start, r.doc_id) for r in read_token_digests(files).collect())
+    ids = [d for _, d in got]
+    assert len(got) == 180 and ids == sorted(ids, key=lambda d: (d is not None, d or 0))
