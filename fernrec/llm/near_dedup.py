@@ -24,7 +24,8 @@ with probability (1 - s^rows)^bands: 4e-7 at 0.8 with 28 x 4. Links confirmed
 are exact.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and
-kept; rows equal in id and text are one document and get equal rows; ids are
+kept; rows equal in id and text are one document and get equal rows (and one of
+them stays in ``keep_one_of_each``); ids are
 ordered ascending with null last, ties by text digest; other columns are
 ignored; an empty table gives no rows.
 """
@@ -198,7 +199,9 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
-    """_k (row key), doc_id, n_shingles, component_id, kept of every row."""
+    """_k (row key), doc_id, n_shingles, component_id, first (the row, or an
+    equal one, is the first of its component) and kept (doc_id is component_id)
+    of every row."""
     words = F.filter(F.split(ascii_lower(whole_text(text_col)), r"[\x20\x09-\x0D]+"),
                      lambda w: w != F.lit(""))
     hashed = docs.select(row_key(id_col, text_col).alias("_k"), F.col(id_col).alias("doc_id"),
@@ -223,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("_k", "doc_id", "n_shingles",
                     F.when(F.col("head").isNull(), F.col("doc_id"))
                     .otherwise(F.col("head.doc_id")).alias("component_id"),
-                    F.coalesce(F.col("head._k") == F.col("_k"), F.lit(True)).alias("kept")))
+                    F.coalesce(F.col("head._k") == F.col("_k"), F.lit(True)).alias("first"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def _pivots(rows: DataFrame, lanes: int, used: DataFrame | None) -> DataFrame:
@@ -362,7 +366,17 @@ def _open_links(apart: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: i
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      **options) -> DataFrame:
-    """The documents that are the first of their component, all columns kept."""
-    gone = (near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept"))
-            .select(F.col("_k").alias("_gone_key")))
-    return docs.join(gone, row_key(id_col, text_col) == F.col("_gone_key"), "left_anti")
+    """The documents that are the first of their component, all columns kept;
+    of rows equal in id and text one stays."""
+    found = written(near_duplicates(docs, id_col, text_col, **options).groupBy("_k").agg(
+        F.first("first").alias("first"), F.count(F.lit(1)).alias("n")), "near_rows")
+    key = row_key(id_col, text_col)
+    # all but the keys that need nothing: others are few or none
+    gone = found.filter(~F.col("first") | (F.col("n") > 1)).select(F.col("_k").alias("_key"))
+    kept = docs.join(gone, key == F.col("_key"), "left_anti")
+    repeated = found.filter(F.col("first") & (F.col("n") > 1)).select(F.col("_k").alias("_key"))
+    if repeated.isEmpty():
+        return kept
+    once = docs.withColumn("_near_key", key).join(
+        repeated, F.col("_near_key") == F.col("_key"), "left_semi").dropDuplicates(["_near_key"])
+    return kept.unionByName(once.select(*docs.columns))

@@ -41,7 +41,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("_k")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("_k", "first")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, whole_text, written
+from .common import crc_mod, row_key, whole_text, written
 from .decontamination import words_of
 
 BITS = 22
@@ -158,10 +158,11 @@ def _scan(shared):
                 chances = sorted(-math.expm1(-e) for *_, e in rated)
                 evidence[d] = sum(min(-math.log10(max(c, 1e-30)), 30.0) for k, c in
                                   enumerate(chances) if k == 0 or c <= model.max_e)
-            names = ["doc_id", "in_train", "toxic", "n_words", "n_segments", "best", "evidence",
+            names = ["_k", "doc_id", "in_train", "toxic", "n_words", "n_segments", "best", "evidence",
                      "passages"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("in_train"), batch.column("toxic"),
+                [batch.column("_k"), batch.column("doc_id"), batch.column("in_train"),
+                 batch.column("toxic"),
                  pa.array(np.diff(offsets)), pa.array(above), pa.array(best), pa.array(evidence),
                  pa.array(found, passages)], names=names)
     return scan
@@ -202,15 +203,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    bits: int = BITS, prior: float = 0.02, z_min: float = 4.5,
                    min_odds: float = 1.0, drift: float = 0.05, max_e: float = 0.01,
                    fit_rows: int = 100_000) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_words, best, evidence, passages of
-    every row. Trained on labelled ids whose crc32 is not 0 modulo
+    """_k (row key), doc_id, held_out, score, predicted, n_words, best, evidence,
+    passages of every row. Trained on labelled ids whose crc32 is not 0 modulo
     ``held_out_mod``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       row_key(id_col, text_col).alias("_k"))
+    known = written(labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("doc_id"))
              .agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
-             .filter(crc_mod(F.col("doc_id"), held_out_mod) != 0))
+             .filter(crc_mod(F.col("doc_id"), held_out_mod) != 0), "known_labels")
     counts = written(_word_counts(rows, known, bits), "toxic_counts")
     sums = counts.agg(F.sum("t"), F.sum("c")).first()
     totals = {1: sums[0] or 0.0, 0: sums[1] or 0.0}
@@ -230,11 +232,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         place = F.broadcast(place)
     kind = rows.schema["doc_id"].dataType.simpleString()
     scanned = written(
-        rows.select("doc_id", _buckets("text", bits).alias("buckets"))
+        rows.select("_k", "doc_id", _buckets("text", bits).alias("buckets"))
         .join(place, "doc_id", "left")
-        .select("doc_id", F.coalesce("in_train", F.lit(False)).alias("in_train"), "toxic",
+        .select("_k", "doc_id", F.coalesce("in_train", F.lit(False)).alias("in_train"), "toxic",
                 "buckets")
-        .mapInArrow(_scan(shared), f"doc_id {kind}, in_train boolean, toxic int, n_words bigint, "
+        .mapInArrow(_scan(shared), f"_k string, doc_id {kind}, in_train boolean, toxic int, n_words bigint, "
                     "n_segments bigint, best double, evidence double, passages array<struct<"
                     "first_word:bigint,last_word:bigint,score:double,e_value:double>>"),
         "toxic_scan")
@@ -255,7 +257,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         model.weights = (-30.0, 0.0)
     a, b = model.weights
     score = F.lit(1.0) / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence"))))
-    return (scanned.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_out_mod) == 0,
+    return (scanned.select("_k", "doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_out_mod) == 0,
                                                 F.lit(False)).alias("held_out"),
                            score.alias("score"), "n_words", "best", "evidence", "passages")
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
@@ -263,9 +265,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                text_col: str = "text", **options) -> DataFrame:
-    """The documents not predicted toxic, all columns kept. A row goes if any
-    row with its id is predicted toxic; rows with a null id stay only if no
-    such row is."""
+    """The documents not predicted toxic, all columns kept. Rows go one by one:
+    another text of the same id, or of no id, stays."""
     bad = (score_toxicity(docs, labels, id_col, text_col, **options)
-           .filter(F.col("predicted") == 1).select(F.col("doc_id").alias("_bad_id")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+           .filter(F.col("predicted") == 1).select(F.col("_k").alias("_bad_key")).distinct())
+    return docs.join(bad, row_key(id_col, text_col) == F.col("_bad_key"), "left_anti")

@@ -103,3 +103,14 @@ def test_little(spark, rows):
     same(spark, rows) if rows else None
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == len(rows)
+
+
+def test_repeated_ids_and_rows(spark):
+    """``kept`` follows the ids; one of equal rows stays, whatever their share."""
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text), (1, text + " z"), (2, "a b"), (2, "a b"), (3, None), (3, None)] + [(4, "hot row")] * 9
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = near_duplicates(df).collect()
+    assert len(got) == len(rows) and all(r.kept and r.component_id == r.doc_id for r in got)
+    left = sorted(((r.doc_id, r.text) for r in keep_one_of_each(df).collect()), key=str)
+    assert left == sorted([(1, text), (2, "a b"), (3, None), (4, "hot row")], key=str)

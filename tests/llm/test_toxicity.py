@@ -131,3 +131,15 @@ def test_odds_do_not_shrink_as_the_corpus_grows(spark, monkeypatch):
         assert (row.t, row.c) == (n // 2 * 20 // 50, n // 2 // 50)
         kept[-1] = found.filter(F.col("bucket") == bucket).first().score
     assert abs(kept[0] - kept[1]) < 0.05 and kept[1] > 2.5
+
+
+def test_rows_go_one_by_one(spark):
+    """A toxic text takes no other text of its id, or of no id, with it."""
+    docs, labels = corpus(300)
+    bad = next(t for d, t in docs if d % 6 == 0)
+    clean = next(t for d, t in docs if d % 6)
+    extra = [(None, bad), (None, clean), (5000, bad), (5000, clean), (5001, bad), (5001, bad)]
+    left = drop_toxic(spark.createDataFrame(docs + extra, DOCS), spark.createDataFrame(labels, LABELS))
+    rows = [tuple(r) for r in left.collect()]
+    assert sorted((str(d), t) for d, t in rows if d is None or d >= 5000) == sorted(
+        [("None", clean), ("5000", clean)])
