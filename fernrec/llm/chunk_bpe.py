@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import lean, whole_text, written
 from .near_dedup import mix64
 from .tokens import WORD_BPE, WordEncoder, encoder, text_slices, vocabulary_path
 
@@ -291,7 +291,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        whole_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     cores = written(rows.mapInArrow(
-        _cores, f"doc_id {kind}, t bigint, seq int, h1 bigint, h2 bigint"), "cores")
+        lean(_cores), f"doc_id {kind}, t bigint, seq int, h1 bigint, h2 bigint"), "cores")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "seq")
     shared = (cores.groupBy("h1", "h2").agg(F.min(place).alias("owner"), F.max(place).alias("last"))
               .filter(F.col("owner") != F.col("last")).select("h1", "h2", "owner"))
@@ -300,11 +300,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                              .alias("own")).alias("s"))
              .groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
              .agg(F.collect_set("s").alias("shared")))
-    packed = rows.mapInArrow(_compress, f"doc_id {kind}, t bigint, z binary")
+    packed = rows.mapInArrow(lean(_compress), f"doc_id {kind}, t bigint, z binary")
     met = (packed.join(flags, packed["doc_id"].eqNullSafe(flags["_id"])
                        & (packed["t"] == flags["_t"]), "left").select("doc_id", "t", "z", "shared"))
     encoded = written(met.mapInArrow(
-        _encode(path, full), f"doc_id {kind}, t bigint, kind int, seq int, h1 bigint, h2 bigint, "
+        lean(_encode(path, full)), f"doc_id {kind}, t bigint, kind int, seq int, h1 bigint, h2 bigint, "
         f"piece binary, {_RESULT}"), "chunk_encoded")
     whole = encoded.filter(F.col("kind") == _DONE).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
@@ -315,6 +315,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = encoded.filter(F.col("kind") == _OWN).select("doc_id", "t", "seq", "piece")
     ordered = (borrowed.unionByName(own).repartition("doc_id", "t")
                .sortWithinPartitions("doc_id", "t", "seq"))
-    joined = ordered.mapInArrow(_assemble(path, full), f"doc_id {kind}, {_RESULT}")
+    joined = ordered.mapInArrow(lean(_assemble(path, full)), f"doc_id {kind}, {_RESULT}")
     out = whole.unionByName(joined)
     return out if full else out.drop("ids", "decoded")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +110,24 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: str) -> D
     if per_key.filter(~is_hot).isEmpty():
         return hot
     return hot.unionByName(rows.join(per_key.filter(~is_hot), key))
+
+
+def give_back() -> None:
+    """Return this worker's freed memory to the system. Workers are reused, and
+    an idle one keeps what its allocators hold beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(stream: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``stream`` (a function for mapInArrow or mapInPandas) that gives freed
+    memory back after every batch and at its end."""
+    def run(batches: Iterator) -> Iterator:
+        for out in stream(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+    return run

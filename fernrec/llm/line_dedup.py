@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.prepare import rank_rows
-from .common import ascii_lower, whole_text, written
+from .common import ascii_lower, lean, whole_text, written
 from .near_dedup import mix64
 
 MIN_WORDS = 5
@@ -181,7 +181,7 @@ def _near_repeats(lines: DataFrame, docs: DataFrame, near_words: int) -> DataFra
     ranked = rank_rows(found, ["no_id", "doc_id", "t", "line_no"], "line")
     hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
     variants = written(ranked.select("line", hashes.alias("words")).mapInArrow(
-        _variants, "key bigint, place int, line bigint"), "variants")
+        lean(_variants), "key bigint, place int, line bigint"), "variants")
     by_place = variants.groupBy("key", "place").agg(
         F.min("line").alias("first"), F.max("line").alias("last"))
     by_place = written(by_place, "variant_minima")
@@ -222,7 +222,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashed = F.transform(F.split("text", "\n"),
                          lambda line: F.transform(_words(line), lambda w: F.xxhash64(w)))
     lines = written(rows.select("doc_id", "t", hashed.alias("lines")).mapInArrow(
-        _hash_lines(min_words, near_words), f"doc_id {kind}, t bigint, line_no int, n int, "
+        lean(_hash_lines(min_words, near_words)), f"doc_id {kind}, t bigint, line_no int, n int, "
         "h1 bigint, h2 bigint, runs array<int>"), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "line_no")
     firsts = (lines.groupBy("h1", "h2").agg(F.min(order).alias("f"), F.max(order).alias("l"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, whole_text, written, written_counted
+from .common import ascii_lower, lean, row_key, whole_text, written, written_counted
 from .components import extend_components
 
 BANDS = 28
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     kind = hashed.schema["doc_id"].dataType.simpleString()
     sketches = written(hashed.mapInArrow(
-        _sketch(shingle, bands, rows), f"_k string, doc_id {kind}, n_shingles bigint, f1 bigint, "
+        lean(_sketch(shingle, bands, rows)), f"_k string, doc_id {kind}, n_shingles bigint, f1 bigint, "
         "f2 bigint, bands array<bigint>"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k")
     nodes = written(

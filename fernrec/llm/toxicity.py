@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, row_key, whole_text, written
+from .common import crc_mod, lean, row_key, whole_text, written
 from .decontamination import words_of
 
 BITS = 22
@@ -236,7 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .join(place, "doc_id", "left")
         .select("_k", "doc_id", F.coalesce("in_train", F.lit(False)).alias("in_train"), "toxic",
                 "buckets")
-        .mapInArrow(_scan(shared), f"_k string, doc_id {kind}, in_train boolean, toxic int, n_words bigint, "
+        .mapInArrow(lean(_scan(shared)), f"_k string, doc_id {kind}, in_train boolean, toxic int, n_words bigint, "
                     "n_segments bigint, best double, evidence double, passages array<struct<"
                     "first_word:bigint,last_word:bigint,score:double,e_value:double>>"),
         "toxic_scan")
