@@ -7,25 +7,26 @@ A page is cut into blocks at block-level tags. Pass 1 decides what it can:
   ``article``/``main`` if it has one with text, or with more than
   ``max_link_density`` of its characters in links; the words of class and id
   do not count on ``html``, ``body`` and the outermost ``article``/``main``,
-  nor, if nothing of the page would be left, on an element around that one;
+  nor, if nothing of the page would be left, on an element around that one, or,
+  if still nothing would be, on any outside of it;
 * good: at least ``long_chars`` characters and ``stop_density`` of its words
   are stop words;
 * the rest is ambiguous.
 
 Pass 2 labels every ambiguous block by its nearest decided neighbours within
 its region (the article, or the page if there is none): the nearer of the
-previous and the next one decides; at equal distance, or if neither exists,
-it stays if one of the two is good and it is a heading or has stop words. On a
-page with an article this is overridden: an ambiguous block of the article
-goes only if both decided neighbours are bad, and stays otherwise. If nothing
-of a page stays (a language without known stop words, no article), every
-ambiguous block of at least ``long_chars`` characters counts as good, and pass
-2 is done with these. White space in a block becomes one blank, character
-references are decoded, blocks are joined by an empty line; nothing else is
-dropped.
+previous and the next one decides; between a good and a bad one at equal
+distance it stays if it is a heading or has stop words. The two edges of an
+article count as good neighbours; those of a page do not count, and with no
+decided block in it nothing stays. If nothing of a page stays (a language
+without known stop words, no article), every ambiguous block of at least
+``long_chars`` characters counts as good, and pass 2 is done with these. White
+space in a block becomes one blank, character references are decoded, blocks
+are joined by an empty line; nothing else is dropped.
 
 Edge cases: null or empty html gives an empty text; a cut-off tag or an
-unclosed element ends with the page; repeated rows give one result row each;
+unclosed element ends with the page; an end tag without its start tag is
+ignored, in constant time; repeated rows give one result row each;
 null ids and urls are kept; other columns are ignored; an empty table gives no
 rows.
 """
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -67,8 +69,7 @@ VOID_TAGS = frozenset("""
 area base br col embed hr img input link meta param source track wbr
 """.split())
 SILENT_TAGS = frozenset("""
-button canvas head iframe map math noscript object script select style svg template textarea
-title video audio
+button head iframe noscript script select style svg template textarea title
 """.split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 BAD_TAGS = frozenset("aside dialog footer form menu nav".split())
@@ -102,7 +103,7 @@ class Block:
     bad: bool
     in_article: bool
     heading: bool
-    wrapped: bool = False  # bad only by class or id words around the article
+    wrapped: bool = False  # bad only by class or id words outside an article
 
 
 def _has_bad_words(tag: str, attrs: str, in_article: bool) -> bool:
@@ -139,6 +140,7 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     # tag, bad, article, silent, class or id words outside an article
     stack: list[tuple[str, bool, bool, bool, bool]] = []
+    opened: Counter[str] = Counter()  # tags on the stack
     bad = article = silent = around = links = 0
     parts: list[str] = []
     linked_parts: list[str] = []
@@ -151,7 +153,7 @@ def page_blocks(page: str) -> list[Block]:
             if text:
                 linked = len(" ".join("".join(linked_parts).split()))
                 blocks.append(Block(text, linked, bad + around > 0, article > 0, heading,
-                                    bad == 0 and around > 0 and article > 0))
+                                    bad == 0 and around > 0))
             parts.clear()
             linked_parts.clear()
         heading = False
@@ -159,6 +161,7 @@ def page_blocks(page: str) -> list[Block]:
     def pop() -> str:
         nonlocal bad, article, silent, around
         tag, was_bad, was_article, was_silent, was_around = stack.pop()
+        opened[tag] -= 1
         bad -= was_bad
         article -= was_article
         silent -= was_silent
@@ -187,7 +190,7 @@ def page_blocks(page: str) -> list[Block]:
                 close_block()
             if tag == "a":
                 links = max(links - 1, 0)
-            if any(t[0] == tag for t in reversed(stack)):
+            if opened[tag]:
                 while pop() != tag:
                     pass
             continue
@@ -213,6 +216,7 @@ def page_blocks(page: str) -> list[Block]:
             if not is_block and (marks[0] or marks[3]):
                 close_block()
             stack.append((tag, *marks))
+            opened[tag] += 1
             bad, article, silent = bad + marks[0], article + marks[1], silent + marks[2]
             around += marks[3]
             heading = heading or tag in HEADINGS
@@ -220,6 +224,15 @@ def page_blocks(page: str) -> list[Block]:
     return blocks
 
 
+def _nearest(known: list[bool | None]) -> list[int | None]:
+    """At every place, the last place up to it with a decision."""
+    out, last = [], None
+    for place, label in enumerate(known):
+        last = last if label is None else place
+        out.append(last)
+    return out
+
+
 def label_blocks(blocks: list[Block], long_chars: int = LONG_CHARS,
                  stop_density: float = STOP_DENSITY,
                  max_link_density: float = MAX_LINK_DENSITY,
@@ -239,49 +252,35 @@ def label_blocks(blocks: list[Block], long_chars: int = LONG_CHARS,
             labels.append(True)
         else:
             labels.append(None)
-    # decided neighbours of the same region: the article, or the whole page
+    # decided neighbours of the same region: the article, or the whole page; the
+    # edges of an article are good neighbours, those of a page are none
     region = [k for k, b in enumerate(blocks) if not has_article or (b.in_article and not b.bad)]
-    before, after = {}, {}
-    last = None
-    for place, k in enumerate(region):
-        if labels[k] is not None:
-            last = place
-        before[k] = last
-    last = None
-    for place in range(len(region) - 1, -1, -1):
-        k = region[place]
-        if labels[k] is not None:
-            last = place
-        after[k] = last
+    edge = True if has_article else None
+    known = [edge, *(labels[k] for k in region), edge]
+    before = _nearest(known)
+    after = [len(known) - 1 - at if at is not None else None for at in _nearest(known[::-1])][::-1]
     out = [bool(x) for x in labels]
-    for place, k in enumerate(region):
-        if labels[k] is not None:
-            continue
-        a, b = before[k], after[k]
-        near = [place - a if a is not None else len(region) + 1,
-                b - place if b is not None else len(region) + 1]
-        sides = [labels[region[a]] if a is not None else None,
-                 labels[region[b]] if b is not None else None]
-        if sides[0] == sides[1] and sides[0] is not None:
-            out[k] = sides[0]
-        elif near[0] != near[1]:
-            out[k] = bool(sides[near.index(min(near))])
-        else:
-            out[k] = True in sides and (blocks[k].heading or densities[k] > 0)
-        # an article's own short blocks go only between two link lists
-        if has_article and sides != [False, False]:
-            out[k] = True
+    for place, k in enumerate(region, 1):
+        if labels[k] is None:
+            sides = sorted((abs(at - place), known[at]) for at in (before[place], after[place])
+                           if at is not None)
+            if len(sides) == 2 and sides[0][0] == sides[1][0] and sides[0][1] != sides[1][1]:
+                out[k] = blocks[k].heading or densities[k] > 0
+            else:
+                out[k] = bool(sides and sides[0][1])
     return out
 
 
 def main_text(page: str | None, **options) -> str:
     blocks = page_blocks(page or "")
     labels = label_blocks(blocks, **options)
-    if not any(labels) and any(b.wrapped for b in blocks):
-        blocks = [replace(b, bad=b.bad and not b.wrapped) for b in blocks]
-        labels = label_blocks(blocks, **options)
-    if not any(labels):
-        labels = label_blocks(blocks, **options, any_language=True)
+    for inside in (True, False):  # class words around the article, then all outside of it
+        open_blocks = [replace(b, bad=b.bad and not (b.wrapped and b.in_article >= inside))
+                       for b in blocks]
+        if not any(labels) and open_blocks != blocks:
+            blocks, labels = open_blocks, label_blocks(open_blocks, **options)
+        if not any(labels):
+            labels = label_blocks(blocks, **options, any_language=True)
     return "\n\n".join(b.text for b, ok in zip(blocks, labels) if ok)
 
 
