@@ -8,10 +8,12 @@ document probes it, and a hit counts only if its words are equal. Everything
 is DataFrame functions.
 
 The build side is broadcast while its measured size is under
-``broadcast_bytes``; above that the same plan joins by shuffle. Document rows
-stay in the stream through the join (each row's first probe is kept whether
-or not it hits), so a text is split once and only rows with hits and one row
-per document are shuffled.
+``broadcast_bytes``. Document rows then stay in the stream through the join
+(each row's first probe is kept whether or not it hits), so a text is split
+once and only rows with hits and one row per document are shuffled. Above that
+the distinct documents are written once, probes of hash and place alone are
+shuffled to the windows' hashes, and the words of the places found are fetched
+from their documents and compared. Both ways give the same rows.
 
 Edge cases: a null text has no words; an item without words has no window;
 repeated rows of documents give one result row each; rows with a null id are
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, whole_text
+from .common import ascii_lower, row_key, whole_text, written
 
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
@@ -63,13 +65,12 @@ def benchmark_windows(items: DataFrame, n: int = WINDOW, id_col: str = "item_id"
                                   .alias("grams"))
 
 
-def _build_side(windows: DataFrame, limit: int) -> DataFrame:
-    """Marked for broadcast if its measured size allows that."""
+def _build_bytes(windows: DataFrame) -> int:
+    """Measured size of the distinct windows."""
     of_gram = lambda a, g: a + F.octet_length(g["gram"]) + 64 + F.aggregate(
         g["items"], F.lit(0).cast("bigint"), lambda b, x: b + F.octet_length(x) + 16)
-    size = windows.select(F.sum(F.aggregate("grams", F.lit(0).cast("bigint"), of_gram))
+    return windows.select(F.sum(F.aggregate("grams", F.lit(0).cast("bigint"), of_gram))
                           .alias("b")).first()["b"] or 0
-    return F.broadcast(windows) if size <= limit else windows
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id",
@@ -80,12 +81,15 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: s
     (rows with that id and text), n_words, spans (sorted first and last words,
     from 0, of maximal runs of hit words) and items (sorted ids of items with
     hits)."""
-    windows = benchmark_windows(items, n, item_id_col, item_text_col)
+    windows = written(benchmark_windows(items, n, item_id_col, item_text_col), "windows")
     # at most n sizes exist
     sizes = sorted(r["s"] for r in windows.select(F.explode("grams.size").alias("s"))
                    .distinct().collect()) or [n]
-    words = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"),
-                        words_of(whole_text(text_col)).alias("w"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"),
+                        whole_text(text_col).alias("text"))
+    if _build_bytes(windows) > broadcast_bytes:
+        return _hits_by_shuffle(texts, windows, sizes)
+    words = texts.select("doc_id", "_k", words_of(F.col("text")).alias("w"))
     probes = words.select("doc_id", "_k", "w", F.posexplode_outer(
         F.concat(*[_windows(F.col("w"), s) for s in sizes])).alias("_i", "_h"))
     # the probes of a row are its windows of the first size, then of the next
@@ -95,7 +99,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: s
         size = F.when(F.col("_i") >= passed, F.lit(t)).otherwise(size)
         at = F.when(F.col("_i") >= passed, F.col("_i") - passed).otherwise(at)
     first = F.coalesce("_i", F.lit(0)) == 0
-    joined = (probes.join(_build_side(windows, broadcast_bytes), F.col("_h") == F.col("h"), "left")
+    joined = (probes.join(F.broadcast(windows), F.col("_h") == F.col("h"), "left")
               .filter(F.col("h").isNotNull() | first)
               .select("_k", "doc_id", F.size("w").alias("n_words"), at.alias("at"),
                       size.alias("size"), first.cast("bigint").alias("_rows"),
@@ -113,7 +117,51 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: s
                         "items")
 
 
-def _merged(hits: str) -> Column:
+def _hits_by_shuffle(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``benchmark_hits`` of texts (doc_id, _k, text) for windows of any number.
+
+    Repeated rows meet under their key after a partial aggregation; a window
+    that many documents hold is one row on the other side of an inner join,
+    whose skewed partitions are split. What a document's hits need is bounded by
+    that document."""
+    rows = written(texts.groupBy("_k").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"),
+        F.count(F.lit(1)).alias("copies")), "distinct_documents")
+    words = words_of(F.col("text"))
+    split = rows.select("_k", words.alias("w"))
+
+    def placed(size: int) -> Column:
+        return F.transform(_windows(F.col("w"), size), lambda h, at: F.struct(
+            h.alias("h"), at.alias("at"), F.lit(size).alias("size")))
+
+    probes = split.select("_k", F.explode(F.concat(*map(placed, sizes))).alias("p"))
+    hashes = windows.select(F.col("h").alias("_h"))
+    places = (probes.join(hashes, F.col("p.h") == F.col("_h")).groupBy("_k")
+              .agg(F.collect_set("p").alias("places")))
+    gram = lambda p: F.struct(
+        p["h"].alias("h"), p["at"].alias("at"), p["size"].alias("size"),
+        F.concat_ws(" ", F.slice("w", p["at"] + 1, p["size"])).alias("gram"))
+    fetched = (rows.select("_k", "text").join(places, "_k")
+               .select("_k", words.alias("w"), "places")
+               .select("_k", F.explode(F.transform("places", gram)).alias("p")))
+    known = windows.select(F.col("h").alias("_h"), F.explode("grams").alias("g"))
+    found = (fetched.join(known, (F.col("p.h") == F.col("_h"))
+                          & (F.col("p.size") == F.col("g.size"))
+                          & (F.col("p.gram") == F.col("g.gram")))
+             .groupBy(F.col("_k").alias("_found")).agg(
+                 F.array_sort(F.collect_set(F.struct(
+                     F.col("p.at").alias("a"), (F.col("p.at") + F.col("p.size")).alias("b"))))
+                 .alias("_hits"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("g.items")))).alias("items")))
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    return (rows.select("_k", "doc_id", "copies", F.size(words).alias("n_words"))
+            .join(found, F.col("_k") == F.col("_found"), "left")
+            .select("_k", "doc_id", "copies", "n_words",
+                    _merged(F.coalesce("_hits", empty)).alias("spans"),
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+
+
+def _merged(hits: str | Column) -> Column:
     """Sorted half-open ranges -> disjoint inclusive ranges."""
     start = F.array().cast("array<struct<a:int,b:int>>")
 
@@ -124,7 +172,7 @@ def _merged(hits: str) -> Column:
         return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))
                       ).otherwise(F.concat(done, F.array(hit)))
 
-    return F.transform(F.aggregate(F.col(hits), start, grow),
+    return F.transform(F.aggregate(hits, start, grow),
                        lambda s: F.struct(s["a"].alias("a"), (s["b"] - 1).alias("b")))
 
 

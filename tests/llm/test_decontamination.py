@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 
 from fernrec.llm.decontamination import benchmark_hits, contamination, drop_contaminated
 
@@ -77,3 +78,15 @@ def test_empty_tables(spark):
     got = contamination(spark.createDataFrame(docs, DOCS), none)
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, [])
     assert contamination(spark.createDataFrame([], DOCS), none).collect() == []
+
+
+def test_shuffled_join_is_linear_in_the_text(spark):
+    """Beyond the broadcast limit nothing but hash and place is shuffled per window."""
+    item = " ".join(f"b{k}" for k in range(10))
+    items = spark.createDataFrame([(1, item)], ITEMS)
+    body = " ".join(f"v{k}" for k in range(32000))
+    docs = spark.createDataFrame([(k, f"{body} {item}") for k in range(4)] + [(None, None)] * 200, DOCS)
+    start = time.perf_counter()
+    got = contamination(docs, items, broadcast_bytes=0).collect()
+    assert time.perf_counter() - start < 60
+    assert sorted((r.n_words, r.n_hit) for r in got) == [(0, 0)] * 200 + [(32010, 10)] * 4
