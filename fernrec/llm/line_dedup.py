@@ -1,11 +1,12 @@
 """Operator 8: repeated lines by a deletion-neighbourhood join.
 
 A line's words are its runs without ASCII white space, A-Z lower-cased. Lines
-of at least ``min_words`` words that equal an earlier line are dropped, and so
-are lines of at least ``near_words`` words within one word edit (a word
-replaced, added or left out) of an earlier line. Earlier means by id
-(ascending, null last), then text digest, then place in the text. Shorter
-lines are left alone. The rule asks for an earlier line, kept or not, so the
+of at least ``min_words`` words (by default: any line with a word) that equal
+an earlier line are dropped, and so are lines of at least ``near_words`` words
+within one word edit (a word replaced, added or left out) of an earlier such
+line; below five words one edit changes too much of a line to call it a
+repeat. Earlier means by id (ascending, null last), then text digest, then
+place in the text. The rule asks for an earlier line, kept or not, so the
 result does not depend on the order of work.
 
 1. One scan hashes every line, and its first and last m words. One edit leaves
@@ -38,8 +39,8 @@ from ..operators.prepare import rank_rows
 from .common import ascii_lower, lean, whole_text, written
 from .near_dedup import mix64
 
-MIN_WORDS = 5
-NEAR_WORDS = 10
+MIN_WORDS = 1
+NEAR_WORDS = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

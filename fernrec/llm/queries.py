@@ -131,11 +131,11 @@ w AS (
   FROM ln),
 o AS (
   SELECT doc_id, line_no, w, len(w) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS pos
-  FROM w WHERE len(w) >= 5),
+  FROM w WHERE len(w) >= 1),
 f AS (SELECT w, n, min(pos) AS pos FROM o GROUP BY w, n),
 k AS (
-  SELECT pos, n, w, 0 AS side, w[1:4] AS run FROM f WHERE n >= 10
-  UNION ALL SELECT pos, n, w, 1, w[n - 3:n] FROM f WHERE n >= 10),
+  SELECT pos, n, w, 0 AS side, w[1:2] AS run FROM f WHERE n >= 5
+  UNION ALL SELECT pos, n, w, 1, w[n - 1:n] FROM f WHERE n >= 5),
 near AS (
   SELECT DISTINCT b.pos FROM k a JOIN k b
     ON a.side = b.side AND a.run = b.run AND a.pos < b.pos AND abs(a.n - b.n) <= 1

@@ -7,7 +7,7 @@ from fernrec.llm.line_dedup import (drop_repeated_lines, line_dedup, repeated_li
 SCHEMA = "doc_id bigint, text string"
 
 
-def brute(rows, least=5, near=10):
+def brute(rows, least=1, near=5):
     """{(doc_id, line_no, near)} to drop, of rows with distinct ids."""
     seen, out = [], set()
     for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -27,14 +27,14 @@ def brute(rows, least=5, near=10):
 
 def rows_of(seed=0, docs=40):
     rng = random.Random(seed)
-    pool = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 5, 9, 10, 11, 16, 17, 18, 33]))]
+    pool = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 16, 17, 18, 33]))]
             for _ in range(25)]
     out = []
     for k in range(docs):
         lines = []
         for _ in range(rng.randint(0, 8)):
             words = list(rng.choice(pool))
-            for _ in range(rng.choice([0, 1, 1, 2])):
+            for _ in range(min(rng.choice([0, 1, 1, 2]), len(words))):
                 at, kind = rng.randrange(len(words)), rng.randrange(3)
                 if kind == 0:
                     words[at] = f"x{rng.randrange(9)}"
