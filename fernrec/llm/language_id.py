@@ -6,12 +6,14 @@ kernel: shared n-grams over the root of the product of the set sizes). The
 kernel matrix is approximated with Nystrom landmarks: of every language the
 ``landmarks`` / languages training texts whose id hashes lowest. One ridge
 regression per language (one versus the rest, targets +-1) is solved on at
-most about ``fit_rows`` training texts in the landmark space. All texts are
+most about ``fit_rows`` training texts in the landmark space. Copies of a
+training row (equal id and text) count once. All texts are
 scored whole, by two matrix products per batch; the score is the softmax of
 the regression values.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0;
-null languages are not trained on; with no labelled text every text is
+null languages are not trained on; more than ``landmarks`` / 2 languages are
+an error, since each needs two landmarks; with no labelled text every text is
 ``und``; repeated rows give one result row each; a null id is predicted and
 never trained on; other columns are ignored; an empty table gives no rows.
 """
@@ -125,7 +127,9 @@ def _kernel_rows(shared):
                 kernel = presence([clean[k] for k in part]) @ landmarks.T
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("lang").take(pa.array(part)),
-                     pa.array(list(kernel), pa.list_(pa.float32()))], names=["lang", "kernel"])
+                     batch.column("row").take(pa.array(part)),
+                     pa.array(list(kernel), pa.list_(pa.float32()))],
+                    names=["lang", "row", "kernel"])
     return rows
 
 
@@ -154,19 +158,25 @@ def _predict(shared):
 def train(rows: DataFrame, landmarks: int, fit_rows: int, ridge: float) -> KernelModel | None:
     """A model of training rows (doc_id, text, lang); None without any."""
     spark = rows.sparkSession
+    row = F.xxhash64("doc_id", "text")
+    # copies of a row (equal id and text) count once
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
+        F.approx_count_distinct(row).alias("n")).limit(landmarks // 2 + 1).collect()}
     if not counts:
         return None
+    if len(counts) > landmarks // 2:
+        raise ValueError(f"more than {landmarks // 2} languages: two landmarks each need "
+                         f"landmarks > {landmarks}")
     langs = sorted(counts)
-    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("turn")
+    turn = F.pmod(row, F.lit(1 << 30)).alias("turn")
 
     def sample(per_lang: int, spare: float) -> DataFrame:
         share = [F.when(F.col("lang") == lang, F.lit(int(min(1.0, spare * per_lang / n) * (1 << 30))))
                  for lang, n in counts.items()]
-        return rows.select("lang", "text", turn).filter(F.col("turn") < F.coalesce(*share))
+        return (rows.select("lang", "text", turn, row.alias("row"))
+                .filter(F.col("turn") < F.coalesce(*share)).dropDuplicates(["lang", "row"]))
 
-    each = max(2, landmarks // len(langs))
+    each = landmarks // len(langs)
     # three times as many as needed, by chance; the lowest turns are taken
     found = sample(each, 3.0).mapInArrow(
         _landmark_rows, "lang string, turn bigint, places array<int>").collect()
@@ -182,7 +192,8 @@ def train(rows: DataFrame, landmarks: int, fit_rows: int, ridge: float) -> Kerne
         matrix[k, r["places"]] = 1 / np.sqrt(len(r["places"]))
     shared = spark.sparkContext.broadcast(matrix)
     got = sample(max(each, fit_rows // len(langs)), 1.0).mapInArrow(
-        _kernel_rows(shared), "lang string, kernel array<float>").toPandas()
+        _kernel_rows(shared), "lang string, row bigint, kernel array<float>").toPandas()
+    got = got.sort_values(["lang", "row"])  # sums in one order, however rows arrive
     kernel = np.stack(got["kernel"].to_numpy())
     labels = got["lang"].to_numpy().astype(str)
     langs = sorted(set(labels))

@@ -3,7 +3,10 @@ import random
 import zlib
 from collections import Counter
 
-from fernrec.llm.language_id import identify_languages, letters_of
+import numpy as np
+import pytest
+
+from fernrec.llm.language_id import fit, identify_languages, letters_of, ngram_places, presence
 from fernrec.llm.quality_rules import quality_rules
 
 DOCS = "doc_id bigint, text string, lang string"
@@ -36,6 +39,60 @@ def test_language_of_little(spark):
     assert letters_of("«12»") == b"" and letters_of("Ñ1 a") == "ñ  a".encode()
 
 
+def test_kernel_and_ridge_against_direct_forms():
+    rng = random.Random(1)
+    alphabets = {"a": "abcde ", "b": "defgh ", "c": "xyzab "}
+    labels = np.array([rng.choice("abc") for _ in range(60)])
+    texts = ["".join(rng.choices(alphabets[x], k=rng.randint(3, 60))).encode() for x in labels]
+
+    def place(gram):
+        return ((int.from_bytes(gram, "big") + len(gram)) * 2654435761 % 2**32) >> 17
+
+    padded = [b" " + raw + b" " for raw in texts]
+    placed = [{place(raw[k:k + n]) for n in (2, 3, 4) for k in range(len(raw) - n + 1)}
+              for raw in padded]
+    for raw, want in zip(texts, placed):
+        assert set(ngram_places(raw).tolist()) == want
+    kernel = np.array([[len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for b in placed]
+                       for a in placed])
+    rows = presence(texts)
+    assert np.allclose(rows @ rows.T, kernel, atol=1e-5)
+    # every text a landmark: kernel ridge regression itself, here by its weighted
+    # least squares over the kernel's own feature space
+    weights, constants = fit(kernel, kernel, labels, ["a", "b", "c"], 1e-2)
+    got = kernel @ weights + constants
+    values, vectors = np.linalg.eigh(kernel)
+    keep = values > 1e-6 * values.max()
+    space = vectors[:, keep] * np.sqrt(values[keep])
+    space = space - space.mean(axis=0)
+    w = np.array([1 / (labels == x).sum() for x in labels])
+    w = w / w.sum() * len(labels)
+    gram = space.T @ np.diag(w) @ space
+    ridge = 1e-2 * np.trace(gram) / len(gram)
+    for k, lang in enumerate("abc"):
+        y = np.where(labels == lang, 1.0, -1.0)
+        y0 = (w * y).sum() / w.sum()
+        solved = np.linalg.lstsq(
+            np.vstack([np.sqrt(w)[:, None] * space, np.sqrt(ridge) * np.eye(len(gram))]),
+            np.concatenate([np.sqrt(w) * (y - y0), np.zeros(len(gram))]), rcond=None)[0]
+        assert np.allclose(got[:, k], space @ solved + y0, atol=1e-6)
+
+
+def test_many_languages_and_copies(spark):
+    rng = random.Random(2)
+    many = [(k, "some text here", f"l{k}") for k in range(40)]
+    with pytest.raises(ValueError, match="languages"):
+        identify_languages(spark.createDataFrame(many, DOCS), landmarks=20).collect()
+    letters = {"x": "abcdefg ", "y": "mnopqrs "}
+    rows = [(k, "".join(rng.choices(letters["xy"[k % 2]], k=40)), "xy"[k % 2]) for k in range(200)]
+    copies = [rows[0]] * 4000  # one row, most of the table
+    got = identify_languages(spark.createDataFrame(rows + copies, DOCS), landmarks=16,
+                             fit_rows=100).collect()
+    assert len(got) == 4200
+    truth = {k: lang for k, _, lang in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.98 * len(got)
+
+
 def base_figures(text):
     words = (text or "").encode().split()
     hit = set()
