@@ -12,7 +12,8 @@ met on both sides, where it agrees exactly with both cores.
    the first place in document order owns each.
 2. The documents, compressed for the exchange, meet the list of their shared
    cores. Joins and cores of their own are encoded there, and so is each
-   shared core by its owner, once.
+   shared core by its owner: once for all borrowers, and once more within the
+   owner's own text.
 3. Documents with borrowed cores join them by hash and are put together in
    order. All others are already done.
 
