@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import default_partitions, materialize
+from .hotjoin import lookup
 from .kcore import KCoreLimitError, KCoreResult, k_core  # noqa: F401 - part of this module's API
 
 
@@ -128,11 +129,12 @@ class Indexed:
 
 
 def index_interactions(interactions: DataFrame, num_partitions: int | None = None) -> Indexed:
-    """W1 twice + J3/J4: replace string ids by dense indices."""
+    """W1 twice + J3/J4: replace string ids by dense indices; hot ids take a
+    broadcast of their few index rows (``operators.hotjoin``)."""
     users, n_users = dense_index_counted(interactions, "user_id", "user_idx", num_partitions)
     items, n_items = dense_index_counted(interactions, "item_id", "item_idx", num_partitions)
-    indexed = (interactions.join(users, "user_id").join(items, "item_id")
-               .select("user_idx", "item_idx", "ts"))
+    indexed = lookup(interactions, {"user_id": users, "item_id": items}).select(
+        "user_idx", "item_idx", "ts")
     return Indexed(indexed, users, items, n_users, n_items)
 
 

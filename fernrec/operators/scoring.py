@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import dot, hit_at, ndcg_at
+from .selection import select_smallest
 
 _CELL = 1 << 22  # user x item scores held at once inside a task
 _PAIRS = 1 << 16  # pairs summed again at once
@@ -182,10 +183,8 @@ def sample_users(test: DataFrame, n: int | None, seed: int) -> DataFrame:
     """E5: exactly ``min(n, users)`` users, deterministic in ``seed``; all if n is None/<=0."""
     if n is None or n <= 0:
         return test
-    from .prepare import first_n
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_idx").cast("string")))
-    cols = test.columns
-    return first_n(test.withColumn("_key", key), ["_key", "user_idx"], n, "_pos").select(*cols)
+    return select_smallest(test.withColumn("_key", key), "_key", ["user_idx"], n).drop("_key")
 
 
 def evaluate(test: DataFrame, train: DataFrame, p: DataFrame, q: DataFrame, topk: int,

@@ -23,6 +23,7 @@ from ..functions.columns import epoch_micros, round6
 from ..operators import prepare as prep_ops
 from ..operators.factors import factors_long, gram_table
 from ..operators.scoring import evaluate, heldout_rank, hr_ndcg, recommend_topk, sample_users
+from ..operators.topk import recommend_pruned
 from ..operators.weights import all_item_weights, history_summary, item_weights
 from ..session import materialize, scratch_path
 from ..sources.tables import events_interactions, order_line_interactions, table_path
@@ -333,6 +334,13 @@ def q_recommend_topk(spark, sf_dir):
     return rec.select("user_idx", "rank", "item_idx", r9(F.col("score")).alias("score"))
 
 
+def q_recommend_topk_pruned(spark, sf_dir):
+    """W3 by bands of descending norm: the rows of ``recommend_topk``."""
+    prep, _, _, p1, q1 = ev_model(spark, sf_dir)
+    rec = recommend_pruned(prep.test, prep.train, p1, q1, TOPK, block_users=64, block_items=8)
+    return rec.frame.select("user_idx", "rank", "item_idx", r9(F.col("score")).alias("score"))
+
+
 def q_sample_users(spark, sf_dir):
     prep = ev_prepared(spark, sf_dir)
     return sample_users(prep.test, SAMPLE_USERS, EV_MODEL.random_seed)
@@ -441,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate": q_evaluate,
     "evaluate_sample": q_evaluate_sample,
     "recommend_topk": q_recommend_topk,
+    "recommend_topk_pruned": q_recommend_topk_pruned,
     "sample_users": q_sample_users,
     "prepare_stats": q_prepare_stats,
     "artifact_roundtrip": q_artifact_roundtrip,
@@ -558,13 +567,13 @@ def oracle_sql() -> dict[str, str]:
         "saved_id_maps": O.with_(ev_prep, "SELECT 'user' AS side, user_id AS id, user_idx AS idx "
                                  "FROM uix UNION ALL SELECT 'item', item_id, item_idx FROM iix"),
         "no_test_users": O.with_([O.EV_SQL], "SELECT count(*) AS n, true AS refused FROM ev"),
-        "recommend_topk": O.with_(
+        **dict.fromkeys(("recommend_topk", "recommend_topk_pruned"), O.with_(
             model_ctes + O.score_ctes(p1, q1, k),
             f"SELECT user_idx, rank, item_idx, {O.r('s', 9)} AS score FROM ("
             "SELECT c.user_idx, c.item_idx, c.s, CAST(row_number() OVER (PARTITION BY c.user_idx "
             "ORDER BY c.s DESC, c.item_idx ASC) AS BIGINT) AS rank FROM cand c "
             "JOIN test t ON t.user_idx = c.user_idx) z "
-            f"WHERE rank <= {TOPK}"),
+            f"WHERE rank <= {TOPK}")),
         "sample_users": O.with_(ev_prep, sampled),
         "prepare_stats": O.with_(ol_prep, stats_body.format(src="ol")),
         "artifact_roundtrip": O.with_(model_ctes, factors),

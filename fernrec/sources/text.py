@@ -14,6 +14,9 @@ array / regex expressions kept inside whole-stage codegen.
 
 from __future__ import annotations
 
+from itertools import islice, takewhile
+
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,34 +163,144 @@ def _sample_blocks(spark: SparkSession, files: list[str]) -> DataFrame:
     )
 
 
+# A file of at least this size is read in ranges. It is cut into ranges of this
+# size, or into _MOST_RANGES if that would be more of them.
+RANGE_BYTES = 8 << 20
+_MOST_RANGES = 1 << 16
+
+
+def _first_partitions(rdd: RDD, n: int) -> RDD:
+    """The first ``n`` partitions of ``rdd``; the others are never opened."""
+    sc = rdd.context
+    # a Scala set is the predicate "is in the set"
+    chosen = sc._jvm.org.apache.spark.api.python.PythonUtils.toSeq(list(range(n))).toSet()
+    pruned = sc._jvm.org.apache.spark.rdd.PartitionPruningRDD.create(rdd._jrdd.rdd(), chosen)
+    return RDD(pruned.toJavaRDD(), sc, rdd._jrdd_deserializer)
+
+
+def _starts(lines, most: int) -> tuple[int, bool, bool | None]:
+    """Of one range: records that start after a blank line of it (no more than
+    ``most`` are looked for), whether its first line has text, and whether its
+    last one has (None without lines)."""
+    found, head, open_ = 0, False, None
+    for line in lines:
+        text = bool(line.strip())
+        if open_ is None:
+            head = text
+        elif text and not open_:
+            found += 1
+        open_ = text
+        if found >= most:
+            break
+    return found, head, open_
+
+
+def _pieces(lines, at: int, before: int, open_: bool, n: int):
+    """``(pos, at, text)``: what range ``at`` holds of the first ``n`` records, one
+    piece per record, when ``before`` records start ahead of it and the last of
+    them is still ``open_``."""
+    pos, piece = before - 1, []
+    for line in lines:
+        if line.strip():
+            if not open_:
+                pos += 1
+                if pos >= n:
+                    break
+            open_ = True
+            piece.append(line)
+        else:
+            if piece:
+                yield pos, at, "\n".join(piece)
+            piece, open_ = [], False
+    if piece:
+        yield pos, at, "\n".join(piece)
+
+
+def _first_of_large_file(spark: SparkSession, file: str, size: int,
+                         n: int) -> tuple[DataFrame, int]:
+    """The first ``n`` records of one file as ``pos, value``, and how many there are.
+
+    The file is cut into byte ranges of whole lines. Record starts are counted in
+    1, 2, 4, ... ranges at a time, each task stopping at what is missing, until the
+    start behind the n-th record is found: then no record of the sample goes on in
+    a range that was not counted. The counts (three values per range) give every
+    range the position of its first record and whether a record of the range
+    before goes on in it; the pieces of such a record are put together at the end.
+    """
+    sc = spark.sparkContext
+    part = max(RANGE_BYTES, -(-size // _MOST_RANGES))
+    lines = sc.newAPIHadoopFile(
+        file, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat",
+        "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text",
+        conf={"mapreduce.input.fileinputformat.split.maxsize": str(part)})
+    total = lines.getNumPartitions()
+    state: list[tuple[int, bool]] = []  # per range: records before it, the last one open
+    found, open_, step = 0, False, 1
+    while len(state) < total and found <= n:
+        missing = n + 1 - found
+        ranges = list(range(len(state), min(total, len(state) + step)))
+        for starts, head, last in sc.runJob(
+                lines, lambda rows: [_starts((line for _, line in rows), missing)], ranges):
+            if found > n:
+                break
+            state.append((found, open_))
+            found += starts + (head and not open_)
+            open_ = open_ if last is None else last
+        step *= 2
+
+    def emit(at, rows):
+        return _pieces((line for _, line in rows), at, *state[at], n)
+    pieces = spark.createDataFrame(
+        _first_partitions(lines, len(state)).mapPartitionsWithIndex(emit),
+        "pos bigint, part int, value string")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "value")))
+    return (pieces.groupBy("pos").agg(F.array_join(ordered["value"], "\n").alias("value")),
+            min(n, found))
+
+
+def _first_of_files(spark: SparkSession, files: list[str], n: int) -> tuple[DataFrame, int]:
+    """The first ``n`` records of small files as ``pos, value``, and how many there are."""
+    from ..operators.prepare import first_n
+    blocks = _sample_blocks(spark, files)
+    # input tasks = splits of the files (known without running a job)
+    tasks = spark.read.option("lineSep", RECORD_DELIMITER).text(files).rdd.getNumPartitions()
+    first = first_n(blocks, ["_file", "_start", "_row", "_part"], n, tasks=tasks)
+    return first.select("pos", "value"), min(n, blocks.count())
+
+
 def sample_first_records(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
     """S3: the first ``n`` non-empty records in file order (smoke sample).
 
     Like the line-based smoke sampler, any whitespace-only line separates
-    records and empty records are skipped. Files are taken in name order in
-    growing batches (1, 2, 4, ... files; one counting job per batch) until
-    they hold ``n`` records, so the input read grows with ``n``, not with the
-    dataset. The sample is then a distributed top-n over (file, split start,
-    position) of those files, never a driver loop over lines.
+    records and empty records are skipped. Files are taken in name order until
+    they hold ``n`` records: small ones in growing batches (1, 2, 4, ... files),
+    a large one (``RANGE_BYTES``) in growing steps of byte ranges, so the input
+    read grows with ``n``, not with the dataset or with its largest file.
     Returns ``pos BIGINT`` (0-based sample order) and ``value STRING``.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    # file names only (a listing, no data read); the reader skips _/. files
-    files = sorted(spark.read.option("lineSep", RECORD_DELIMITER).text(path).inputFiles())
-    chosen: list[str] = []
-    found, batch = 0, 1
-    while files and found < n and len(chosen) < len(files):
-        nxt = files[len(chosen):len(chosen) + batch]
-        found += _sample_blocks(spark, nxt).count()
-        chosen += nxt
-        batch *= 2
-    if not chosen:
-        chosen = files[:1]
-    if not chosen:
+    # names and sizes only: the content column is pruned, so no file is opened
+    files = [(r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path)
+             .select("path", "length").orderBy("path").collect()]
+    parts: list[DataFrame] = []
+    found, at, batch = 0, 0, 1
+    while at < len(files) and found < n:
+        name, size = files[at]
+        if size >= RANGE_BYTES:
+            part, got = _first_of_large_file(spark, name, size, n - found)
+            at += 1
+        else:
+            small = [f for f, _ in takewhile(lambda f: f[1] < RANGE_BYTES,
+                                             islice(files, at, at + batch))]
+            part, got = _first_of_files(spark, small, n - found)
+            at += len(small)
+            batch *= 2
+        parts.append(part.select((F.col("pos") + F.lit(found)).alias("pos"), "value"))
+        found += got
+    if not parts:
         return spark.createDataFrame([], "pos bigint, value string")
-    from ..operators.prepare import first_n
-    # input tasks = splits of the chosen files (known without running a job)
-    tasks = spark.read.option("lineSep", RECORD_DELIMITER).text(chosen).rdd.getNumPartitions()
-    return first_n(_sample_blocks(spark, chosen), ["_file", "_start", "_row", "_part"], n,
-                   tasks=tasks).select("pos", "value")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
