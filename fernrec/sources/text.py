@@ -9,7 +9,8 @@ Record layout (one review per record, other lines ignored)::
 
 Everything is plain Spark SQL: the text reader splits records on the
 delimiter per read (no global Hadoop setting), and parsing is a chain of
-array / regex expressions kept inside whole-stage codegen.
+array / regex expressions kept inside whole-stage codegen. Only the first-N
+sample of a large file reads lines by byte ranges (``_first_of_large_file``).
 """
 
 from __future__ import annotations
