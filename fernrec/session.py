@@ -93,14 +93,23 @@ def _read_back(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_observed(df: DataFrame, name: str, *sums) -> tuple[DataFrame, list]:
+def materialize_observed(df: DataFrame, name: str, *sums,
+                         bucket_by: str | None = None) -> tuple[DataFrame, list]:
     """As ``materialize``, with aggregates of the written rows, integers (0 for
-    no rows) or lists, observed in the same job."""
+    no rows) or lists, observed in the same job. With ``bucket_by`` the table is
+    bucketed by that column, a bucket per shuffle partition."""
+    spark = df.sparkSession
     obs = Observation(f"sums_{uuid.uuid4().hex[:8]}")
     named = [e.alias(f"v{k}") for k, e in enumerate(sums)]
-    path = scratch_path(df.sparkSession, name)
-    df.observe(obs, *named).write.parquet(path)
-    out = _with_place(_read_back(df, path), path)
+    path = scratch_path(spark, name)
+    if bucket_by:
+        n, table = default_partitions(spark), f"fernrec_{name}_{uuid.uuid4().hex[:12]}"
+        (df.repartition(n, bucket_by).observe(obs, *named).write.bucketBy(n, bucket_by)
+         .option("path", path).saveAsTable(table))
+        out = _with_place(spark.table(table), path, table)
+    else:
+        df.observe(obs, *named).write.parquet(path)
+        out = _with_place(_read_back(df, path), path)
     try:
         seen = obs.get
     except Exception:  # noqa: BLE001 - no task ran: an empty observation row

@@ -62,6 +62,35 @@ def test_k_core_index_spreads_a_hot_key(spark):
     assert len(files) >= 4
 
 
+def test_k_core_many_dying_keys_are_met_where_they_are_read(spark, monkeypatch):
+    """Beyond MAX_SCAN_ROWS rounds use the index whatever the partitions; keys too many
+    for a broadcast go by their bits (with false hits) and give the same core."""
+    from fernrec.operators import kcore
+    rows = [(f"u{k:03d}", f"i{k + d:03d}", k) for k in range(9) for d in (0, 1)]
+    rows += [(f"r{k:02d}", f"j{(k + d) % 12:02d}", k) for k in range(12) for d in (0, 1)]
+    want = k_core(frame(spark, rows), 2, 2)
+    assert not want.buckets_read
+    monkeypatch.setattr(kcore, "MAX_SCAN_ROWS", 20)
+    for keys, slots in ((0, 64), (0, 1 << 24)):
+        monkeypatch.setattr(kcore, "_BROADCAST_KEYS", keys)
+        monkeypatch.setattr(kcore, "_SLOTS", slots)
+        got = k_core(frame(spark, rows), 2, 2)
+        assert got.buckets_read and got.counts == want.counts
+        assert sorted(map(tuple, got.interactions.collect())) == sorted(
+            map(tuple, want.interactions.collect()))
+
+
+def test_k_core_counts_stay_where_they_are(spark):
+    """The first counts are bucketed by their key: grouping by it moves nothing."""
+    from fernrec.operators import kcore
+    side = kcore._Side("item_id", "user_id", 2)
+    df = frame(spark, [(f"u{k}", f"i{k % 7}", 0) for k in range(50)])
+    side.add_counts(df.groupBy("item_id").count().withColumnRenamed("count", "_n"))
+    plan = side.counts[0].groupBy("item_id").max("_n")._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString()
+    side.release()
+
+
 def brute_k_core(rows, ku, ki):
     cur = list(rows)
     while True:
