@@ -180,8 +180,8 @@ def leave_one_out(indexed: DataFrame) -> Split:
 
 def train_without_test(indexed: DataFrame, test: DataFrame) -> DataFrame:
     """Train pairs: every (user, item) except the held-out one (anti join on
-    the pair, so a long history spreads over all tasks)."""
-    return (indexed.select("user_idx", "item_idx")
-            .join(test.select("user_idx", F.col("test_item_idx").alias("item_idx")),
-                  ["user_idx", "item_idx"], "left_anti"))
+    the pair, so a long history spreads over all tasks; the held-out pairs, one
+    per user, are hashed, so the interactions are not sorted)."""
+    held = test.select("user_idx", F.col("test_item_idx").alias("item_idx")).hint("shuffle_hash")
+    return indexed.select("user_idx", "item_idx").join(held, ["user_idx", "item_idx"], "left_anti")
 

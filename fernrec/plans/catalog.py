@@ -25,7 +25,7 @@ from ..operators.factors import factors_long, gram_table
 from ..operators.scoring import evaluate, heldout_rank, hr_ndcg, recommend_topk, sample_users
 from ..operators.topk import recommend_pruned
 from ..operators.weights import all_item_weights, history_summary, item_weights
-from ..session import materialize, scratch_path
+from ..session import materialize, release, scratch_path
 from ..sources.tables import events_interactions, order_line_interactions, table_path
 from ..sources.text import (load_interactions, parse_records, record_text,
                             sample_first_records, write_review_text)
@@ -183,8 +183,11 @@ def q_indexed_interactions(spark, sf_dir):
 
 def _ol_split(spark, sf_dir):
     def build():
-        ix = prep_ops.index_interactions(ol_dedup(spark, sf_dir))
+        # read by both indexes, the hot ids and the join: written once
+        dedup, _ = materialize(ol_dedup(spark, sf_dir), "ol_dedup")
+        ix = prep_ops.index_interactions(dedup)
         indexed, _ = materialize(ix.interactions, "ol_indexed")
+        release(dedup)
         return prep_ops.leave_one_out(indexed)
     return _cached(spark, ("ol_split", sf_dir), build)
 

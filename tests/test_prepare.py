@@ -155,6 +155,23 @@ def test_split_golden(spark, scale):
     assert s([(5, 1)]) == ([], 5, 0)
 
 
+def test_split_reads_its_input_once(spark, monkeypatch):
+    """The index steps get a written table, and the held-out pairs are hashed."""
+    from conftest import SF001
+    from fernrec.plans import catalog
+    seen, index = [], catalog.prep_ops.index_interactions
+
+    def spy(interactions, *args):
+        seen.append(getattr(interactions, "_scratch", (None, None))[0])
+        return index(interactions, *args)
+    monkeypatch.setattr(catalog.prep_ops, "index_interactions", spy)
+    monkeypatch.setattr(catalog, "_cache", {})
+    sp = catalog._ol_split(spark, SF001)
+    assert seen and seen[0]
+    assert sp.train.count() + sp.test.count() == catalog.ol_dedup(spark, SF001).count()
+    assert "strategy=shuffle_hash" in sp.train._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_weights_golden(spark):
     train = spark.createDataFrame([(u, 0) for u in range(4)] + [(9, 1)],
                                   "user_idx bigint, item_idx bigint")
