@@ -199,6 +199,32 @@ def test_blocks_are_bounded_and_dealt_evenly(spark):
     assert sorted(r.no for r in dealt) == list(range(20)) and all(r.no % 8 == r.p for r in dealt)
 
 
+def test_small_blocks_share_tasks(spark):
+    """Tasks follow the rows, not the number of small blocks; blocks stay bounded."""
+    from fernrec.operators.packing import pack
+    weights = spark.range(5000).selectExpr("id AS e", "3L AS n")
+    packing = pack(weights, 5000, 20)
+    tasks = max(spark.sparkContext.defaultParallelism, 8)
+    assert packing.blocks >= 1000 and packing.buckets <= tasks
+    held = packing.with_block(weights, "e").groupBy("blk").count().selectExpr(
+        "blk", "count", f"pmod(hash(blk), {packing.buckets}) AS p").collect()
+    assert len(held) == packing.blocks and max(r["count"] for r in held) <= 6
+    per_task = [sum(r.p == k for r in held) for k in range(packing.buckets)]
+    assert max(per_task) - min(per_task) <= 1
+
+
+def test_half_steps_share_their_layouts(spark, monkeypatch):
+    """Queries on one training iteration build the layouts once."""
+    from conftest import SF001
+    from fernrec.plans import catalog
+    made, build = [], catalog.layouts
+    monkeypatch.setattr(catalog, "_cache", {})
+    monkeypatch.setattr(catalog, "layouts", lambda *a: made.append(a) or build(*a))
+    catalog.q_item_half_step(spark, SF001)
+    catalog.q_user_half_step(spark, SF001)
+    assert len(made) == 1
+
+
 def test_many_medium_heavy_entities(spark):
     """A thousand heavy entities: partial rows follow rows / chunk, parts stay
     small, and the step is the scalar sweep."""
