@@ -68,15 +68,29 @@ def ev_prepared(spark: SparkSession, sf_dir: str) -> Prepared:
         events_interactions(spark, sf_dir), EV_MODEL, RuntimeConfig()))
 
 
-def ev_model(spark: SparkSession, sf_dir: str):
-    """(prepared, P0, Q0, P1, Q1) for one training iteration on EV."""
+def ev_factors(spark: SparkSession, sf_dir: str):
+    """(prepared, P0, Q0) on EV."""
     def build():
         prep = ev_prepared(spark, sf_dir)
         p0, q0 = initial_factors(prep, EV_MODEL)
         p0, _ = materialize(p0, "ev_p0")
         q0, _ = materialize(q0, "ev_q0")
-        # small heavy threshold: the check exercises both update paths
-        ul, il = layouts(prep, RuntimeConfig(heavy_threshold=60))
+        return prep, p0, q0
+    return _cached(spark, ("ev_factors", sf_dir), build)
+
+
+def ev_layouts(spark: SparkSession, sf_dir: str):
+    """User and item layout on EV, built once for all half-steps."""
+    # small heavy threshold: the check exercises both update paths
+    return _cached(spark, ("ev_layouts", sf_dir), lambda: layouts(
+        ev_prepared(spark, sf_dir), RuntimeConfig(heavy_threshold=60)))
+
+
+def ev_model(spark: SparkSession, sf_dir: str):
+    """(prepared, P0, Q0, P1, Q1) for one training iteration on EV."""
+    def build():
+        prep, p0, q0 = ev_factors(spark, sf_dir)
+        ul, il = ev_layouts(spark, sf_dir)
         p1, _ = materialize(user_step(ul, p0, q0, prep.weights, EV_MODEL), "ev_p1")
         q1, _ = materialize(item_step(il, q0, p1, EV_MODEL), "ev_q1")
         return prep, p0, q0, p1, q1
@@ -255,8 +269,8 @@ def q_user_half_step(spark, sf_dir):
 
 def q_item_half_step(spark, sf_dir):
     """Item half-step from the initial factors (P0 fixed)."""
-    prep, p0, q0, _, _ = ev_model(spark, sf_dir)
-    _, il = layouts(prep, RuntimeConfig(heavy_threshold=60))
+    _, p0, q0 = ev_factors(spark, sf_dir)
+    _, il = ev_layouts(spark, sf_dir)
     return _long(item_step(il, q0, p0, EV_MODEL), "item", 6)
 
 
